@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, quality, urlfilter, warc
+from . import bpe, licenses, minhash, quality, suffix, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(_table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffix.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=100, with_text=False)
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text").withColumnRenamed("text", "_text"), "_text")
     return d.select("doc_id", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"), "license", "rule_no", F.array_join("licenses", ",").alias("licenses"))
@@ -34,6 +47,9 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_warc_revisits": op9_warc_revisits,
@@ -61,6 +77,27 @@ _LIST = "[" + ", ".join(f"'{s}'" for s in licenses.SENTENCES) + "]"
 _FITS = ", ".join(f"CASE WHEN contains(q, ',{','.join(map(str, seq))},') THEN {{'no': {k}, 'name': '{name}'}} END" for k, (name, seq) in enumerate(licenses.RULES, 1))
 
 ORACLE: dict[str, str] = {
+    "op1_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, ws[i:i+1] AS g FROM w, unnest(range(1, greatest(len(ws), 2))) u(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, x) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.x),
+c AS (SELECT doc_id, min(x) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""",
+    "op5_suffix_dedup": """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+w AS (SELECT doc_id, i, t[i:i+99] AS g FROM b, unnest(range(1, octet_length(t) - 98)) u(i)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 99 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM s),
+j AS (SELECT doc_id, sum(z - a + 1)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS z, string_agg(hex(t[y+1:a-1]), '' ORDER BY a) AS h FROM k JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(t) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(h, '') || hex(t[coalesce(z, 0)+1:octet_length(t)]))) AS kept_sha256
+FROM b LEFT JOIN j USING (doc_id)""",
     "op7_license_scan": rf"""
 WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?:;]+[\x20\x09-\x0D]+|[\x0A\x0D]+'),
              lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'), ' ')), lambda x: x <> '') AS ss FROM documents),
