@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -58,7 +59,7 @@ def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, per_file: int = RECORDS_PER_FILE) -> None:
-    """Write one record per row of pages (page_id, url, html) to files below path.
+    """Write one record per row of pages (page_id, url, html) to gzip files below path.
 
     Of equal payloads of min_bytes or more, the one with the largest page_id is the response and the others are revisits
     without a body. Null html is an empty payload. Rows with the largest page_id that are repeated are each a response; a
@@ -69,14 +70,15 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, per_file: in
     out = p.join(resolve(p, min_bytes), ["page_id", "payload_digest"], "left")
     kind = F.when(F.col("refers_to").isNotNull(), F.lit("revisit")).otherwise(F.lit("response"))
     # Every record ends with two line ends, which the text writer puts after each row.
-    out.select(_record(kind).alias("value")).write.option("lineSep", _EOL * 2).option("maxRecordsPerFile", per_file).text(path)
+    out.select(_record(kind).alias("value")).write.option("lineSep", _EOL * 2).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def _headers(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Walk the records of each file by their Content-Length."""
     number = lambda v: int(v[len("<urn:page:") : -1]) if v and v != "<urn:page:>" else None
     for frame in files:
-        for content in frame["content"]:
+        for packed in frame["content"]:
+            content = gzip.decompress(packed)
             rows, at = [], 0
             while at < len(content):
                 end = content.index(b"\r\n\r\n", at)
