@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, minhash, quality, suffix, urlfilter, warc
+from . import bpe, decontam, fsttok, langid, licenses, minhash, quality, suffix, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,15 +18,27 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = suffix.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=100, with_text=False)
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fsttok.token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text").withColumnRenamed("text", "_text"), "_text")
     return d.select("doc_id", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"), "license", "rule_no", F.array_join("licenses", ",").alias("licenses"))
@@ -48,8 +60,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_language_id": op2_language_id,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_decontamination": op4_decontamination,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_token_counts": op6_token_counts,
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_warc_revisits": op9_warc_revisits,
