@@ -31,7 +31,7 @@ MULTILINGUAL = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BLOCK = 16 << 20
 #: White_Space as the tokenizer's own regular expressions have it; regex's own class adds U+001C-001F.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_X = "block long, words array<binary>, ids binary, nulls binary, lengths binary, codes binary"
+_X = "block long, words binary, ids binary, nulls binary, lengths binary, codes binary"
 
 
 @lru_cache(2)
@@ -61,6 +61,17 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _pack_words(words: list[bytes]) -> bytes:
+    sizes = _pack(np.fromiter(map(len, words), np.uint32, len(words)))
+    return len(sizes).to_bytes(4, "little") + sizes + zstandard.compress(b"".join(words), 3)
+
+
+def _unpack_words(data: bytes) -> list[bytes]:
+    n = 4 + int.from_bytes(data[:4], "little")
+    ends, flat = np.cumsum(_unpack(data[4:n]).astype(np.int64)).tolist(), zstandard.decompress(data[n:])
+    return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def _blocks(pattern: str, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = _splitter(pattern)
@@ -82,12 +93,13 @@ def _blocks(pattern: str, block: int):
                 nulls = np.array(own.is_null()).astype(np.uint8).tobytes()
                 packed = _pack(np.concatenate(codes))
                 key = hashlib.blake2b(digest_size=8)
-                for part in (raw, nulls, packed, *words[:1000]):
+                packed_words = _pack_words(words)
+                for part in (raw, nulls, packed, packed_words):
                     key.update(part)
                 # The block is named by what it holds: a task that runs again names it alike.
                 name = int.from_bytes(key.digest(), "little", signed=True)
                 lengths = np.array([len(c) for c in codes], np.int64).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([words], pa.list_(pa.binary())), *(pa.array([x], pa.binary()) for x in (raw, nulls, lengths, packed))], names=["block", "words", "ids", "nulls", "lengths", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x], pa.binary()) for x in (packed_words, raw, nulls, lengths, packed))], names=["block", "words", "ids", "nulls", "lengths", "codes"])
 
     return run
 
@@ -98,13 +110,13 @@ def _deal(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words.as_py()
+                words = _unpack_words(words.as_py())
                 key = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
                 order = np.argsort(key, kind="stable")
                 for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
                     if len(part):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([name]), pa.array([int(key[part[0]])]), pa.array([part.astype("<u4").tobytes()], pa.binary()), pa.array([[words[i] for i in part]], pa.list_(pa.binary()))], names=["block", "bucket", "places", "words"]
+                            [pa.array([name]), pa.array([int(key[part[0]])]), pa.array([_pack(np.diff(part, prepend=0))], pa.binary()), pa.array([_pack_words([words[i] for i in part.tolist()])], pa.binary())], names=["block", "bucket", "places", "words"]
                         )
 
     return run
@@ -117,7 +129,7 @@ def _encode(path: str, pattern: str):
         for batch in batches:
             for name, places, words in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 sizes, flat = [], []
-                for w in words.as_py():
+                for w in _unpack_words(words.as_py()):
                     ids = known.get(w)
                     if ids is None:
                         ids = known[w] = tuple(encode(w))
@@ -130,14 +142,12 @@ def _encode(path: str, pattern: str):
 
 def _together(finish: Callable[[list[np.ndarray]], dict]):
     def run(blocks: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        n = sum(len(p) // 4 for p in entries["places"].unique()) if len(entries) else 0
+        entries = entries.drop_duplicates("places")  # the same rows twice make the same block twice
+        places = [np.cumsum(_unpack(p).astype(np.int64)) for p in entries["places"]]
+        n = sum(map(len, places))
         sizes, start, flat, at = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
-        seen = set()
-        for places, size, ids in zip(entries.get("places", ()), entries.get("sizes", ()), entries.get("flat", ()), strict=True):
-            if places in seen:  # the same rows twice make the same block twice
-                continue
-            seen.add(places)
-            p, s, f = np.frombuffer(places, "<u4"), _unpack(size).astype(np.int64), _unpack(ids)
+        for p, size, ids in zip(places, entries["sizes"], entries["flat"], strict=True):
+            s, f = _unpack(size).astype(np.int64), _unpack(ids)
             sizes[p], start[p] = s, at + np.cumsum(s) - s
             flat.append(f)
             at += len(f)
@@ -186,7 +196,7 @@ def encode(docs: DataFrame, path: str = MULTILINGUAL, pattern: str = public_toke
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Both uses of the blocks read one shuffle; each takes all columns, so that the plans below it stay equal.
     blocks = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_blocks(pattern, block), _X).repartition(n, "block")
-    dealt = blocks.mapInArrow(_deal(n), "block long, bucket long, places binary, words array<binary>").repartition(n, "bucket")
+    dealt = blocks.mapInArrow(_deal(n), "block long, bucket long, places binary, words binary").repartition(n, "bucket")
     entries = dealt.mapInArrow(_encode(path, pattern), "block long, places binary, sizes binary, flat binary")
     return blocks.groupBy("block").cogroup(entries.groupBy("block")).applyInPandas(_together(finish or _plain), f"doc_id long, {added}")
 
