@@ -1,0 +1,6 @@
+"""All registered queries of the listing engine."""
+
+from . import ingest, listing, merging, text
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "ingest", "listing", "merging", "text"]
