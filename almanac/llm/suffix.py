@@ -31,8 +31,8 @@ from .scratch import written
 GRAM = 32
 #: Bytes of text looked at together; owners are packed with positions of 20 bits.
 PIECE = 1 << 19
-#: Surroundings of one gram that a bucket may hold, and of all its grams on average.
-HOT, BUCKET = 1000, 2000
+#: Surroundings of one gram that are sorted together at most (about 50 MB of suffixes), and of a bucket's grams on average.
+HOT, BUCKET = 1 << 13, 2000
 _U = np.uint64
 _LOW = _U((1 << 20) - 1)
 _GRAMS, _SPANS = byte_table(5), byte_table(55)
@@ -47,9 +47,11 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.n
     """Places in `starts` in the order of the suffixes' first `depth` bytes (ties by place), and each one's common prefix with the one before. All starts need depth bytes."""
     rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, depth)[starts])
     order = np.argsort(rows.view(f"S{depth}").ravel(), kind="stable")
-    same = rows[order[1:]] == rows[order[:-1]]
     lcp = np.zeros(len(starts), np.int64)
-    lcp[1:] = np.where(same.all(axis=1), depth, same.argmin(axis=1))
+    for a in range(1, len(order), 1 << 15):  # a part at a time, to hold few copies of the rows
+        part = rows[order[a - 1 : a + (1 << 15)]]
+        same = part[1:] == part[:-1]
+        lcp[a : a + (1 << 15)] = np.where(same.all(axis=1), depth, same.argmin(axis=1))
     return order, lcp
 
 
@@ -209,9 +211,8 @@ def _spread(f: pd.DataFrame, length: int) -> tuple[np.ndarray, ...]:
     return np.frombuffer(b"".join(f["bytes"]), np.uint8), at, d, t, s + inner
 
 
-def _bucket(length: int):
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["d", "s", "t"], kind="stable")
+def _bucket(length: int, size: int):
+    def one(f: pd.DataFrame) -> pd.DataFrame:
         text, at, d, t, s = _spread(f, length)
         o = np.lexsort((t, s, d))
         again = np.zeros(len(o), bool)
@@ -220,6 +221,13 @@ def _bucket(length: int):
         o = o[again[o]]
         return _runs(d[o], t[o], s[o])
 
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        """Whole grams together, about `size` surroundings at a time; equal windows have equal grams."""
+        n = f.groupby("h")["h"].transform("size")
+        part = (f["h"].drop_duplicates().sort_values().map(n.groupby(f["h"]).first()).cumsum() // size).to_numpy()
+        of = dict(zip(f["h"].drop_duplicates().sort_values(), part, strict=True))
+        return pd.concat([one(g) for _, g in f.groupby(f["h"].map(of))])
+
     return run
 
 
@@ -257,7 +265,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     found = docs.select("d", "t", "text").dropDuplicates(["d", "t"]).join(border, ["d", "t"]).mapInPandas(_cut(length), _CONTEXT)
     contexts = written(found, "contexts")
     buckets = max(1, -(-contexts.where("not hot").count() // BUCKET))
-    small = contexts.where("not hot").groupBy(F.pmod("h", F.lit(buckets)).alias("bucket")).applyInPandas(_bucket(length), "d long, t long, s long, e long")
+    small = contexts.where("not hot").groupBy(F.pmod("h", F.lit(buckets)).alias("bucket")).applyInPandas(_bucket(length, BUCKET), "d long, t long, s long, e long")
     marked = contexts.where("hot").mapInPandas(_fingerprints(length), "a long, b long, d long, t long, s long, m boolean")
     large = _earlier(marked, "a", "b").where("again").select("d", "t", "s", F.col("s").alias("e"))
     return told.where("again").select("d", "t", "s", "e").unionByName(small).unionByName(large)
