@@ -86,22 +86,49 @@ def match_names(pairs: DataFrame, source: str, target: str, place: Column | None
     return d.withColumn("match", match_features("_a", "_b", F.col("_p"))).select(*pairs.columns, "match")
 
 
+def _numbered(grams: Column) -> Column:
+    """A multiset as a set: each gram with the number of equal ones before it."""
+    return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i), lambda h: h == g)).cast("string")))
+
+
+def _fronts(a: DataFrame, b: DataFrame, grams: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """block, n, key: of each side's names the rarest grams, enough that names whose dice is `least` or more share one.
+
+    Of a name's x grams such a pair has at least x * least / (2 - least) in common, so one is among the rest and one more,
+    whatever the order, if it is the same for both.
+    """
+    both = [d.select("block", "n", F.size(grams).alias("x"), F.explode(_numbered(F.col(grams))).alias("g")) for d in (a, b)]
+    often = both[0].unionByName(both[1]).groupBy("block", "g").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("block", "n").orderBy("df", "g")
+    share = least / (2 - least)
+    front = [d.join(often, ["block", "g"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("x") - F.ceil(F.col("x") * share - 1e-9) + 1) for d in both]
+    left, right = (d.select("block", "n", F.concat(F.lit(f"{grams}:"), "g").alias("key")) for d in front)
+    return left, right
+
+
+def _keys(d: DataFrame) -> DataFrame:
+    """block, n, key: the name, its core without spaces, and its core words. Exact and strong matches share one of these."""
+    words = F.transform("t", lambda w: F.concat(F.lit("w:"), w))
+    own = F.array(F.concat(F.lit("n:"), "n"), F.when(F.col("c") != "", F.concat(F.lit("c:"), F.replace("c", F.lit(" "), F.lit("")))))
+    return d.select("block", "n", F.explode(F.array_compact(F.concat(own, words))).alias("key"))
+
+
 def fuzzy_block_join(venues: DataFrame, places: DataFrame, block: str, source: str = "name", target: str = "place_name", place: Column | None = None) -> DataFrame:
     """Pairs of venues and places of one block whose names match; null blocks match nothing.
 
-    Candidates must share a bigram of their compacted names: any two names that match() accepts do, so nothing is lost. To
-    keep the join linear in a large block, each distinct name is compared once, on its rarest bigrams: two names match only
-    if they have a fifth of their bigrams in common, hence among the first four fifths of each, rarest first, one is shared.
+    Distinct names meet only if they share a key that any match must share: the name, its core, a core word, or one of the
+    rarest bigrams. So a large block isn't multiplied out, and nothing is lost.
     """
-    v = venues.withColumn("_block", F.col(block)).where("_block is not null")
-    v = name_features(v, source, "_a").withColumn("_place", place if place is not None else F.array().cast("array<string>"))
+    v = name_features(venues.withColumn("_block", F.col(block)).where("_block is not null"), source, "_a").withColumn("_place", place if place is not None else F.array().cast("array<string>"))
     t = name_features(places.withColumn("_tblock", F.col(block)).where("_tblock is not null").drop(block), target, "_b")
+    plain = lambda d, b, p: d.select(F.col(b).alias("block"), *[F.col(f"{p}{k}").alias(k) for k in "ntcgh"]).distinct()
+    names = plain(v, "_block", "_a"), plain(t, "_tblock", "_b")
+    full, core = _fronts(*names, "g", FUZZY), _fronts(*names, "h", CORE_FUZZY)
+    left, right = (_keys(d).unionByName(full[i]).unionByName(core[i]) for i, d in enumerate(names))
+    near = left.select("block", F.col("n").alias("_an"), "key").join(right.select("block", F.col("n").alias("_bn"), "key"), ["block", "key"]).select(F.col("block").alias("_near"), "_an", "_bn").distinct()
     a = v.select("_block", "_an", "_at", "_ac", "_ag", "_ah", "_place").distinct()
     b = t.select("_tblock", "_bn", "_bt", "_bc", "_bg", "_bh").distinct()
-    grams = lambda d, k, n: d.select(k, n, F.explode(F.array_distinct(F.flatten(F.array(bigrams(F.replace(F.col(n), F.lit(" "), F.lit(""))), F.transform(F.split(n, " "), lambda w: w))))).alias("_g"))
-    ga, gb = grams(a, "_block", "_an"), grams(b, "_tblock", "_bn")
-    near = ga.join(gb, (ga["_block"] == gb["_tblock"]) & (ga["_g"] == gb["_g"])).groupBy("_block", "_an", "_bn").agg(F.count("*").alias("_k"))
-    met = a.join(near, ["_block", "_an"]).join(b, (F.col("_block") == F.col("_tblock")) & (near["_bn"] == b["_bn"])).drop(near["_bn"])
+    met = a.join(near, (a["_block"] == near["_near"]) & (a["_an"] == near["_an"])).drop(near["_an"]).join(b, (F.col("_near") == F.col("_tblock")) & (near["_bn"] == b["_bn"])).drop(near["_bn"])
     scored = met.withColumn("match", match_features("_a", "_b", F.col("_place"))).where("match is not null").select(F.col("_block").alias("_sb"), F.col("_an").alias("_sa"), F.col("_bn").alias("_st"), F.col("_place").alias("_sp"), "match")
     out = v.join(scored, (F.col("_block") == F.col("_sb")) & (F.col("_an") == F.col("_sa")) & (F.col("_place") == F.col("_sp"))).join(t, (F.col("_sb") == F.col("_tblock")) & (F.col("_st") == F.col("_bn")))
     return out.select(*venues.columns, *[c for c in places.columns if c != block], "match")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +121,13 @@ def test_block_join_loses_nothing(spark):
     got = match.fuzzy_block_join(a, b, "block")
     every = match.match_names(a.join(b, "block"), "name", "place_name").where("match is not null")
     assert rows(got, "id", "place_name", "lat") == rows(every, "id", "place_name", "lat")
+    rnd = random.Random(5)
+    names = ["".join(rnd.choice("abcdeø ") for _ in range(rnd.randint(0, 14))) for _ in range(60)]
+    edited = [n[:k] + rnd.choice("abcdeø ") + n[k + rnd.randint(0, 1) :] for n in names for k in [rnd.randint(0, max(0, len(n) - 1))]]
+    x = spark.createDataFrame([(i, str(i % 2), n) for i, n in enumerate(names)], "id int, block string, name string")
+    y = spark.createDataFrame([(str(i % 2), n, 1.0, 1.0) for i, n in enumerate(edited)], "block string, place_name string, lat double, lon double")
+    every = match.match_names(x.join(y, "block"), "name", "place_name").where("match is not null")
+    assert rows(match.fuzzy_block_join(x, y, "block"), "id", "place_name") == rows(every, "id", "place_name") != []
     two = spark.createDataFrame([("k", "Puben Sør", 59.91, 10.75), ("k", "Puben Sør", 59.93, 10.78)], "block string, place_name string, lat double, lon double")
     one = spark.createDataFrame([(1, "k", "Puben Sør")], "id int, block string, name string")
     assert rows(match.best_match(match.fuzzy_block_join(one, two, "block"), "id"), "ambiguous") == [(True,)]
