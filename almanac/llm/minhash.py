@@ -23,6 +23,8 @@ from .scratch import written
 PERMUTATIONS, BAND = 64, 4
 #: Bytes of text that are hashed together.
 PIECE = 1 << 19
+#: So many ids (of 8 bytes) at most are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -155,7 +157,7 @@ def _close(percent: int) -> tuple[float, float]:
     return 1 - j, 1 - 2 * j / (1 + j)
 
 
-def _residual_pairs(members: DataFrame, found: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _residual_pairs(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that star links may have missed: sets that met in a band but are in different components so far.
 
     Exact for those sets, by prefix and position filters: with tokens ordered by their frequency among these sets (rarest
@@ -165,8 +167,7 @@ def _residual_pairs(members: DataFrame, found: DataFrame, docs: DataFrame, k: in
     here = members.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = here.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     rest = written(here.join(mixed, "key").select("doc_id", "component").distinct(), "rest")
-    sets = docs.join(rest, "doc_id").select("doc_id", "text").mapInArrow(_plain_sets(k), "doc_id long, shingles array<long>")
-    tokens = written(sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("w")), "tokens")
+    tokens = written(sets.join(rest, "doc_id").select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("w")), "tokens")
     often = tokens.groupBy("w").agg(F.count("*").alias("df"))
     long, short = _close(percent)
     # Counts of tokens before and at the rank, without a window over whole sets: the rank is the place in the sorted array.
@@ -183,9 +184,12 @@ def _residual_pairs(members: DataFrame, found: DataFrame, docs: DataFrame, k: in
     return met.select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b"), F.col("nb")).distinct()
 
 
-def _sets_for(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    return written(docs.join(nodes, "doc_id").select("doc_id", "text").mapInArrow(_plain_sets(k), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+def _sets_of_members(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """doc_id, shingles of the documents that met another in a band. Their ids are broadcast if they are few enough, so that texts aren't shuffled."""
+    nodes = written(members.select("doc_id").distinct(), "nodes")
+    few = nodes.count() <= BROADCAST_IDS
+    own = docs.join(F.broadcast(nodes) if few else nodes, "doc_id").select("doc_id", "text")
+    return written(own.mapInArrow(_plain_sets(k), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,9 +209,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     keys = banded.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("key", "a")
     members = written(banded.join(keys, "key"), "members")
     pairs = written(members.where("a <> doc_id").select("a", F.col("doc_id").alias("b"), F.col("n").alias("nb")).distinct(), "pairs")
-    links = written(confirmed(pairs, _sets_for(docs, pairs, k), percent), "links")
-    more = written(_residual_pairs(members, components(links), docs, k, percent), "pairs")
-    links = links.unionByName(confirmed(more, _sets_for(docs, more, k), percent))
+    sets = _sets_of_members(docs, members, k)
+    links = written(confirmed(pairs, sets, percent), "links")
+    more = _residual_pairs(members, components(links), sets, percent)
+    links = links.unionByName(confirmed(more, sets, percent))
     found = components(links)
     of = reps.join(found, reps["doc_id"] == found["node"], "left").select("c1", "c2", F.coalesce("component", "doc_id").alias("component"))
     out = base.drop("bands").join(of, ["c1", "c2"], "left")
