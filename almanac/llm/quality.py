@@ -105,7 +105,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """measure() plus fail_bits (long): bit k is set where RULES[k] fails."""
+    """measure() plus fail_bits (long): bit k is set where RULES[k] fails.
+
+    Store it (as a table) before filtering by its columns; Spark pushes such filters into the measurements otherwise, and
+    these are slow as one expression.
+    """
     bits = F.lit(0).cast("long")
     for k, r in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
