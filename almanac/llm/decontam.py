@@ -1,31 +1,37 @@
 """Benchmark decontamination: test items found in texts within an edit budget, by pigeonhole pieces and Myers' algorithm.
 
 An item of m characters may differ by k = m * percent // 100 edits. Of k + 1 pieces of it at least one is untouched then, so
-texts are searched for exact pieces, and only the surroundings of hits are compared, by Myers' bit-parallel distance.
+texts are searched for exact pieces, and only the surroundings of hits are compared, by Myers' bit-parallel distance. An item
+with a budget of 0 (under 20 characters at 5 per cent) is one piece: it is found where it occurs as it is.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 #: Edits allowed per hundred characters of an item.
 PERCENT = 5
-#: Normalised items that are shorter say too little to identify and aren't searched.
-SHORTEST = 20
 #: Characters of items that are searched for together; more are searched in further blocks, each over all texts.
 BLOCK = 4 << 20
+#: Characters of a text that are searched for pieces at a time.
+SEGMENT = 1 << 20
+_RUN = re.compile(r"[^\S ]\s*| \s+")
 
 
 def normalise(text: str | None) -> str:
-    """Lower case; runs of white space become one space."""
-    return " ".join((text or "").lower().split())
+    """Lower case; runs of white space become one space; none at the ends."""
+    return _RUN.sub(" ", (text or "").lower()).strip()
 
 
 def budget(item: str, percent: int = PERCENT) -> int:
@@ -88,25 +94,43 @@ class Searcher:
         for piece, places in by_piece.items():
             self.automaton.add_word(piece, (len(piece), places))
         self.automaton.make_automaton()
+        self.longest = max(map(len, by_piece))
 
     def __call__(self, text: str) -> Iterator[tuple[int, int, int]]:
-        """(item id, distance, end in the text) of the best match of each item found."""
+        """(item id, distance, end in the text) of the best (first of equals) match of each item found.
+
+        Hits are gathered for one segment of the text at a time; a match is compared around each of its pieces, wherever
+        segments end.
+        """
+        best: dict[int, tuple[int, int]] = {}
+        for at in range(0, len(text), SEGMENT):
+            self._search(text, at, min(len(text), at + SEGMENT), best)
+        for n, found in best.items():
+            for i in self.ids[self.items[n][0]]:
+                yield i, *found
+
+    def _search(self, text: str, a: int, b: int, best: dict[int, tuple[int, int]]) -> None:
+        """Better matches than best by pieces that end in text[a:b]."""
+        first = max(0, a - self.longest + 1)
         starts: dict[int, set[int]] = defaultdict(set)
-        for end, (size, places) in self.automaton.iter(text):
+        for end, (size, places) in self.automaton.iter(text[first:b] if first or b < len(text) else text):
+            end += first + 1
+            if end <= a:
+                continue
             for n, at in places:
-                starts[n].add(end + 1 - size - at)
+                if n not in best or best[n][0]:
+                    if self.items[n][1]:
+                        starts[n].add(end - size - at)
+                    else:
+                        best[n] = (0, end)
         for n, at in starts.items():
             item, k, masks = self.items[n]
-            best: tuple[int, int] | None = None
-            for a, b in self._windows(sorted(at), len(item), k):
-                found = myers(item, text[max(0, a) : b], k if best is None else best[0] - 1, masks)
+            for x, y in self._windows(sorted(at), len(item), k):
+                found = myers(item, text[max(0, x) : y], best[n][0] - 1 if n in best else k, masks)
                 if found:
-                    best = (found[0], max(0, a) + found[1])
+                    best[n] = (found[0], max(0, x) + found[1])
                     if not found[0]:
                         break
-            if best:
-                for i in self.ids[item]:
-                    yield i, *best
 
     @staticmethod
     def _windows(starts: list[int], m: int, k: int) -> Iterator[tuple[int, int]]:
@@ -126,22 +150,28 @@ def _searcher(items: tuple[tuple[int, str], ...], percent: int) -> Searcher:
     return Searcher(items, percent)
 
 
-def _find(items: tuple[tuple[int, str], ...], percent: int):
+def _find(items: tuple[tuple[int, str], ...], percent: int, prepare: Callable[[str], str] = str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         search = _searcher(items, percent)
         for f in frames:
-            rows = [(i, *found) for i, t in zip(f["doc_id"].tolist(), f["text"], strict=True) for found in search(normalise(t))]
+            rows = [(i, *found) for i, t in zip(f["doc_id"].tolist(), f["text"], strict=True) for found in search(prepare(t))]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "ends_at"]).astype({"doc_id": "Int64"})
 
     return run
 
 
+def _normalised(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        f["text"] = [normalise(t) for t in f["text"]]
+        yield f
+
+
 def _blocks(items: DataFrame) -> Iterator[tuple[tuple[int, str], ...]]:
     """The items in blocks of BLOCK characters or so; the driver holds one block at a time."""
     block, size = [], 0
     for r in items.toLocalIterator():
         text = normalise(r["text"])
-        if len(text) < SHORTEST:
+        if not text:
             continue
         block.append((r["item_id"], text))
         size += len(text)
@@ -156,17 +186,24 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, id_col: str
     """doc_id, item_id, distance, ends_at: one row for each row of docs and item (item_id, text) that it holds within the edit budget.
 
     Both are lower-cased and runs of white space count as one space; ends_at is where the best (first of equals) match ends in
-    the normalised text. Null and blank texts and items match nothing, nor do items of under SHORTEST characters. Repeated
-    rows give repeated results; a document with a null id gives a null doc_id. Texts aren't shuffled: the items are a query
-    set, of which blocks of bounded size go to all tasks.
+    the normalised text. Null and blank texts and items match nothing. Repeated rows give repeated results; a document with a
+    null id gives a null doc_id. Texts aren't shuffled: the items are a query set, of which blocks of bounded size go to all
+    tasks. Texts are normalised once: if there are more blocks than one, they are stored so.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
     kind = "doc_id long, item_id long, distance int, ends_at int"
-    out = None
-    for block in _blocks(items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").distinct()):
-        found = d.mapInPandas(_find(block, percent), kind)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], kind)
+    blocks = _blocks(items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").distinct())
+    block = next(blocks, None)
+    if block is None:
+        return docs.sparkSession.createDataFrame([], kind)
+    more = next(blocks, None)
+    if more is None:
+        return d.mapInPandas(_find(block, percent, normalise), kind)
+    d = written(d.mapInPandas(_normalised, "doc_id long, text string"), "normalised")
+    out = d.mapInPandas(_find(block, percent), kind)
+    for block in chain([more], blocks):
+        out = out.unionByName(d.mapInPandas(_find(block, percent), kind))
+    return out
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: So many ids (of 8 bytes) at most are broadcast, after they were counted; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir; a temporary folder only where that setting is unset (tests)."""
+    """A fresh path under spark.checkpoint.dir, which goes when the driver ends.
+
+    Where that setting is missing, a local session gets a temporary folder; on a cluster that is an error, since executors
+    don't share such a folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="almanac-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid4().hex}"
+    _files(spark, path, lambda fs, p: fs.deleteOnExit(p))
+    return path
+
+
+def _files(spark: SparkSession, path: str, act) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    act(p.getFileSystem(spark._jsc.hadoopConfiguration()), p)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -22,3 +39,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by written() that nothing reads any more."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            _files(t.sparkSession, path, lambda fs, p: fs.delete(p, True))
+
+
+def only(rows: DataFrame, ids: DataFrame, *on: str) -> DataFrame:
+    """The rows whose key is among the ids (a written table of distinct keys). Few ids are broadcast, so that wide rows aren't shuffled."""
+    few = ids.count() * len(on) <= BROADCAST_IDS
+    return rows.join(ids.hint("broadcast" if few else "merge"), list(on), "left_semi")

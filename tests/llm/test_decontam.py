@@ -34,11 +34,27 @@ def test_myers():
         assert decontam.myers(p, t, k) == best_match(p, t, k)
 
 
+def test_segments_of_long_texts(monkeypatch):
+    rnd = random.Random(8)
+    monkeypatch.setattr(decontam, "SEGMENT", 70)
+    items = tuple((i, "".join(rnd.choice("abc d") for _ in range(rnd.randint(1, 90)))) for i in range(30))
+    search = decontam.Searcher(items, 5)
+    for _ in range(30):
+        text = "".join(rnd.choice("abc d") for _ in range(200)) + "".join(edited(rnd, rnd.choice(items)[1], rnd.randint(0, 3)) for _ in range(6))
+        want = {(i, *m) for i, x in items if (m := best_match(x, text, decontam.budget(x)))}
+        assert set(search(text)) == want and len(want) > 3
+
+
+def test_normalise():
+    for t in ("a  b", "\ta b\n", "a\x1cb \u3000c", " ", "x y", "a \n\nB", None):
+        assert decontam.normalise(t) == " ".join((t or "").lower().split())
+
+
 def test_against_brute_force(spark):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdeghi") for _ in range(rnd.randint(1, 7)))
     say = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, say(rnd.randint(8, 40))) for i in range(12)] + [(20, "short one"), (21, None), (22, ""), (23, "  ")]
+    items = [(i, say(rnd.randint(8, 40))) for i in range(12)] + [(20, "abe"), (25, "q"), (21, None), (22, ""), (23, "  ")]
     items.append((24, items[0][1].upper()))
     docs = []
     for i in range(60):
@@ -54,7 +70,7 @@ def test_against_brute_force(spark):
     for d, t, _ in docs:
         for i, x in items:
             x = decontam.normalise(x)
-            if len(x) >= decontam.SHORTEST and (m := best_match(x, decontam.normalise(t), decontam.budget(x))):
+            if x and (m := best_match(x, decontam.normalise(t), decontam.budget(x))):
                 want.append((d, i, m[0]))
     assert got == sorted(want, key=repr) and len(want) > 30
     clean = decontam.without_leaks(df, it)

@@ -61,7 +61,7 @@ def repeats(rows, length=100):
 
 
 def clean(rows, items):
-    items = [x for x in map(decontam.normalise, items) if len(x) >= decontam.SHORTEST]
+    items = [x for x in map(decontam.normalise, items) if x]
     return [r for r in rows if not any(best_match(x, decontam.normalise(r[1]), decontam.budget(x)) for x in items)]
 
 
