@@ -44,72 +44,59 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << names.index(x) for x in rules)
 
 
-def _repeat_positions(hashes: Column) -> Column:
-    """Sorted starts of the windows whose hash occurs twice or more."""
-    return F.sort_array(F.transform(F.filter(hashes, lambda x: x["again"]), lambda x: x["p"]))
+def _step(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """df's columns `keep` plus new ones, behind a generator of one row.
+
+    Filters and projections aren't moved past a generator, so that each step is computed once per row, whatever is done with
+    the result; as plain columns they would be put together into one expression whose lambdas compute whole arrays for every
+    element.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs plus the measurement columns (long).
 
     Words are maximal runs of characters other than 0x20 and 0x09-0x0D. A null text has no words and only zeros; an empty
-    or blank one as well. Windows are compared by 64-bit hashes within one text. All work is per row, without a shuffle,
-    so that repeated rows and hot sources need no care; existing columns with the names of measurements are replaced.
+    or blank one as well. Windows are equal if 64-bit hashes of their five words' 64-bit hashes are, within one text. All work
+    is per row, without a shuffle, so that repeated rows and hot sources need no care; existing columns with the names of
+    measurements are replaced. The result can be filtered as it is.
     """
     n = WINDOW
     keep = [c for c in docs.columns if c not in MEASURES]
     d = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    d = d.withColumn("_w", F.filter(F.split("_t", _SPACE), lambda w: w != ""))
-    d = d.select(
-        *keep,
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("_t", _SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"),
-        F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
-    )
-    # Each step is a column of its own: inside a lambda an expression would be computed again for every element.
-    d = d.withColumn(
-        "_g",
-        F.when(
-            F.col("n_words") >= n,
-            F.transform(F.sequence(F.lit(0), (F.col("n_words") - n).cast("int")), lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(n)])),
-        ),
+    d = _step(d, [*keep, "_t"], _w=F.filter(F.split("_t", _SPACE), lambda w: w != ""))
+    d = _step(
+        d,
+        keep,
+        n_words=F.size("_w").cast("long"),
+        word_chars=F.length(F.regexp_replace("_t", _SPACE, "")).cast("long"),
+        n_symbols=(F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long"),
+        _l=F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+        _h=F.transform("_w", lambda w: F.xxhash64(w)),
     )
-    d = d.withColumn("_some", F.size(F.array_distinct("_g")) < F.size("_g"))
-    d = d.withColumn("_s", F.when(F.col("_some"), F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))))
-    d = d.withColumn(
-        "_r",
-        F.when(
-            F.col("_some"),
-            F.transform(
-                "_s",
-                lambda x, i: F.struct(
-                    x["p"].alias("p"),
-                    F.coalesce((x["h"] == F.get("_s", i - 1)["h"]) | (x["h"] == F.get("_s", i + 1)["h"]), x["h"] == F.get("_s", i - 1)["h"], x["h"] == F.get("_s", i + 1)["h"], F.lit(False)).alias("again"),
-                ),
-            ),
-        ),
+    starts = F.sequence(F.lit(0), (F.col("n_words") - n).cast("int"))
+    simple = [*keep, "n_words", "word_chars", "n_symbols"]
+    d = _step(
+        d,
+        simple,
+        n_lines=F.size("_l").cast("long"),
+        n_dup_lines=(F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
+        _g=F.when(F.col("n_words") >= n, F.transform(starts, lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(n)]))),
     )
-    d = d.withColumn("_p", F.when(F.col("_some"), _repeat_positions(F.col("_r"))))
+    simple += ["n_lines", "n_dup_lines"]
+    # Null where no window repeats, as in most texts; the steps below leave nulls alone.
+    pairs = F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+    d = _step(d, simple, _s=F.when(F.size(F.array_distinct("_g")) < F.size("_g"), pairs))
+    again = lambda x, i: F.coalesce(x["h"] == F.get("_s", i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get("_s", i + 1)["h"], F.lit(False))
+    d = _step(d, simple, _r=F.transform("_s", lambda x, i: F.struct(x["p"].alias("p"), again(x, i).alias("again"))))
+    d = _step(d, simple, _p=F.sort_array(F.transform(F.filter("_r", lambda x: x["again"]), lambda x: x["p"])))
     covered = F.aggregate("_p", F.struct(F.lit(0).alias("n"), F.lit(-n).alias("last")), lambda a, p: F.struct((a["n"] + F.least(F.lit(n), p - a["last"])).alias("n"), p.alias("last")))["n"]
-    return d.select(
-        *keep,
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("_some"), covered).otherwise(0).cast("long").alias("n_repeat_words"),
-    )
+    return _step(d, simple, n_repeat_words=F.coalesce(covered, F.lit(0)).cast("long")).select(*keep, *MEASURES)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """measure() plus fail_bits (long): bit k is set where RULES[k] fails.
-
-    Store it (as a table) before filtering by its columns; Spark pushes such filters into the measurements otherwise, and
-    these are slow as one expression.
-    """
+    """measure() plus fail_bits (long): bit k is set where RULES[k] fails. It may be stored and judged by later policies."""
     bits = F.lit(0).cast("long")
     for k, r in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
