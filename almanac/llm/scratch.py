@@ -8,7 +8,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: So many ids (of 8 bytes) at most are broadcast, after they were counted; more are joined by a shuffle.
+#: Keys of so many words of 8 bytes at most are broadcast, after they were counted; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
 
@@ -48,7 +48,8 @@ def discard(*tables: DataFrame) -> None:
             _files(t.sparkSession, path, lambda fs, p: fs.delete(p, True))
 
 
-def only(rows: DataFrame, ids: DataFrame, *on: str) -> DataFrame:
-    """The rows whose key is among the ids (a written table of distinct keys). Few ids are broadcast, so that wide rows aren't shuffled."""
-    few = ids.count() * len(on) <= BROADCAST_IDS
-    return rows.join(ids.hint("broadcast" if few else "merge"), list(on), "left_semi")
+def join_ids(rows: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A semi or anti join of rows with distinct keys, a written table. Few keys are broadcast, so that wide rows aren't shuffled."""
+    words = sum(5 if t == "string" else 1 for _, t in ids.select(*on).dtypes)
+    few = ids.count() * words <= BROADCAST_IDS
+    return rows.join(ids.select(*on).hint("broadcast" if few else "merge"), on, how)

@@ -5,40 +5,53 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from datetime import datetime, timezone
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from .scratch import scratch_path
+from .scratch import discard, join_ids, scratch_path, written
 
 _EOL = "\r\n"
-#: Rows of one archive file at most; a reader task takes one file.
-RECORDS_PER_FILE = 2000
+#: Payloads of up to so many bytes, and how many of these records a file holds at most. A reader takes a file as one row, so
+#: files have about 128 MB at most, or one record.
+FILES = ((1 << 16, 2000), (1 << 20, 128), (1 << 24, 8), (1 << 62, 1))
 HEADERS = "page_id long, url string, record_type string, payload_digest string, refers_to long, content_length long"
+_DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-@F.pandas_udf(StringType())
-def payload_digest(payload: pd.Series) -> pd.Series:
-    """Upper-case base32 of the payload's SHA-1."""
-    return payload.map(lambda b: base64.b32encode(hashlib.sha1((b or "").encode()).digest()).decode())
+def payload_digest(payload: Column) -> Column:
+    """Upper-case base32 of the payload's SHA-1: ten hexadecimal digits at a time are eight of base 32."""
+    sha = F.sha1(payload)
+    parts = [F.lpad(F.conv(F.substring(sha, at, 10), 16, 32), 8, "0") for at in (1, 11, 21, 31)]
+    return F.translate(F.concat(*parts), _DIGITS, _BASE32)
 
 
-def _record(kind: Column) -> Column:
+def _record(kind: str, date: str, body: Column, salt: Column) -> Column:
     """The text of one record without the blank lines that end it. Header values can't hold line ends."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), F.coalesce(F.regexp_replace(value.cast("string"), r"[\r\n]", "%0A"), F.lit("")), F.lit(_EOL))
-    ident = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    revisit = kind == "revisit"
-    body = F.when(revisit, F.lit("")).otherwise(F.col("_payload"))
+    maybe = lambda name, value: F.when(value.isNotNull(), line(name, value)).otherwise(F.lit(""))
+    ident = F.regexp_replace(F.md5(salt), "(.{8})(.{4})(.{4})(.{4})(.{12})", "<urn:uuid:$1-$2-$3-$4-$5>")
+    revisit = []
+    if kind == "revisit":
+        revisit = [
+            F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + _EOL),
+            maybe("WARC-Refers-To-Target-URI", F.col("refers_url")),
+            F.lit(f"WARC-Refers-To-Date: {date}{_EOL}"),
+            line("Refers-To-Page-ID", F.col("refers_to")),
+        ]
     return F.concat(
         F.lit("WARC/1.1" + _EOL),
-        line("WARC-Type", kind),
-        line("WARC-Record-ID", ident(F.col("page_id"))),
+        F.lit(f"WARC-Type: {kind}{_EOL}"),
+        line("WARC-Record-ID", ident),
+        F.lit(f"WARC-Date: {date}{_EOL}"),
         line("WARC-Target-URI", F.col("url")),
-        F.when(revisit, line("WARC-Refers-To", ident(F.col("refers_to")))).otherwise(F.lit("")),
-        F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + _EOL)).otherwise(F.lit("")),
+        maybe("Page-ID", F.col("page_id")),
+        *revisit,
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         F.lit("Content-Type: text/html" + _EOL),
         line("Content-Length", F.octet_length(body)),
@@ -48,48 +61,73 @@ def _record(kind: Column) -> Column:
 
 
 def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, payload_digest and refers_to for each repeat: rows whose payload of at least min_bytes also has a larger page_id.
+    """page_id, payload_digest, refers_to and refers_url for each repeat: rows (page_id, url, payload_digest, payload_bytes) whose payload of at least min_bytes also has a larger page_id.
 
     Only headers are shuffled: digests are aggregated map-side before they meet, so a payload that a third of all pages
     share is a few rows; the join back is one that Spark can split. Null ids never refer nor are referred to.
     """
-    h = pages.select("page_id", "payload_digest", "payload_bytes").where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= min_bytes))
-    last = h.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("_least")).where("refers_to > _least")
-    return h.join(last.drop("_least"), "payload_digest").where("page_id < refers_to").select("page_id", "payload_digest", "refers_to").distinct()
+    h = pages.select("page_id", "url", "payload_digest", "payload_bytes").where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= min_bytes))
+    last = h.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("_last"), F.min("page_id").alias("_least")).where("_last.page_id > _least")
+    last = last.select("payload_digest", F.col("_last.page_id").alias("refers_to"), F.col("_last.url").alias("refers_url"))
+    return h.join(last, "payload_digest").where("page_id < refers_to").select("page_id", "payload_digest", "refers_to", "refers_url").distinct()
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, files: tuple = FILES, date: str | None = None) -> None:
     """Write one record per row of pages (page_id, url, html) to gzip files below path.
 
     Of equal payloads of min_bytes or more, the one with the largest page_id is the response and the others are revisits
     without a body. Null html is an empty payload. Rows with the largest page_id that are repeated are each a response; a
-    null page_id is always one. An empty table writes no record.
+    null page_id is always one. An empty table writes no record. date (by default now, UTC) is the WARC-Date of all records;
+    every record has an id of its own.
+
+    Headers (with digests) are stored first and alone decide what is a revisit; revisit records are made from them. Payloads
+    of responses go from the input to the files; they are shuffled only if there are too many revisits to broadcast their keys.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("_payload"))
-    p = p.withColumn("payload_bytes", F.octet_length("_payload").cast("long")).withColumn("payload_digest", payload_digest("_payload"))
-    out = p.join(resolve(p, min_bytes), ["page_id", "payload_digest"], "left")
-    kind = F.when(F.col("refers_to").isNotNull(), F.lit("revisit")).otherwise(F.lit("response"))
-    # Every record ends with two line ends, which the text writer puts after each row.
-    out.select(_record(kind).alias("value")).write.option("lineSep", _EOL * 2).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    p = p.withColumn("payload_bytes", F.octet_length("_payload").cast("long")).withColumn("payload_digest", payload_digest(F.col("_payload")))
+    headers = written(p.drop("_payload"), "headers")
+    again = written(resolve(headers, min_bytes), "revisits")
+    run, number = uuid4().hex, F.monotonically_increasing_id()
+    repeats = headers.join(again, ["page_id", "payload_digest"]).withColumn("_salt", F.concat_ws(" ", F.lit(f"{run} revisit"), number))
+    records = [repeats.select(_record("revisit", date, F.lit(""), F.col("_salt")).alias("value"))]
+    responses = join_ids(p, again, ["page_id", "payload_digest"], "left_anti")
+    least, sizes = 0, headers.agg(*[F.count_if(F.col("payload_bytes") <= most) for most, _ in files]).first()
+    for (most, per_file), below, before in zip(files, sizes, [0, *sizes], strict=False):
+        if below > before or not least:
+            part = responses if below == sizes[-1] and not before else responses.where((F.col("payload_bytes") <= most) & (F.col("payload_bytes") > least - 1))
+            part = part.withColumn("_salt", F.concat_ws(" ", F.lit(f"{run} {most}"), number))
+            records.append(part.select(_record("response", date, F.col("_payload"), F.col("_salt")).alias("value")))
+            out = records[0] if len(records) == 1 else records[0].unionByName(records[1])
+            # Every record ends with two line ends, which the text writer puts after each row.
+            out.write.mode("append").option("lineSep", _EOL * 2).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+            records = []
+        least = most + 1
+    discard(headers, again)
+
+
+def _records(packed: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and body of each record of a file, unpacked as they are reached."""
+    with gzip.open(io.BytesIO(packed)) as f:
+        while f.readline():
+            fields = {}
+            while (line := f.readline()) != b"\r\n":
+                name, value = line[:-2].decode().split(": ", 1)
+                fields[name] = value
+            yield fields, f.read(int(fields["Content-Length"]))
+            f.read(4)
 
 
 def _headers(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk the records of each file by their Content-Length."""
-    number = lambda v: int(v[len("<urn:page:") : -1]) if v and v != "<urn:page:>" else None
+    number = lambda v: int(v) if v else None
     for frame in files:
         for packed in frame["content"]:
-            content = gzip.decompress(packed)
-            rows, at = [], 0
-            while at < len(content):
-                end = content.index(b"\r\n\r\n", at)
-                fields = dict(x.split(": ", 1) for x in content[at:end].decode().split(_EOL)[1:])
-                size = int(fields["Content-Length"])
-                body = content[end + 4 : end + 4 + size]
+            rows = []
+            for fields, body in _records(packed):
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                 if fields["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
                     raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't have its digest")
-                rows.append((number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], digest, number(fields.get("WARC-Refers-To", "")), size))
-                at = end + 4 + size + 4
+                rows.append((number(fields.get("Page-ID")), fields["WARC-Target-URI"], fields["WARC-Type"], digest, number(fields.get("Refers-To-Page-ID")), len(body)))
             out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_digest", "refers_to", "content_length"])
             yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 

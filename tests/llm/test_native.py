@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -67,11 +68,33 @@ def test_warc(spark, tmp_path):
     assert got == sorted(want, key=repr)
     raw = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "w").glob("part-*")))
     assert raw.count(b"WARC-Type: response") == 5 and raw.endswith(b"\r\n\r\n")
+    ids = re.findall(rb"WARC-Record-ID: <urn:uuid:[0-9a-f-]{36}>", raw)
+    assert len(set(ids)) == len(pages) and len(re.findall(rb"WARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r\n", raw)) == len(pages)
+    # Files by size: payloads of up to 3 bytes, of up to 10, and longer ones, of which each has a file of its own.
+    warc.write_archives(df, f"{tmp_path}/s", files=((3, 2), (10, 5), (1 << 62, 1)))
+    again = warc.read_resolved(spark, f"{tmp_path}/s").select(*out.columns).collect()
+    assert sorted(again, key=repr) == sorted(out.collect(), key=repr)
     big = warc.roundtrip(df, min_bytes=3, path=f"{tmp_path}/v")
     assert big.where("page_id = 2").first().record_type == "response"
     assert warc.roundtrip(df.limit(0), path=f"{tmp_path}/u").collect() == []
 
 
+def test_hosts_of_many_labels(spark):
+    long = "http://" + "a." * 20_000 + "example.com/en/"
+    df = spark.createDataFrame([(1, long), (2, "http://.../x"), (3, "http:///fr/")], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in urlfilter.judge_urls(df, urlfilter.rules_table(spark)).orderBy("page_id").collect()] == [("example.com/en/", "block"), (None, "allow"), (None, "allow")]
+    anywhere = spark.createDataFrame([("block", "", "/fr/")], "action string, host string, path string")
+    assert [r.verdict for r in urlfilter.judge_urls(df, anywhere).orderBy("page_id").collect()] == ["allow", "allow", "block"]
+
+
+def test_ledger_can_be_filtered(spark):
+    rows = [(i, " ".join(f"w{i * j % 50}" for j in range(300)), "s") for i in range(60)] + [(90, "", "s"), (90, "", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    judged = quality.judge(quality.ledger(df))
+    assert judged.where("kept and n_words > 20").count() == sum(r.kept and r.n_words > 20 for r in judged.collect())
+    assert quality.measure(df.limit(0)).where("n_words = 0").collect() == [] and judged.where("doc_id = 90").count() == 2
+
+
 def test_urls(spark):
     urls = {
         "http://WWW.Example.com/en/x?q": ("www.example.com", "/en/x", "www.example.com/en/", "allow"), "https://a.example.com/en/": ("a.example.com", "/en/", "example.com/en/", "block"), "https://example.com/en": ("example.com", "/en", "com/", "allow"),
