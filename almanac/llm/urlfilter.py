@@ -37,20 +37,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     A rule fits its host and all subdomains where the path starts with the rule's path. The longest rule text wins; ties go
     to the longer host, then to block, then to the smaller text. Without a rule the verdict is `default`. Null urls and urls
     without :// have an empty host and path and fit no rule with a host. Each distinct url is judged once, so that repeated
-    rows and hot urls cost one expansion. Only the prefix lengths that some rule has are expanded; the rules may be of any
-    number, as they are joined by an equality on hash prefixes and broadcast only if Spark finds them small.
+    rows and hot urls cost one expansion. Only the path lengths and the numbers of host labels that some rule has are
+    expanded; the rules may be of any number, as they are joined by an equality on hash prefixes and broadcast only if Spark
+    finds them small.
     """
     spark = pages.sparkSession
     r = rules.select("action", "host", "path", F.concat("host", "path").alias("rule")).where(F.col("rule").isNotNull()).dropDuplicates()
     r = r.withColumn("digest", F.sha2("rule", 256)).withColumn("short", F.substring("digest", 1, PREFIX_HEX))
-    lengths = r.select(F.length("path").alias("n")).distinct().agg(F.sort_array(F.collect_list("n")).alias("_lengths"))
+    labels = lambda host: F.when(host == "", 0).otherwise(F.size(F.split(host, r"\.")))
+    lengths = r.agg(F.collect_set(F.length("path")).alias("_lengths"), F.collect_set(labels(F.col("host"))).alias("_counts"))
     u = pages.select(F.col(url).alias("_url")).distinct()
     u = u.withColumn("_host", url_host(F.col("_url"))).withColumn("_path", url_path(F.col("_url")))
-    u = u.crossJoin(F.broadcast(lengths))  # one row: the path lengths of the rules
-    labels = F.split("_host", r"\.")
-    u = u.withColumn("_labels", labels).withColumn(
-        "_hosts", F.array_union(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size("_labels")), lambda i: F.array_join(F.slice("_labels", i, F.size("_labels")), ".")))
-    )
+    u = u.crossJoin(F.broadcast(lengths))  # one row: the path lengths and label counts of the rules
+    suffix = lambda n: F.call_function("substring_index", F.col("_host"), F.lit("."), -n)
+    u = u.withColumn("_n", labels(F.col("_host"))).withColumn("_hosts", F.transform(F.filter("_counts", lambda n: n <= F.col("_n")), suffix))
     u = u.withColumn("_paths", F.transform(F.filter("_lengths", lambda n: n <= F.length("_path")), lambda n: F.substring(F.col("_path"), F.lit(1), n)))
     e = u.select("_url", F.explode("_hosts").alias("_h"), "_paths").select("_url", "_h", F.explode("_paths").alias("_p"))
     e = e.withColumn("_digest", F.sha2(F.concat("_h", "_p"), 256)).withColumn("short", F.substring("_digest", 1, PREFIX_HEX))
