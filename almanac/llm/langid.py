@@ -8,8 +8,11 @@ fitted by expectation maximisation on word counts of about SAMPLE documents per
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,28 +27,42 @@ VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 START = "▁"
 #: Documents per language that a model is fitted on, chosen by a hash of the id (an expected number; all if there are fewer).
 SAMPLE = 2000
-#: Longest piece in characters; words are cut every LONGEST characters before they are scored.
-PIECE, LONGEST = 6, 48
+#: Longer words (in characters) are scored one by one with sums that are rescaled on the way; they would underflow otherwise.
+LONG = 40
+#: Characters of a text and of a long word that are looked at together.
+PART, LONG_PART = 1 << 18, 1 << 12
 ROUNDS = 3
 FLOOR = 1e-7
 KEPT = 200_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Characters that regular expressions take for letters although they are numbers (category N).
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: str) -> list[str]:
-    found = _WORD.findall(text.lower())
-    return found if all(len(w) <= LONGEST for w in found) else [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
+def words_of(text: str) -> Iterator[list[str]]:
+    """Runs of letters (category L), lower-cased, of PART characters of text or so at a time."""
+    at = 0
+    while len(text) - at > PART:
+        end = at + PART
+        while end > at and text[end - 1].isalpha() and text[end].isalpha():
+            end -= 1
+        if end == at:  # one word; take all of it
+            end = _WORD.match(text, at).end()
+        yield _WORD.findall(text[at:end].lower())
+        at = end
+    yield _WORD.findall(text[at:].lower())
 
 
 class Pieces:
-    """The vocabulary's pieces of up to PIECE characters, looked up by hash for many substrings at once."""
+    """The vocabulary's pieces of lower-case letters, looked up by hash for many substrings at once."""
 
     def __init__(self, path: str):
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
-        self.text = sorted(p.piece for p in proto.pieces if p.type == 1 and len(p.piece) <= PIECE and p.piece == p.piece.lower() and re.fullmatch(f"{START}?[^\\W\\d_]*", p.piece))
+        self.text = sorted(p.piece for p in proto.pieces if p.type == 1 and p.piece == p.piece.lower() and re.fullmatch(f"{START}?({_WORD.pattern})?", p.piece))
+        self.longest = max(map(len, self.text))
         keys = np.array([self._key(p) for p in self.text], np.uint64)
         order = np.argsort(keys)
         self._keys, self._place = keys[order], order.astype(np.int32)
@@ -60,7 +77,7 @@ class Pieces:
         return h ^ (h >> np.uint64(29))
 
     def _key(self, piece: str) -> int:
-        h = np.array([len(piece)], np.uint64)
+        h = np.zeros(1, np.uint64)
         for c in piece:
             h = self._step(h, np.array([ord(c)], np.uint64))
         return int(h[0])
@@ -73,15 +90,26 @@ class Pieces:
             out[hit] = self._place[at + k][hit]
         return out
 
-    def spans(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    def spans(self, words: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
         """(start, end, piece) for all substrings of words of one length, a matrix of code points, by end."""
-        n = words.shape[1]
-        for end in range(1, n + 1):
-            for start in range(end - 1, max(-1, end - 1 - PIECE), -1):
-                h = np.full(len(words), end - start, np.uint64)
-                for k in range(start, end):
-                    h = self._step(h, words[:, k])
-                yield start, end, self.find(h)
+        n, out = words.shape[1], []
+        for start in range(n):
+            h = np.zeros(len(words), np.uint64)
+            for end in range(start + 1, min(n, start + self.longest) + 1):
+                h = self._step(h, words[:, end - 1])
+                out.append((start, end, self.find(h)))
+        return sorted(out, key=lambda x: (x[1], -x[0]))
+
+    def table(self, points: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Pieces that start at a to b - 1 (rows) by length (columns, from 1) in one long word."""
+        out = np.full((b - a, self.longest), len(self.text), np.int32)
+        h, part = np.zeros(b - a, np.uint64), points[a : b + self.longest].astype(np.uint64)
+        for n in range(1, self.longest + 1):
+            rows = min(b, len(points) - n + 1) - a
+            if rows > 0:
+                h[:rows] = self._step(h[:rows], part[n - 1 : n - 1 + rows])
+                out[:rows, n - 1] = self.find(h[:rows])
+        return out
 
 
 @lru_cache(2)
@@ -99,22 +127,91 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield part, points.astype(np.uint64)
 
 
+def _q(prob: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Probabilities of a table of pieces, single characters at least FLOOR."""
+    q = prob[ids]
+    q[:, 0] = np.maximum(q[:, 0], FLOOR)
+    return q
+
+
+def long_sums(points: np.ndarray, prob: np.ndarray, vocabulary: Pieces, back: bool = False, every: bool = False) -> np.ndarray:
+    """Logs of the forward sums (backward ones if back) of one word, by language: the last, or those of every position.
+
+    Sums are kept for as many positions as a piece is long, divided by the latest from time to time.
+    """
+    n, most = len(points), vocabulary.longest
+    now, scale = np.zeros((most, prob.shape[1])), np.zeros(prob.shape[1])
+    now[-1] = 1
+    out = np.zeros((n + 1, prob.shape[1])) if every else None
+    for a in range(0, n, LONG_PART):
+        b = min(n, a + LONG_PART)
+        if back:
+            q = _q(prob, vocabulary.table(points, n - b, n - a)[::-1])
+        else:
+            first = max(0, a - most + 1)
+            starts = vocabulary.table(points, first, b)
+            at = np.arange(a + 1, b + 1)[:, None] - np.arange(1, most + 1)
+            q = _q(prob, np.where(at < first, len(vocabulary.text), starts[np.maximum(at - first, 0), np.arange(most)]))
+        sums = np.concatenate((now, np.zeros((b - a, prob.shape[1]))))
+        for i in range(b - a):
+            v = (sums[i : i + most][::-1] * q[i]).sum(axis=0)
+            sums[most + i] = v
+            if every:
+                out[a + i + 1] = np.log(v) + scale
+            if i % 16 == 15:
+                sums[i + 1 : most + i + 1] /= v
+                scale += np.log(v)
+        now = sums[-most:]
+    if every:
+        return out[::-1] if back else out
+    return np.log(now[-1]) + scale
+
+
+def _points(word: str) -> np.ndarray:
+    return np.frombuffer((START + word).encode("utf-32-le"), np.uint32)
+
+
+def _split(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of short and of long words."""
+    long = np.array([len(w) > LONG for w in words], bool)
+    return np.flatnonzero(~long), np.flatnonzero(long)
+
+
 def log_likelihoods(words: list[str], prob: np.ndarray, vocabulary: Pieces) -> np.ndarray:
     """For each word and language the log of the sum over all segmentations. prob: pieces and a last row of zeros, by language."""
     out = np.zeros((len(words), prob.shape[1]))
-    for at, points in _by_length(words):
+    short, long = _split(words)
+    for i in long.tolist():
+        out[i] = long_sums(_points(words[i]), prob, vocabulary)
+    for at, points in _by_length([words[i] for i in short.tolist()]):
         alpha = np.zeros((points.shape[1] + 1, len(at), prob.shape[1]))
         alpha[0] = 1
         for start, end, piece in vocabulary.spans(points):
             alpha[end] += alpha[start] * np.maximum(prob[piece], FLOOR if end - start == 1 else 0)
-        out[at] = np.log(np.maximum(alpha[-1], 1e-300))
+        out[short[at]] = np.log(alpha[-1])
     return out
 
 
+def _long_counts(out: np.ndarray, word: str, k: int, weight: float, prob: np.ndarray, vocabulary: Pieces) -> None:
+    points, own = _points(word), prob[:, [k]]
+    ahead, back = (long_sums(points, own, vocabulary, b, every=True)[:, 0] for b in (False, True))
+    for a in range(0, len(points), LONG_PART):
+        b = min(len(points), a + LONG_PART)
+        ids = vocabulary.table(points, a, b)
+        end = np.minimum(np.arange(a, b)[:, None] + np.arange(1, vocabulary.longest + 1), len(points))
+        with np.errstate(divide="ignore"):
+            share = np.exp(ahead[a:b, None] + back[end] + np.log(_q(own, ids)[:, :, 0]) - ahead[-1])
+        np.add.at(out, (ids, k), share * weight)
+
+
 def expected_counts(words: list[str], language: np.ndarray, weight: np.ndarray, prob: np.ndarray, vocabulary: Pieces) -> np.ndarray:
     """How often each piece is expected in the weighted words, by language: forward and backward sums over all segmentations."""
     out = np.zeros_like(prob)
-    for at, points in _by_length(words):
+    short, long = _split(words)
+    for i in long.tolist():
+        _long_counts(out, words[i], int(language[i]), float(weight[i]), prob, vocabulary)
+    for place, points in _by_length([words[i] for i in short.tolist()]):
+        at = short[place]
         own, n = language[at], points.shape[1]
         found = [(s, e, p, np.maximum(prob[p, own], FLOOR if e - s == 1 else 0)) for s, e, p in vocabulary.spans(points)]
         alpha, beta = np.zeros((n + 1, len(at))), np.zeros((n + 1, len(at)))
@@ -123,7 +220,7 @@ def expected_counts(words: list[str], language: np.ndarray, weight: np.ndarray,
             alpha[e] += alpha[s] * q
         for s, e, _, q in reversed(found):
             beta[s] += beta[e] * q
-        scale = weight[at] / np.maximum(alpha[n], 1e-300)
+        scale = weight[at] / alpha[n]
         for s, e, p, q in found:
             np.add.at(out, (p, own), alpha[s] * q * beta[e] * scale)
     out[-1] = 0
@@ -138,8 +235,11 @@ def held_out(id_col: str) -> Column:
 def _count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         for lang, texts in f.groupby("lang")["text"]:
-            found = pd.Series([w for t in texts for w in words_of(t)], dtype=object).value_counts()
-            yield pd.DataFrame({"lang": lang, "word": found.index, "n": found.to_numpy()})
+            found = Counter()
+            for t in texts:
+                for words in words_of(t):
+                    found.update(words)
+            yield pd.DataFrame({"lang": lang, "word": list(found), "n": list(found.values())})
 
 
 def fit(docs: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
@@ -185,26 +285,31 @@ class Scorer:
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """A row per text; nan where it has no letter."""
-        if len(self.place) > KEPT:
-            self.place, self.known = {}, self.known[:0]
-        place, at = self.place, []
-        for t in texts:
-            at.append([place.setdefault(w, len(place)) for w in words_of(t)])
-        if len(place) > len(self.known):
-            self.known = np.concatenate((self.known, log_likelihoods(list(place)[len(self.known) :], self.prob, self.vocabulary)))
-        return np.array([self.known[a].sum(axis=0) if a else np.full(self.prob.shape[1], np.nan) for a in at]).reshape(len(texts), -1)
-
-
-def _slices(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
-    part, n = [], 0
-    for t in texts:
-        part.append(t)
-        n += len(t)
+        out = np.full((len(texts), self.prob.shape[1]), np.nan)
+        parts = ((i, words) for i, t in enumerate(texts) for words in words_of(t))
+        for some in _together(parts):
+            if len(self.place) > KEPT:
+                self.place, self.known = {}, self.known[:0]
+            place = self.place
+            at = [(i, [place.setdefault(w, len(place)) for w in words]) for i, words in some if words]
+            if len(place) > len(self.known):
+                self.known = np.concatenate((self.known, log_likelihoods(list(islice(place, len(self.known), None)), self.prob, self.vocabulary)))
+            for i, a in at:
+                out[i] = np.nan_to_num(out[i]) + self.known[a].sum(axis=0)
+        return out
+
+
+def _together(parts: Iterator[tuple[int, list[str]]], size: int = 200_000) -> Iterator[list[tuple[int, list[str]]]]:
+    """Lists of parts with about `size` words."""
+    some, n = [], 0
+    for part in parts:
+        some.append(part)
+        n += len(part[1])
         if n >= size:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
 
 
 def _predict(langs: list[str], prob: np.ndarray, path: str):
@@ -214,7 +319,7 @@ def _predict(langs: list[str], prob: np.ndarray, path: str):
         scorer = Scorer(small.astype(float), path)
         for f in frames:
             texts = [t or "" for t in f.pop("_text")]
-            logs = np.concatenate([scorer(part) for part in _slices(texts)]) if texts else np.zeros((0, len(langs)))
+            logs = scorer(texts)
             lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             ok = ~np.isnan(logs[:, 0]) if len(langs) else np.zeros(len(texts), bool)
             if ok.any():
@@ -231,11 +336,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     """All rows of docs plus lang_pred and score (the share of the likelihood, 0 to 1).
 
     Only the text is read. Null texts and texts without a letter are `und` with score 0, as is all if the model knows no
-    language; of equal likelihoods the first language by name wins. Columns named like the added ones are replaced.
+    language; of equal likelihoods the first language by name wins. Columns named like the added ones or `_text` are replaced.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "_text")]
     d = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    kinds = ", ".join(f"`{n}` {k}" for n, k in d.drop("_text").dtypes)
+    kinds = ", ".join(f"`{n}` {k}" for n, k in docs.select(*keep).dtypes)
     return d.mapInPandas(_predict(*model, path), f"{kinds}, lang_pred string, score double")
 
 

@@ -29,13 +29,42 @@ def test_forward_sums_all_segmentations():
     rng = np.random.default_rng(2)
     prob = rng.random((len(v.text) + 1, 1)) / len(v.text)
     prob[-1] = 0
-    words = ["the", "a", "tionen", "über", "ñandú", "qzxqzx", "日本"]
+    words = ["the", "a", "tionen", "über", "ñandú", "qzxqzx", "日本", "responsibilit"]
     got = langid.log_likelihoods(words, prob, v)[:, 0]
     assert np.allclose(got, [brute(w, prob, v) for w in words])
     counts = langid.expected_counts(["the"], np.array([0]), np.array([2.0]), prob, v)
     assert 2 <= counts.sum() <= 8  # two words of one to four pieces each
 
 
+def test_long_words(monkeypatch):
+    """Rescaled sums are the plain ones, wherever parts end; all of a word counts."""
+    v = langid.pieces(langid.VOCABULARY)
+    assert v.longest > 6
+    rng = np.random.default_rng(3)
+    prob = rng.random((len(v.text) + 1, 3)) / 50
+    prob[-1] = 0
+    words = ["responsibilities", "internationalisierung", "日本ñq" * 3]
+    want, lang, weight = langid.log_likelihoods(words, prob, v), np.array([0, 1, 2]), np.array([1.0, 2.0, 3.0])
+    counts = langid.expected_counts(words, lang, weight, prob, v)
+    monkeypatch.setattr(langid, "LONG", 3)
+    for part in (4, 7, 4096):
+        monkeypatch.setattr(langid, "LONG_PART", part)
+        assert np.allclose(langid.log_likelihoods(words, prob, v), want)
+        assert np.allclose(langid.expected_counts(words, lang, weight, prob, v), counts)
+    monkeypatch.undo()
+    x = langid.log_likelihoods(["haus" * 300, "haus" * 300 + "q", "haus" * 600], prob, v)
+    assert np.isfinite(x).all() and (x[1] < x[0]).all() and (x[2] < x[1]).all()
+
+
+def test_words(monkeypatch):
+    text = "Ab² c½d ①Ⅷ e_f3G İx ΑΣ " + "long" * 9 + " 日本"
+    want = ["ab", "c", "d", "e", "f", "g", "i", "x", "ας", "long" * 9, "日本"]
+    assert [w for part in langid.words_of(text) for w in part] == want
+    for size in range(1, 30):
+        monkeypatch.setattr(langid, "PART", size)
+        assert [w for part in langid.words_of(text) for w in part] == want
+
+
 def test_accuracy_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'")
@@ -44,8 +73,10 @@ def test_accuracy_on_held_out(spark):
 
 def test_edges(spark):
     schema = "doc_id long, text string, lang string, score int"
+    clash = langid.predict(spark.createDataFrame([(1, "das haus", "x")], "doc_id long, text string, _text string"), (["de"], np.ones((len(langid.pieces(langid.VOCABULARY).text) + 1, 1)) / 9))
+    assert clash.columns == ["doc_id", "text", "lang_pred", "score"] and clash.first().lang_pred == "de"
     rows = [(i, "the house and the garden" if i % 2 else "das haus und der garten", "en" if i % 2 else "de", 1) for i in range(40)]
-    rows += [(100, None, "en", 1), (101, "", "de", 1), (102, "123 !!", None, 1), (None, "und der garten", None, 1), (103, "haus" * 5000, None, 1), (1, "the house and the garden", "en", 1)]
+    rows += [(100, None, "en", 1), (101, "", "de", 1), (102, "123 ²½① !!", None, 1), (None, "und der garten", None, 1), (103, "haus" * 5000, None, 1), (1, "the house and the garden", "en", 1)]
     out = langid.identify(spark.createDataFrame(rows, schema))
     got = {r.doc_id: r for r in out.collect()}
     assert out.count() == len(rows)
