@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,6 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sums == state or not sums[0]:
             break
-        state = sums
+        state, last = sums, now
         now = written(_star(_star(now, True), False), "links")
+        discard(last)
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

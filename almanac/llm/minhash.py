@@ -13,18 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import Powers, byte_table, mix, string_buffer
+from .buffers import MULTIPLIER, Powers, byte_table, mix, string_buffer
 from .components import components
-from .scratch import written
+from .scratch import discard, join_ids, written
 
 PERMUTATIONS, BAND = 64, 4
 #: Bytes of text that are hashed together.
 PIECE = 1 << 19
-#: So many ids (of 8 bytes) at most are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
+#: Members that one star takes before its group is dealt into parts, and sets of one token that one task compares with others.
+STAR, SPLIT = 1024, 2048
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -36,8 +36,8 @@ _TIMES = _RANDOM.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * _U(2) + _U(
 _PLUS = _RANDOM.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 
 
-def word_hashes(buf: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts between the offsets, and the offsets of each text's words."""
+def _word_sums(buf: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...]:
+    """Byte sums of all words of the texts between the offsets, their starts and ends, and the offsets of each text's words."""
     buf = _LOWER[buf[at[0] : at[-1]]]
     space = _SPACE[buf]
     edge = np.ones(len(buf) + 1, bool)
@@ -45,26 +45,69 @@ def word_hashes(buf: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.nda
     edge[at - at[0]] = True
     start = np.flatnonzero(edge[:-1] & ~space)
     end = np.flatnonzero(edge[1:] & ~space) + 1
-    hashes = mix(powers.between(powers.sums(_BYTES[buf]), start, end) + (end - start).astype(np.uint64))
-    return hashes, np.searchsorted(start, at - at[0])
+    return powers.between(powers.sums(_BYTES[buf]), start, end), start, end, np.searchsorted(start, at - at[0])
+
+
+def word_hashes(buf: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts between the offsets, and the offsets of each text's words."""
+    sums, start, end, word_at = _word_sums(buf, at, powers)
+    return mix(sums + (end - start).astype(np.uint64)), word_at
+
+
+def _times(k: int) -> list[np.uint64]:
+    return [_U(pow(0xD6E8FEB86659FD93, j + 1, 2**64)) for j in range(k)]
+
+
+def _windows(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k words in a row."""
+    n = max(0, len(words) - k + 1)
+    return mix(sum((words[j : j + n] * t for j, t in enumerate(_times(k))), np.zeros(n, np.uint64)))
+
+
+def _few(words: np.ndarray, k: int) -> np.ndarray:
+    """The one hash of fewer than k words; none of no word."""
+    return mix(np.array([sum(int(w) * int(t) for w, t in zip(words, _times(k), strict=False)) % 2**64], np.uint64)) if len(words) else np.zeros(0, np.uint64)
 
 
 def shingle_sets(words: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's k-word shingles; of fewer words, of the whole sequence; of none, none."""
-    times = [_U(pow(0xD6E8FEB86659FD93, j + 1, 2**64)) for j in range(k)]
-    n = max(0, len(words) - k + 1)
-    full = mix(sum((words[j : j + n] * times[j] for j in range(k)), np.zeros(n, np.uint64)))
-    out = []
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if b - a >= k:
-            out.append(np.unique(full[a : b - k + 1]))
-        else:
-            out.append(mix(np.array([sum(int(w) * int(t) for w, t in zip(words[a:b], times, strict=False)) % 2**64], np.uint64)) if b > a else np.zeros(0, np.uint64))
-    return out
+    full = _windows(words, k)
+    return [np.unique(full[a : b - k + 1]) if b - a >= k else _few(words[a:b], k) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def long_set(buf: np.ndarray, k: int, powers: Powers) -> np.ndarray:
+    """shingle_sets() of one text of any length, PIECE bytes at a time. A word that a piece cuts goes on with its sum so far."""
+    found, new, size = np.zeros(0, np.uint64), [], 0
+    last = np.zeros(0, np.uint64)  # the last k - 1 words
+    total, length = 0, 0  # sum and length of the word that the last piece cut
+    for a in range(0, len(buf), PIECE):
+        part = buf[a : a + PIECE]
+        sums, start, end, _ = _word_sums(part, np.array([0, len(part)]), powers)
+        lengths = (end - start).astype(np.uint64)
+        if length and (not len(start) or start[0]):  # the cut word ended at the cut
+            sums, lengths, start, end = np.append(_U(total), sums), np.append(_U(length), lengths), np.append(-1, start), np.append(0, end)
+        elif length:
+            sums[0] = (total + pow(MULTIPLIER, length, 2**64) * int(sums[0])) % 2**64
+            lengths[0] += _U(length)
+        total = length = 0
+        if len(end) and end[-1] == len(part) and a + PIECE < len(buf):
+            total, length = int(sums[-1]), int(lengths[-1])
+            sums, lengths = sums[:-1], lengths[:-1]
+        words = np.concatenate((last, mix(sums + lengths)))
+        last = words[max(0, len(words) - k + 1) :]
+        new.append(np.unique(_windows(words, k)))
+        size += len(new[-1])
+        if size > max(len(found), PIECE):
+            found, new, size = np.unique(np.concatenate((found, *new))), [], 0
+    found = np.unique(np.concatenate((found, *new)))
+    return found if len(found) else _few(last, k)
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """Least and greatest value of each non-empty set under each permutation, side by side."""
+    if len(sets) == 1 and len(sets[0]) > PIECE:
+        parts = np.concatenate([signatures([sets[0][i : i + PIECE]]) for i in range(0, len(sets[0]), PIECE)])
+        return np.where(np.arange(2 * PERMUTATIONS) % 2, parts.max(axis=0), parts.min(axis=0))[None]
     flat, at = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
     out = np.empty((len(sets), 2 * PERMUTATIONS), np.uint64)
     for p in range(PERMUTATIONS):
@@ -92,14 +135,14 @@ def _slices(at: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _sets_of(batch: pa.RecordBatch, k: int, powers: list[Powers]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+def _sets_of(batch: pa.RecordBatch, k: int, powers: Powers) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     buf, at = string_buffer(batch.column("text"))
     for i, j in _slices(at):
-        size = int(at[j] - at[i])
-        if size >= len(powers[0].up):
-            powers[0] = Powers(size)
-        words, word_at = word_hashes(buf, at[i : j + 1], powers[0])
-        yield i, j, shingle_sets(words, word_at, k)
+        if at[j] - at[i] > PIECE:  # one long text
+            yield i, j, [long_set(buf[at[i] : at[j]], k, powers)]
+        else:
+            words, word_at = word_hashes(buf, at[i : j + 1], powers)
+            yield i, j, shingle_sets(words, word_at, k)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -107,19 +150,20 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(at, np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64))
 
 
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    """128-bit digests of sets, as two numbers; zeros for empty ones."""
+    return np.frombuffer(b"".join(hashlib.blake2b(s, digest_size=16).digest() if len(s) else bytes(16) for s in sets), np.int64).reshape(-1, 2)
+
+
 def _signed(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = [Powers(PIECE)]
+        powers = Powers(PIECE)
         for batch in batches:
             for i, j, sets in _sets_of(batch, k, powers):
-                n = np.array([len(s) for s in sets], np.int64)
-                some = n > 0
-                digest = np.zeros((len(sets), 2), np.int64)
+                n, digest = np.array([len(s) for s in sets], np.int64), _digests(sets)
                 b: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(sets)
-                if some.any():
-                    full = [s for s in sets if len(s)]
-                    digest[some] = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in full), np.int64).reshape(-1, 2)
-                    for place, row in zip(np.flatnonzero(some).tolist(), bands(signatures(full)), strict=True):
+                if n.any():
+                    for place, row in zip(np.flatnonzero(n).tolist(), bands(signatures([s for s in sets if len(s)])), strict=True):
                         b[place] = row
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n), pa.array(digest[:, 0]), pa.array(digest[:, 1]), _lists(b)], names=["doc_id", "n", "c1", "c2", "bands"])
 
@@ -128,10 +172,11 @@ def _signed(k: int):
 
 def _plain_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = [Powers(PIECE)]
+        powers = Powers(PIECE)
         for batch in batches:
-            for i, j, sets in _sets_of(batch, k, powers):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), _lists(sets)], names=["doc_id", "shingles"])
+            for _, _, sets in _sets_of(batch, k, powers):
+                digest = _digests(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), _lists(sets)], names=["c1", "c2", "shingles"])
 
     return run
 
@@ -141,14 +186,38 @@ def signed_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_signed(k), "doc_id long, n long, c1 long, c2 long, bands array<long>")
 
 
+def grouped(rows: DataFrame, key: str) -> DataFrame:
+    """The rows (key, node) of groups of two and more, with the group's size n and its top, the least node."""
+    groups = rows.groupBy(key).agg(F.count("*").alias("n"), F.min("node").alias("top")).where("n > 1")
+    return rows.join(groups, key).select(key, "node", "n", "top")
+
+
+def stars(members: DataFrame, key: str) -> DataFrame:
+    """a (centre), b: links within groups, in proportion to their members (see grouped()).
+
+    A group of up to STAR members has its top as centre. A larger one is dealt into parts, as many as its size has a root;
+    members are linked with the least of their part, and these with the top. So no centre has more than about STAR members or
+    the root of their number.
+    """
+    small = members.where(F.col("n") <= STAR).select(F.col("top").alias("a"), F.col("node").alias("b"))
+    large = members.where(F.col("n") > STAR).withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.sqrt("n"))))
+    parts = large.groupBy(key, "part").agg(F.min("node").alias("least"), F.min("top").alias("top"))
+    tops = parts.select(F.col("top").alias("a"), F.col("least").alias("b"))
+    inner = large.join(parts.drop("top"), [key, "part"]).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return small.unionByName(tops).unionByName(inner).where("a <> b").distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    A pair carries the set of b to where it meets that of a, which many pairs may have; there they are compared at once.
+    """
+    left = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     na, nb = F.size("sa"), F.size("sb")
-    sized = pairs.join(left, "a").where((100 * na >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * na)).join(right, "b")
+    met = pairs.join(left, "b").join(right, "a").where((100 * na >= percent * nb) & (100 * nb >= percent * na))
     inter = F.size(F.array_intersect("sa", "sb"))
-    return sized.withColumn("i", inter).where(100 * F.col("i") >= percent * (na + nb - F.col("i"))).select("a", "b")
+    return met.withColumn("i", inter).where(100 * F.col("i") >= percent * (na + nb - F.col("i"))).select("a", "b")
 
 
 def _close(percent: int) -> tuple[float, float]:
@@ -157,39 +226,91 @@ def _close(percent: int) -> tuple[float, float]:
     return 1 - j, 1 - 2 * j / (1 + j)
 
 
-def _residual_pairs(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that star links may have missed: sets that met in a band but are in different components so far.
+def _with_components(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _apart(rows: DataFrame, key: str) -> DataFrame:
+    """The rows (key, component) of those groups that hold more than one component."""
+    mixed = rows.groupBy(key).agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y").select(key)
+    return rows.join(mixed, key)
+
+
+def fronts(sets: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
+    """node, n, w, r: the first tokens of the sets of rest, rarest first, of which two sets with J >= percent share one, and their ranks from 1."""
+    tokens = written(sets.join(rest, "node").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("w")), "tokens")
+    often = tokens.groupBy("w").agg(F.count("*").alias("df"))
+    # The rank is the place in the sorted array: no window over whole sets.
+    ranked = tokens.join(often, "w").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("_o"))
+    front = F.slice("_o", F.lit(1), F.least(F.col("n"), F.ceil(F.col("n") * _close(percent)[0] + 1e-9).cast("int") + 1))
+    out = ranked.withColumn("_f", front).select("node", "n", F.posexplode("_f").alias("r", "_x")).where("_x.df > 1")
+    out = written(out.select("node", "n", (F.col("r") + 1).alias("r"), F.col("_x.w").alias("w")), "fronts")
+    discard(tokens)
+    return out
+
+
+def _possible(percent: int) -> Column:
+    """Whether the smaller set a and b (sizes na, nb) can be close if their first common token has ranks ra and rb."""
+    return F.expr(f"100 * na >= {percent} * nb and (100 + {percent}) * (1 + least(na - ra, nb - rb)) >= {percent} * (na + nb)")
+
+
+def _sides(rows: DataFrame, columns: tuple[str, ...], percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of a front as smaller set (a) and as larger one (b); a smaller set needs a shorter front."""
+    side = lambda df, s: df.select("w", *[F.col(c).alias(f"{c}{s}") for c in columns])
+    return side(rows.where(F.col("r") <= F.ceil(F.col("n") * _close(percent)[1] + 1e-9) + 1), "a"), side(rows, "b")
+
+
+def _front_pairs(front: DataFrame, percent: int) -> DataFrame:
+    """a, b: all pairs of different components that the front (node, n, w, r, component) leaves possible.
+
+    Of a token that more than SPLIT sets have, only the sizes and ranks count at first: sets that with no other size and rank
+    would do, those that have a frequent passage behind many tokens of their own, are left out. Of the others one side is
+    dealt over several tasks and the other goes to each of them.
+    """
+    often = front.groupBy("w").agg(F.count("*").alias("of"))
+    front = front.join(often, "w")
+    hot = F.col("of") > SPLIT
+    kinds = front.where(hot).select("w", "n", "r").distinct()
+    x, y = _sides(kinds, ("n", "r"), percent)
+    fit = x.join(y, "w").where((F.col("na") <= F.col("nb")) & _possible(percent))
+    fit = fit.select("w", F.inline(F.array(F.struct(F.col("na").alias("n"), F.col("ra").alias("r")), F.struct(F.col("nb").alias("n"), F.col("rb").alias("r"))))).distinct()
+    front = front.where(~hot).unionByName(front.where(hot).join(fit, ["w", "n", "r"]).select(*front.columns))
+    parts = F.ceil(F.col("of") / SPLIT).cast("int")
+    a, b = _sides(front.withColumn("parts", parts), ("node", "n", "r", "component", "parts"), percent)
+    a = a.withColumn("part", F.pmod(F.xxhash64("nodea"), F.col("partsa")).cast("int"))
+    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("partsb") - 1)))
+    ordered = F.expr("na < nb or (na = nb and nodea < nodeb)")
+    met = a.join(b, ["w", "part"]).where(ordered & _possible(percent) & F.expr("componenta <> componentb"))
+    return met.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+
+
+def _residual(members: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that stars may have missed: between sets that met in a band and are in different components.
 
     Exact for those sets, by prefix and position filters: with tokens ordered by their frequency among these sets (rarest
-    first), two sets with J >= percent share a token near the front of both. Frequent passages lie at the back, so that sets
-    which only share such a passage don't meet.
+    first), two sets with J >= percent share a token near the front of both. Tokens that hold one component only are left out.
     """
-    here = members.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = here.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = written(here.join(mixed, "key").select("doc_id", "component").distinct(), "rest")
-    tokens = written(sets.join(rest, "doc_id").select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("w")), "tokens")
-    often = tokens.groupBy("w").agg(F.count("*").alias("df"))
-    long, short = _close(percent)
-    # Counts of tokens before and at the rank, without a window over whole sets: the rank is the place in the sorted array.
-    ranked = tokens.join(often, "w").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("_o"))
-    front = F.slice("_o", F.lit(1), F.least(F.col("n"), F.ceil(F.col("n") * long + 1e-9).cast("int") + 1))
-    ranked = ranked.withColumn("_f", front).select("doc_id", "n", F.posexplode("_f").alias("r", "_x")).select("doc_id", "n", (F.col("r") + 1).alias("r"), F.col("_x.df").alias("df"), F.col("_x.w").alias("w"))
-    ranked = written(ranked.where("df > 1").join(rest, "doc_id").drop("df"), "fronts")
-    a = ranked.where(F.col("r") <= F.ceil(F.col("n") * short + 1e-9) + 1).select("w", *[F.col(c).alias(f"{c}a") for c in ("doc_id", "n", "r", "component")])
-    b = ranked.select("w", *[F.col(c).alias(f"{c}b") for c in ("doc_id", "n", "r", "component")])
-    ordered = F.expr("na < nb or (na = nb and doc_ida < doc_idb)")
-    sized = F.expr(f"100 * na >= {percent} * nb")
-    placed = F.expr(f"(100 + {percent}) * (1 + least(na - ra, nb - rb)) >= {percent} * (na + nb)")
-    met = a.join(b, (a["w"] == b["w"]) & ordered & sized & placed & F.expr("componenta <> componentb"))
-    return met.select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b"), F.col("nb")).distinct()
-
-
-def _sets_of_members(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """doc_id, shingles of the documents that met another in a band. Their ids are broadcast if they are few enough, so that texts aren't shuffled."""
-    nodes = written(members.select("doc_id").distinct(), "nodes")
-    few = nodes.count() <= BROADCAST_IDS
-    own = docs.join(F.broadcast(nodes) if few else nodes, "doc_id").select("doc_id", "text")
-    return written(own.mapInArrow(_plain_sets(k), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    found = components(links)
+    rest = written(_apart(_with_components(members.select("key", "node"), found), "key").select("node").distinct(), "rest")
+    front = fronts(sets, rest, percent)
+    apart = written(_apart(_with_components(front, found), "w"), "apart")
+    return confirmed(_front_pairs(apart, percent), sets, percent)
+
+
+def _sets_of_members(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """node, shingles of the sets that met another in a band, each made from a document that has it. Few ids are broadcast, so that texts aren't shuffled."""
+    nodes = written(classes.join(members.select("node").distinct(), "node").select("node", "c1", "c2", "doc_id"), "nodes")
+    ids = written(nodes.select("doc_id").distinct(), "ids")
+    own = join_ids(docs, ids, ["doc_id"], "left_semi").select("doc_id", "text")
+    made = own.mapInArrow(_plain_sets(k), "c1 long, c2 long, shingles array<long>").dropDuplicates(["c1", "c2"])
+    return written(made.join(nodes, ["c1", "c2"]).select("node", "shingles"), "sets")
+
+
+def _same_ids(base: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: links between the sets of rows that share an id."""
+    many = base.groupBy("doc_id").agg(F.min("c1").alias("_x"), F.max("c1").alias("_y")).where("_x <> _y").select("doc_id")
+    rows = base.join(many, "doc_id").join(classes.select("c1", "c2", "node"), ["c1", "c2"]).select("doc_id", "node").distinct()
+    return stars(grouped(rows, "doc_id"), "doc_id")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -197,25 +318,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     Words are runs of characters other than 0x20 and 0x09-0x0D, A-Z lower-cased. A text of fewer than k words is one
     shingle; null texts and texts without words have none, are linked with nothing and kept. Rows with a null id take no
-    part: component_id is null, kept true. Rows that share an id are one document, and each gets its result.
+    part: component_id is null, kept true. Rows that share an id are one document: what is near to either text is linked with
+    both, and n_shingles is that of the row's own text. The result doesn't depend on the order of rows.
 
-    Candidates are stars in bands (each member with the least id), so no group is expanded into its pairs; what stars leave
-    apart is searched exactly (see _residual_pairs). Links are confirmed on full sets before they count.
+    Candidates are stars in bands (see stars()), so no group is expanded into its pairs; what stars leave apart is searched
+    exactly (see _residual()). Links are confirmed on full sets before they count.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    base = written(signed_sets(docs, k), "signed")
-    reps = written(base.where("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id")), "classes")
-    banded = written(base.join(reps, ["c1", "c2", "doc_id"]).dropDuplicates(["c1", "c2"]).select("doc_id", "n", F.explode("bands").alias("key")), "bands")
-    keys = banded.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("key", "a")
-    members = written(banded.join(keys, "key"), "members")
-    pairs = written(members.where("a <> doc_id").select("a", F.col("doc_id").alias("b"), F.col("n").alias("nb")).distinct(), "pairs")
-    sets = _sets_of_members(docs, members, k)
-    links = written(confirmed(pairs, sets, percent), "links")
-    more = _residual_pairs(members, components(links), sets, percent)
-    links = links.unionByName(confirmed(more, sets, percent))
-    found = components(links)
-    of = reps.join(found, reps["doc_id"] == found["node"], "left").select("c1", "c2", F.coalesce("component", "doc_id").alias("component"))
-    out = base.drop("bands").join(of, ["c1", "c2"], "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))
+    signed = written(signed_sets(docs, k), "signed")
+    base = signed.where("n > 0 and doc_id is not null")
+    # A class is a distinct set; its number is fixed when the table is written.
+    classes = base.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    banded = written(classes.select("node", F.explode("bands").alias("key")), "bands")
+    members = written(grouped(banded, "key"), "members")
+    discard(banded)
+    pairs = written(stars(members, "key"), "pairs")
+    sets = _sets_of_members(docs, classes, members, k)
+    links = written(confirmed(pairs, sets, percent).unionByName(_same_ids(base, classes)), "links")
+    found = components(links.unionByName(_residual(members, links, sets, percent)))
+    of = _with_components(classes.select("node", "c1", "c2", "doc_id"), found)
+    least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of = of.join(least, "component").select("c1", "c2", "component_id")
+    out = signed.drop("bands").join(of, ["c1", "c2"], "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

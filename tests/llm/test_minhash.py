@@ -63,6 +63,48 @@ def test_template_family(spark):
     assert got == {i: c for i, (_, c) in brute(rows, 2).items()}
 
 
+def template_family(n):
+    rnd = random.Random(7)
+    passage = [f"p{i}" for i in range(70)]
+    return [(i + 1, " ".join(passage + [f"o{rnd.randint(0, 30)}" for _ in range(rnd.randint(8, 14))])) for i in range(n)]
+
+
+def test_order_of_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y")]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        got = minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").coalesce(1), k=2).collect()
+        assert sorted((r.doc_id, r.component_id, r.n_shingles) for r in got) == [(1, 1, 19), (1, 1, 19), (2, 1, 20), (3, 1, 20)]
+
+
+def test_large_groups_and_split_tokens(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "STAR", 3)
+    monkeypatch.setattr(minhash, "SPLIT", 4)
+    rows = corpus(5, 25, 3) + [(i + 9001, t) for i, t in template_family(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, k=2).collect()} == {i: c for i, (_, c) in brute(rows, 2).items()}
+
+
+def test_long_texts_are_taken_in_pieces(monkeypatch):
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice(["a", "B", " ", "  ", "longer", "é", "\n"]) for _ in range(rnd.randint(1, 80))) for _ in range(60)] + ["x" * 300, " " * 90, "a" * 50 + " " + "b" * 49]
+    monkeypatch.setattr(minhash, "PIECE", 1 << 12)
+    powers = minhash.Powers(1 << 12)
+    for t in texts:
+        buf = np.frombuffer(t.encode(), np.uint8)
+        words, at = minhash.word_hashes(buf, np.array([0, len(buf)]), powers)
+        for k in (1, 2, 5):
+            want = minhash.shingle_sets(words, at, k)[0]
+            for piece in (7, 16, 50):
+                monkeypatch.setattr(minhash, "PIECE", piece)
+                assert (minhash.long_set(buf, k, powers) == want).all()
+                if len(want):
+                    monkeypatch.setattr(minhash, "PIECE", 1 << 12)
+                    whole = minhash.signatures([want])
+                    monkeypatch.setattr(minhash, "PIECE", piece)
+                    assert (minhash.signatures([want]) == whole).all()
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, n int, component_id string"
     assert minhash.near_duplicates(spark.createDataFrame([], schema)).collect() == []
