@@ -4,16 +4,18 @@ The encoding of a text by BPE is the one sequence of pieces whose neighbours are
 side by side if encoding a + b gives a, b again. So the last piece of every prefix follows from the last pieces at the few
 earlier positions where a piece could still begin. That is a finite state: the longest suffix that may grow into a piece, and
 for each position in it the last piece and the number of pieces since. Transitions read one character and emit the change of
-the token count. States and transitions are compiled as texts reach them and kept for the life of a worker; their number is
-bounded by the vocabulary, not by the corpus.
+the token count. States and transitions are compiled as texts reach them; a worker starts anew when it has many.
 
-A place where no piece can span sends every state to the same one. A chunk's state map therefore is: what comes before its
-first such place (its effect depends on the state at entry), a count, and what comes after its last (it names the state at
-exit). These maps compose associatively; long texts are cut into chunks, counted in parallel and composed by a tree scan.
+Long texts are cut into chunks. A chunk's state map says for each state at its entry the state at its exit and the count in
+between. Its entries are the states that the LEAD characters before it reach from SHIFTS different places: states that differ
+soon fall together, and a run of one character is in one of a few phases. Maps compose, so that chunks are counted in parallel
+and their maps combined block by block, then blocks by text. Should a text enter a chunk in a state that its map lacks, that
+state is added and the text composed again; the counts are exact in any case.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,13 +26,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from .scratch import written
+
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
 #: Longer texts (in characters) are cut into chunks of so many.
 CHUNK = 1 << 15
 #: Counts of words that a worker keeps before it starts anew.
 KEPT = 400_000
-Map = tuple[str, int | None, str]
+#: Characters before a chunk that its entry states are found by, and the places they are started from.
+LEAD, SHIFTS = 96, 16
+#: Chunk maps that are composed together; two levels of them hold any string.
+FAN = 256
+#: States that a worker keeps before it compiles anew.
+STATES = 500_000
+#: By entry state: the exit state and the count, or the chunk whose map lacks a state, and that state.
+Map = dict[str, tuple[str, int] | tuple[int, str]]
 
 
 def _merged(text: str, scores: dict[str, float]) -> list[str]:
@@ -58,6 +69,10 @@ class Transducer:
         if any(SPACE in p.lstrip(SPACE) for p in self.scores):
             raise ValueError("pieces across a space aren't supported")
         self.prefixes = {p[:i] for p in self.scores for i in range(1, len(p))}
+        self.reset()
+
+    def reset(self) -> None:
+        """Forget all states and transitions."""
         self._fits: dict[tuple[str | None, str], bool] = {}
         # Of a state: the suffix, and by position in it the last piece and the count relative to now.
         self._info: list[tuple[str, tuple, tuple]] = []
@@ -93,13 +108,25 @@ class Transducer:
         self.moves[state][char] = move
         return move
 
-    def count(self, unit: str) -> int:
-        state, n, moves = self.start, 0, self.moves
-        for char in unit:
+    def run(self, state: int, text: str) -> tuple[int, int]:
+        """The state after a text and its count."""
+        n, moves = 0, self.moves
+        for char in text:
             move = moves[state].get(char) or self.compile(state, char)
             state = move[0]
             n += move[1]
-        return n
+        return state, n
+
+    def count(self, unit: str) -> int:
+        return self.run(self.start, unit)[1]
+
+    def name(self, state: int) -> str:
+        """A state by what it says, the same in every worker."""
+        return json.dumps(self._info[state])
+
+    def named(self, name: str) -> int:
+        suffix, last, counts = json.loads(name)
+        return self._state(suffix, tuple(last), tuple(counts))
 
 
 class UnitCounts(dict):
@@ -111,6 +138,8 @@ class UnitCounts(dict):
     def __missing__(self, unit: str) -> int:
         if len(self) >= KEPT:
             self.clear()
+        if len(self.transducer.moves) > STATES:
+            self.transducer.reset()
         n = self[unit] = self.transducer.count(SPACE + unit)
         return n
 
@@ -136,41 +165,39 @@ def count_tokens(text: str, counts: UnitCounts) -> int:
     return sum(map(counts.__getitem__, units(text.replace(" ", SPACE))))
 
 
-def _count_marked(text: str, counts: UnitCounts) -> int:
-    """Tokens of marked text, that begins at the start of a text or behind a place that nothing spans."""
-    return sum(counts[u[1:]] if u[0] == SPACE else counts.transducer.count(u) for u in _UNITS.findall(text))
-
-
-_BREAK = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
-
-
-def chunk_map(text: str, counts: UnitCounts) -> Map:
-    """The state map of marked text that begins anywhere: head, count between, tail; no count and tail without a break."""
-    cut = [m.start() for m in _BREAK.finditer(text)]
-    if not cut:
-        return text, None, ""
-    return text[: cut[0]], _count_marked(text[cut[0] : cut[-1]], counts), text[cut[-1] :]
-
-
-def compose(a: Map, b: Map, counts: UnitCounts) -> Map:
-    if a[1] is None:
-        joined = a[0] + b[0]
-        if b[1] is None:
-            return chunk_map(joined, counts) if _BREAK.search(joined) else (joined, None, "")
-        head = chunk_map(joined, counts)
-        return (head[0], b[1] + (0 if head[1] is None else head[1] + _count_marked(head[2], counts)), b[2])
-    between = a[2] + b[0]
-    if b[1] is None:
-        middle = chunk_map(between, counts)
-        return a if not b[0] else (a[0], a[1], between) if middle[1] is None else (a[0], a[1] + _count_marked(middle[0], counts) + middle[1], middle[2])
-    return a[0], a[1] + _count_marked(between, counts) + b[1], b[2]
-
-
-def scan(maps: list[Map], counts: UnitCounts) -> Map:
-    """All maps composed, pairwise as a tree."""
-    while len(maps) > 1:
-        maps = [compose(maps[i], maps[i + 1], counts) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return maps[0]
+def chunk_map(lead: str, text: str, transducer: Transducer, entries: tuple[str, ...] = ()) -> Map:
+    """The state map of marked text behind `lead`, its last LEAD characters or all that come before; none before the first chunk."""
+    if len(transducer.moves) > STATES:
+        transducer.reset()
+    states = {transducer.named(e) for e in entries} or {transducer.run(transducer.start, lead[k:])[0] for k in range(max(1, min(SHIFTS, len(lead))))}
+    now = {s: (s, 0) for s in states}
+    at = 0
+    while at < len(text):
+        # States that have fallen together go on as one.
+        ends = {s for s, _ in now.values()}
+        step = len(text) - at if len(ends) == 1 else 64
+        moved = {s: transducer.run(s, text[at : at + step]) for s in ends}
+        now = {e: (moved[s][0], n + moved[s][1]) for e, (s, n) in now.items()}
+        at += step
+    return {transducer.name(e): (transducer.name(s), n) for e, (s, n) in now.items()}
+
+
+def follow(maps: list[tuple[int, Map]], entry: str) -> tuple[str, int] | tuple[int, str]:
+    """Exit state and count of consecutive maps, by chunk number; or the first chunk whose map lacks the state it's entered in, and that state."""
+    n = 0
+    for no, m in maps:
+        found = m.get(entry)
+        if found is None:
+            return no, entry
+        if isinstance(found[0], int):
+            return found
+        entry, n = found[0], n + found[1]
+    return entry, n
+
+
+def compose(maps: list[tuple[int, Map]]) -> Map:
+    """One map of consecutive ones."""
+    return {e: follow(maps, e) for e in maps[0][1]}
 
 
 def _short(model: str):
@@ -183,47 +210,82 @@ def _short(model: str):
     return run
 
 
-def _chunks(model: str):
+def _cut(chunk: int):
+    """The chunks of marked texts, each with its lead."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = unit_counts(model)
         for f in frames:
-            maps = [chunk_map(c.replace(" ", SPACE), counts) for c in f.pop("chunk")]
-            f["head"], f["n"], f["tail"] = [m[0] for m in maps], pd.array([m[1] for m in maps], "Int64"), [m[2] for m in maps]
-            yield f
+            for a, b, text in zip(f["a"], f["b"], f["_text"], strict=True):
+                marked = SPACE + text.replace(" ", SPACE)
+                for some in range(0, len(marked), 64 * chunk):
+                    at = range(some, min(len(marked), some + 64 * chunk), chunk)
+                    yield pd.DataFrame({"a": a, "b": b, "no": [i // chunk for i in at], "lead": [marked[max(0, i - LEAD) : i] for i in at], "chunk": [marked[i : i + chunk] for i in at]})
 
     return run
 
 
-def _composed(model: str):
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        counts = unit_counts(model)
-        f = f.sort_values("no")
-        head, n, tail = scan([(h, None if pd.isna(k) else int(k), t) for h, k, t in zip(f["head"], f["n"], f["tail"], strict=True)], counts)
-        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "n_tokens": [_count_marked(head, counts) + (n or 0) + _count_marked(tail, counts)]})
+def _chunks(model: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        transducer = unit_counts(model).transducer
+        for f in frames:
+            entry = f["entry"] if "entry" in f else [None] * len(f)
+            f["map"] = [json.dumps(chunk_map(x, c, transducer, (e,) if e else ())) for x, c, e in zip(f["lead"], f["chunk"], entry, strict=True)]
+            yield f[["a", "b", "no", "map"]]
 
     return run
 
 
+def _loaded(f: pd.DataFrame) -> list[tuple[int, Map]]:
+    """The maps of a group in order; those of one chunk as one."""
+    out: dict[int, Map] = {}
+    for no, m in zip(f["no"].tolist(), f["map"], strict=True):
+        out.setdefault(no, {}).update({e: tuple(v) for e, v in json.loads(m).items()})
+    return sorted(out.items())
+
+
+def _block(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+    maps = _loaded(f)
+    return pd.DataFrame({"a": [key[0]], "b": [key[1]], "no": [maps[0][0]], "map": [json.dumps(compose(maps))]})
+
+
+def _whole(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+    maps = _loaded(f)
+    x, y = follow(maps, next(iter(maps[0][1])))
+    missed = isinstance(x, int)
+    out = pd.DataFrame({"a": [key[0]], "b": [key[1]], "n_tokens": [None if missed else y], "no": [x if missed else None], "entry": [y if missed else None]})
+    return out.astype({"n_tokens": "Int64", "no": "Int64"})
+
+
+def _long_counts(texts: DataFrame, model: str, chunk: int) -> DataFrame:
+    """a, b, n_tokens for texts (a, b, _text)."""
+    parts = texts.mapInPandas(_cut(chunk), "a long, b long, no long, lead string, chunk string").dropDuplicates(["a", "b", "no"])
+    kind = "a long, b long, no long, map string"
+    maps = written(parts.mapInPandas(_chunks(model), kind), "maps")
+    while True:
+        blocks = maps.groupBy("a", "b", F.floor(F.col("no") / FAN)).applyInPandas(lambda key, f: _block(key, f), kind)
+        counted = written(blocks.groupBy("a", "b").applyInPandas(_whole, "a long, b long, n_tokens long, no long, entry string"), "counted")
+        missed = counted.where("n_tokens is null")
+        if missed.isEmpty():
+            return counted.select("a", "b", "n_tokens")
+        more = parts.join(missed.select("a", "b", "no", "entry"), ["a", "b", "no"])
+        maps = written(maps.unionByName(more.mapInPandas(_chunks(model), kind)), "maps")
+
+
 def token_counts(docs: DataFrame, model: str = MODEL, text: str = "text", limit: int = 4096, chunk: int = CHUNK) -> DataFrame:
     """All rows and columns of docs plus n_bytes (UTF-8), n_tokens (long) and over_limit (n_tokens > limit).
 
     A null text counts as empty: zero tokens. Texts of up to `chunk` characters are counted where they lie, without a
     shuffle. Longer ones are counted once for each distinct text: their chunks are dealt out over the cluster, their state
-    maps composed. Columns named like the added ones are replaced.
+    maps composed. Columns named like the added ones (or `_text`, `_a`, `_b`) are replaced.
     """
-    keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
+    keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit", "_text", "_a", "_b")]
     d = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     d = d.withColumn("n_bytes", F.octet_length("_text").cast("long"))
     long = F.length("_text") > chunk
     kinds = ", ".join(f"`{n}` {k}" for n, k in d.drop("_text").dtypes)
     short = d.where(~long).mapInPandas(_short(model), f"{kinds}, n_tokens long")
     marked = d.where(long).withColumn("_a", F.xxhash64("_text")).withColumn("_b", F.xxhash64(F.reverse("_text"), F.col("_text")))
-    first = F.sequence(F.lit(0), ((F.length("_text") - 1) / chunk).cast("int"))
-    # The dummy prefix belongs to the first chunk.
-    cut = F.transform(first, lambda i: F.concat(F.when(i == 0, F.lit(" ")).otherwise(F.lit("")), F.substring(F.col("_text"), i * chunk + 1, F.lit(chunk))))
-    parts = marked.select("_a", "_b", F.posexplode(cut).alias("no", "chunk")).repartition("_a", "no").dropDuplicates(["_a", "_b", "no"])
-    maps = parts.select(F.col("_a").alias("a"), F.col("_b").alias("b"), "no", "chunk").mapInPandas(_chunks(model), "a long, b long, no int, head string, n long, tail string")
-    counted = maps.groupBy("a", "b").applyInPandas(_composed(model), "a long, b long, n_tokens long")
+    counted = _long_counts(marked.select(F.col("_a").alias("a"), F.col("_b").alias("b"), "_text"), model, chunk)
     light = marked.drop("_text")
     whole = light.join(counted, (light["_a"] == counted["a"]) & (light["_b"] == counted["b"])).select(*keep, "n_bytes", "n_tokens")
     return short.unionByName(whole).withColumn("over_limit", F.col("n_tokens") > limit)
