@@ -41,7 +41,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text").withColumnRenamed("text", "_text"), "_text")
-    return d.select("doc_id", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"), "license", "rule_no", F.array_join("licenses", ",").alias("licenses"))
+    return d.select("doc_id", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("line_ids", ",").alias("line_ids"), "license", "rule_no", F.array_join("licenses", ",").alias("licenses"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,16 @@ q AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
         + CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END)::BIGINT AS fail_bits FROM m)"""
 
 _LIST = "[" + ", ".join(f"'{s}'" for s in licenses.SENTENCES) + "]"
-_FITS = ", ".join(f"CASE WHEN contains(q, ',{','.join(map(str, seq))},') THEN {{'no': {k}, 'name': '{name}'}} END" for k, (name, seq) in enumerate(licenses.RULES, 1))
+_FITS = ", ".join(f"CASE WHEN contains(q, ',{','.join(map(str, seq))},') THEN {{'no': {k}, 'name': '{name}'}} END" for k, (name, seq) in enumerate(licenses.SEQUENCES, 1))
+
+
+def _sentences(text: str, end: str) -> str:
+    return f"list_filter(list_transform(string_split_regex({text}, '{end}'), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'), ' ')), lambda x: x <> '')"
+
+
+def _ids(sentences: str) -> str:
+    return f"list_filter(list_transform({sentences}, lambda x: coalesce(list_position({_LIST}, x), 0)), lambda x: x > 0)"
+
 
 ORACLE: dict[str, str] = {
     "op1_minhash_near_dedup": r"""
@@ -121,12 +130,12 @@ SELECT doc_id, octet_length(t) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
   sha256(unhex(coalesce(h, '') || hex(t[coalesce(z, 0)+1:octet_length(t)]))) AS kept_sha256
 FROM b LEFT JOIN j USING (doc_id)""",
     "op7_license_scan": rf"""
-WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?:;]+[\x20\x09-\x0D]+|[\x0A\x0D]+'),
-             lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'), ' ')), lambda x: x <> '') AS ss FROM documents),
-i AS (SELECT doc_id, len(ss) AS n_sentences, list_filter(list_transform(ss, lambda x: coalesce(list_position({_LIST}, x), 0)), lambda x: x > 0) AS ids FROM s),
-q AS (SELECT *, ',' || array_to_string(ids, ',') || ',' AS q FROM i),
+WITH t AS (SELECT doc_id, replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) AS raw FROM documents),
+s AS (SELECT doc_id, {_sentences(f"regexp_replace(regexp_replace(raw, '{licenses.COMMENT}', '{chr(92)}1', 'g'), '{licenses.COPYRIGHT}', '{chr(92)}1' || chr(10) || '{chr(92)}2' || chr(10), 'g')", licenses.PARAGRAPH_END)} AS ss, {_sentences("raw", licenses.LINE_END)} AS ls FROM t),
+i AS (SELECT doc_id, len(ss) AS n_sentences, {_ids("ss")} AS ids, {_ids("ls")} AS lids FROM s),
+q AS (SELECT *, ',' || array_to_string(ids, ',') || ', ,' || array_to_string(lids, ',') || ',' AS q FROM i),
 f AS (SELECT *, list_filter([{_FITS}], lambda x: x IS NOT NULL) AS f FROM q)
-SELECT doc_id, n_sentences, array_to_string(ids, ',') AS sentence_ids, f[1].name AS license, f[1].no AS rule_no,
+SELECT doc_id, n_sentences, array_to_string(ids, ',') AS sentence_ids, array_to_string(lids, ',') AS line_ids, f[1].name AS license, f[1].no AS rule_no,
   coalesce(array_to_string(list_transform(list_filter(f, lambda x, k: k = 1 OR NOT list_contains(list_transform(f[1:k-1], lambda y: y.name), x.name)), lambda x: x.name), ','), '') AS licenses
 FROM f""",
     "op8_quality_rules": f"WITH {QUALITY_CTE} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, fail_bits FROM q",

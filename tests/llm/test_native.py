@@ -45,15 +45,100 @@ def test_policies_and_ablations(spark):
     assert {r.failed for r in quality.ablations(rows.limit(0)).collect()} == {0}
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+APACHE = """Copyright 2019 The Authors
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+BSD = """Copyright (c) 2001, The Board
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+NAME = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_whole_licenses_wrapped_and_commented(spark):
+    """Each text as it is, in comments of five kinds, on one line, and with Windows line ends."""
+    whole = {"mit": MIT, "gpl-3.0": GPL, "apache-2.0": APACHE, "bsd-3-clause": BSD.format(NAME), "bsd-2-clause": BSD.format("")}
+    rows = []
+    for name, t in whole.items():
+        lines = t.split("\n")
+        forms = [t, "/*\n" + "".join(f" * {x}\n" for x in lines) + " */\nint x;\n", *("".join(f"{m} {x}\n" for x in lines) for m in ("//", "#", "--", ";;")), " ".join(t.split()), t.replace("\n", "\r\n"), "Some words before.\n\n" + t + "\n\nAnd words behind"]
+        rows += [(name, x) for x in forms]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, name string, text string")
+    wrong = [(r.name, r.license, r.text[:60]) for r in licenses.scan(df).where("license is null or license <> name").collect()]
+    assert not wrong
+
+
 def test_licenses(spark):
     texts = [
         "Text. Licensed under the Apache License, Version 2.0.", "released UNDER the MIT license\nAll rights reserved.", "The MIT License\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files. More.",
-        "We talk about the MIT license here.", None, "", "All rights reserved. Licensed under CC BY-NC 4.0.",
+        "We talk about the MIT license here.", None, "", "All rights reserved. Licensed under CC BY-NC 4.0.", "word. " * 50_000 + "All rights reserved",
     ]
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, license string")
-    got = {r.doc_id: (list(r.sentence_ids), r.license, list(r.licenses)) for r in licenses.scan(df).collect()}
-    assert got == {0: ([1], "apache-2.0", ["apache-2.0"]), 1: ([6, 19], "mit", ["mit", "all-rights-reserved"]), 2: ([7, 8], "mit", ["mit"]), 3: ([], None, []), 4: ([], None, []), 5: ([], None, []), 6: ([19, 12], "cc-by-nc-4.0", ["cc-by-nc-4.0", "all-rights-reserved"])}
-    assert "Python" not in licenses.scan(df)._jdf.queryExecution().executedPlan().toString()
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, license string")
+    got = {r.doc_id: (r.n_sentences, r.license, list(r.licenses)) for r in licenses.scan(df).collect()}
+    both, none = (2, "apache-2.0", ["apache-2.0"]), (0, None, [])
+    assert got == {0: both, 1: (1, "mit", ["mit", "all-rights-reserved"]), 2: (2, "mit", ["mit"]), 3: (1, None, []), 4: none, 5: none, 6: (2, "cc-by-nc-4.0", ["cc-by-nc-4.0", "all-rights-reserved"]), 7: (50_001, "all-rights-reserved", ["all-rights-reserved"]), 8: both}
+    assert licenses.scan(df.limit(0)).collect() == []
+    plan = licenses.scan(df)._jdf.queryExecution()
+    assert "Python" not in plan.executedPlan().toString() and "INSET" in plan.optimizedPlan().toString()
+    assert len(set(licenses.SENTENCES)) == len(licenses.SENTENCES)
 
 
 def test_warc(spark, tmp_path):
