@@ -3,7 +3,7 @@
 Texts are grouped into blocks of bounded size. A block becomes the list of its distinct pre-tokens and, for each text, the
 places of its pre-tokens in that list. Only the lists are shuffled by pre-token; one task sees all blocks that hold a
 pre-token and encodes it once. The ids go back to the blocks, where texts are put together by position. A pre-token that
-is in every text is one entry per block.
+is in every text is one entry per block. Long texts are split and digested a part at a time.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,10 @@ from pyspark.sql import functions as F
 MULTILINGUAL = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes of text in a block (a longer text is a block of its own).
 BLOCK = 16 << 20
+#: Pre-tokens of a text, and tokens of a digest, that are looked at together.
+PART = 1 << 20
+#: Distinct pre-tokens whose ids a task keeps at once.
+KEPT = 400_000
 #: White_Space as the tokenizer's own regular expressions have it; regex's own class adds U+001C-001F.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _X = "block long, words binary, ids binary, nulls binary, lengths binary, codes binary"
@@ -41,13 +45,25 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(2)
-def _encoder(path: str, pattern: str) -> Callable[[bytes], list[int]]:
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})._encode_single_piece
+def _encoder(path: str) -> Callable[[str], list[int]]:
+    """The ids of one pre-token; it is matched whole."""
+    return tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks(path), special_tokens={}).encode_ordinary
 
 
 @lru_cache(2)
-def _splitter(pattern: str) -> Callable[[str], list[str]]:
-    return regex.compile(pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]")).findall
+def _splitter(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]"))
+
+
+def _codes(text: str, split: regex.Pattern, seen: dict[str, int]) -> np.ndarray:
+    """Places of the text's pre-tokens in seen, which grows by those that are new."""
+    if len(text) <= PART:
+        found = split.findall(text)
+        return np.fromiter(map(seen.__getitem__, found), np.uint32, len(found))
+    found, parts = (m.group() for m in split.finditer(text)), []
+    while not parts or len(parts[-1]) == PART:
+        parts.append(np.fromiter(map(seen.__getitem__, islice(found, PART)), np.uint32))
+    return np.concatenate(parts)
 
 
 def _pack(codes: np.ndarray) -> bytes:
@@ -85,8 +101,7 @@ def _blocks(pattern: str, block: int):
                 seen: dict[str, int] = defaultdict(count().__next__)
                 codes = []
                 for t in texts.slice(a, b - a):
-                    found = split(t.as_py() or "")
-                    codes.append(np.fromiter(map(seen.__getitem__, found), np.uint32, len(found)))
+                    codes.append(_codes(t.as_py() or "", split, seen))
                 words = [w.encode() for w in seen]
                 own = ids.slice(a, b - a)
                 raw = pa.compute.fill_null(own, 0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()
@@ -122,17 +137,21 @@ def _deal(buckets: int):
     return run
 
 
-def _encode(path: str, pattern: str):
+def _encode(path: str):
+    """Ids of dealt words. Each is encoded once, unless a bucket holds more than KEPT distinct ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path, pattern)
-        known: dict[bytes, list[int]] = {}
+        encode = _encoder(path)
+        known: dict[bytes, tuple[int, ...]] = {}
         for batch in batches:
             for name, places, words in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 sizes, flat = [], []
                 for w in _unpack_words(words.as_py()):
                     ids = known.get(w)
                     if ids is None:
-                        ids = known[w] = tuple(encode(w))
+                        if len(known) >= KEPT:
+                            known.clear()
+                        ids = known[w] = tuple(encode(w.decode()))
                     sizes.append(len(ids))
                     flat.extend(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x], pa.binary()) for x in (places, _pack(np.array(sizes, np.uint32)), _pack(np.array(flat, np.uint32))))], names=["block", "places", "sizes", "flat"])
@@ -179,9 +198,13 @@ def _digests(path: str):
         decimal = [str(i) for i in range(len(vocabulary))]
         ids, texts = [], []
         for t in tokens:
-            t = t.tolist()
-            ids.append(hashlib.sha256(",".join(map(decimal.__getitem__, t)).encode()).hexdigest())
-            texts.append(hashlib.sha256(b"".join(map(vocabulary.__getitem__, t))).hexdigest())
+            x, y = hashlib.sha256(), hashlib.sha256()
+            for a in range(0, len(t), PART):
+                part = t[a : a + PART].tolist()
+                x.update(("," * (a > 0) + ",".join(map(decimal.__getitem__, part))).encode())
+                y.update(b"".join(map(vocabulary.__getitem__, part)))
+            ids.append(x.hexdigest())
+            texts.append(y.hexdigest())
         return {"n_tokens": [len(t) for t in tokens], "ids_sha256": ids, "decoded_sha256": texts}
 
     return finish
@@ -197,7 +220,7 @@ def encode(docs: DataFrame, path: str = MULTILINGUAL, pattern: str = public_toke
     # Both uses of the blocks read one shuffle; each takes all columns, so that the plans below it stay equal.
     blocks = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_blocks(pattern, block), _X).repartition(n, "block")
     dealt = blocks.mapInArrow(_deal(n), "block long, bucket long, places binary, words binary").repartition(n, "bucket")
-    entries = dealt.mapInArrow(_encode(path, pattern), "block long, places binary, sizes binary, flat binary")
+    entries = dealt.mapInArrow(_encode(path), "block long, places binary, sizes binary, flat binary")
     return blocks.groupBy("block").cogroup(entries.groupBy("block")).applyInPandas(_together(finish or _plain), f"doc_id long, {added}")
 
 

@@ -1,5 +1,8 @@
 import hashlib
+from collections import defaultdict
+from itertools import count
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 
@@ -24,6 +27,34 @@ def test_against_library(spark):
     assert sorted(((r.doc_id, bytes(r.decoded).decode()) for r in back), key=repr) == sorted(((i, x or "") for i, x in rows), key=repr)
 
 
+def test_parts_of_long_texts(monkeypatch):
+    seen, split = defaultdict(count().__next__), bpe._splitter(public_tokenizers.PATTERN)
+    text = "".join(x or "" for x in TEXTS) * 3
+    want = split.findall(text)
+    for size in (3, 10, len(want), 10_000):
+        monkeypatch.setattr(bpe, "PART", size)
+        codes = bpe._codes(text, split, seen).tolist()
+        words = list(seen)
+        assert [words[c] for c in codes] == want and bpe._codes("", split, seen).tolist() == []
+    ids = np.arange(20, dtype=np.int32)
+    whole = bpe._digests(bpe.MULTILINGUAL)([ids, ids[:0]])
+    monkeypatch.setattr(bpe, "PART", 7)
+    assert bpe._digests(bpe.MULTILINGUAL)([ids, ids[:0]]) == whole and whole["ids_sha256"][0] == hashlib.sha256(",".join(map(str, range(20))).encode()).hexdigest()
+
+
+def test_few_kept_words(spark, monkeypatch):
+    encode, known = bpe._encode(bpe.MULTILINGUAL), bpe.KEPT
+    words = [x.encode() for x in public_words()]
+    batch = bpe.pa.RecordBatch.from_arrays([bpe.pa.array([1]), bpe.pa.array([0]), bpe.pa.array([b""]), bpe.pa.array([bpe._pack_words(words * 2)])], names=["block", "bucket", "places", "words"])
+    plain = [b.to_pydict() for b in encode([batch])]
+    monkeypatch.setattr(bpe, "KEPT", 2)
+    assert [b.to_pydict() for b in encode([batch])] == plain and known > 2
+
+
+def public_words():
+    return bpe._splitter(public_tokenizers.PATTERN).findall(" ".join(x or "" for x in TEXTS))
+
+
 def test_digests_and_edges(spark):
     t = truth()
     rows = [(i, x, 1, "y") for i, x in enumerate(TEXTS)]
