@@ -5,13 +5,14 @@ terms of the longest-previous-factor array LPF: all bytes of [i, i + length) wit
 
 1. anchors(): every window of `length` bytes is owned by the 32-gram in it with the least hash, the leftmost of equals. That
    depends on the window's bytes alone, so equal windows anywhere have equal owners at equal offsets. Consecutive windows
-   with one owner make one row: hash of the gram, hash of all bytes these windows span.
-2. Rows with equal hashes have equal windows: all but the first are later copies as they stand. One shuffle of rows of
-   about 40 bytes per 35 bytes of text decides that; copies within a batch are set apart before it.
-3. Rows of the same gram in different surroundings, at the borders of repeated passages, may still share some windows.
-   Only their bytes are fetched. Buckets of bounded size get a suffix array (to the depth of `length`), previous and next
-   smaller positions and LPF; grams with more than HOT surroundings go by window fingerprints instead, which Spark can
-   deal out by content.
+   with one owner make one row. Windows whose gram occurs once in the corpus can't be repeated; one shuffle of grams, at most
+   one row for each gram and batch, leaves those that may be.
+2. Only the bytes around these are fetched, and dealt into buckets by gram. A gram with more surroundings than a bucket takes
+   is dealt out by longer common strings: its windows are halved by where the gram lies in them, and each half has more bytes
+   in common, up to the whole window.
+3. A bucket gets a suffix array (to the depth of `length`), previous and next smaller positions and LPF. Surroundings of equal
+   bytes are one entry with a multiplicity: of equal suffixes the first is the earlier match of all others. The same holds of
+   equal spans within a batch, which are found by hash, compared byte by byte and set apart in step 1.
 """
 
 from __future__ import annotations
@@ -26,18 +27,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buffers import Powers, byte_table, mix, string_buffer
-from .scratch import written
+from .scratch import join_ids, written
 
 GRAM = 32
 #: Bytes of text looked at together; owners are packed with positions of 20 bits.
 PIECE = 1 << 19
-#: Surroundings of one gram that are sorted together at most (about 50 MB of suffixes), and of a bucket's grams on average.
+#: Surroundings of one gram in a bucket (about 50 MB of suffixes) before it's dealt out, and of all a bucket's grams on average.
 HOT, BUCKET = 1 << 13, 2000
 _U = np.uint64
 _LOW = _U((1 << 20) - 1)
 _GRAMS, _SPANS = byte_table(5), byte_table(55)
 NO_ID = -(1 << 63)
-ANCHORS = "d long, t long, s long, e long, h long, x long, m boolean"
+#: q >= 0: a row of windows s to s + len around a gram at s + off, q = c << 20 | len << 10 | off. Of the rows with one gram in
+#: a batch one has their number as c, and the gram's hash as h; the others have c = 0, a key of their own as h, and the gram's
+#: hash as g. q < 0: windows s to s - q - 1, later copies of ones in the batch.
+ANCHORS = "h long, d long, t long, s long, q long, g long"
 
 
 # ---- suffix order ----
@@ -98,7 +102,7 @@ def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
 
 
 def windows_by_owner(piece: np.ndarray, valid: np.ndarray, length: int, powers: Powers) -> tuple[np.ndarray, ...]:
-    """Runs of valid window starts with one owner: first and last start, hash of the owner, hash of all bytes spanned."""
+    """Runs of valid window starts with one owner: first and last start, place of the owner, its hash, hash of all bytes spanned."""
     h, k, m = _GRAMS[piece], 1, 0xD6E8FEB86659FD93
     while k < GRAM:
         h = h[:-k] * _U(m) + h[k:]
@@ -111,7 +115,7 @@ def windows_by_owner(piece: np.ndarray, valid: np.ndarray, length: int, powers:
     s, e = np.flatnonzero(new[:-1] & valid), np.flatnonzero(new[1:] & valid)
     p = own[s]
     x = powers.between(powers.sums(_SPANS[piece]), s, e + length)
-    return s, e, h[p], mix(x + mix((e - s).astype(np.uint64) * _U(4096) + (p - s).astype(np.uint64)))
+    return s, e, p, h[p], mix(x + mix((e - s).astype(np.uint64) * _U(4096) + (p - s).astype(np.uint64)))
 
 
 def _pieces(offsets: np.ndarray, length: int, size: int) -> Iterator[tuple[int, int, int, int]]:
@@ -125,14 +129,34 @@ def _pieces(offsets: np.ndarray, length: int, size: int) -> Iterator[tuple[int,
         i = j
 
 
+def _equal(buf: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes at a and b, sizes of them, are the same."""
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), 1 << 15):
+        n = sizes[k : k + (1 << 15)]
+        first = np.cumsum(n) - n
+        inner = np.arange(n.sum()) - np.repeat(first, n)
+        same = buf[np.repeat(a[k : k + (1 << 15)], n) + inner] == buf[np.repeat(b[k : k + (1 << 15)], n) + inner]
+        out[k : k + (1 << 15)] = np.logical_and.reduceat(same, first)
+    return out
+
+
+def _heads(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """For each row the first one, in an order, of those with equal keys, which the order puts together."""
+    new = np.append(True, np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys]))
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    return out
+
+
 def _anchors(length: int, size: int):
-    schema = pa.schema([("d", pa.int64()), ("t", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("h", pa.int64()), ("x", pa.int64()), ("m", pa.bool_())])
+    schema = pa.schema([(n, pa.int64()) for n in ("h", "d", "t", "s", "q", "g")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(size + length)
         for batch in batches:
             buf, at = string_buffer(batch.column("text"))
-            d, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "t"))
+            ids, texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "t"))
             parts = []
             for i, j, a, b in _pieces(at, length, size):
                 if b - a < length:
@@ -143,41 +167,61 @@ def _anchors(length: int, size: int):
                 ok = last > first
                 np.add.at(edge, first[ok], 1)
                 np.add.at(edge, last[ok], -1)
-                s, e, h, x = windows_by_owner(buf[a:b], np.cumsum(edge[:-1]) > 0, length, powers)
+                s, e, p, h, x = windows_by_owner(buf[a:b], np.cumsum(edge[:-1]) > 0, length, powers)
+                # of texts that end where others begin, the last one that starts there
                 row = np.searchsorted(at[i : j + 1], s + a, "right") - 1 + i
-                # texts that end where others begin: the last one that starts there
-                parts.append((row, s + a - at[row], e + a - at[row], h.view(np.int64), x.view(np.int64)))
+                parts.append((row, s + a, e - s, p - s, h.view(np.int64), x.view(np.int64)))
             if not parts:
                 continue
-            row, s, e, h, x = (np.concatenate(c) for c in zip(*parts, strict=True))
-            dd, tt = d[row], t[row]
-            # Within the batch, later copies are told here; a key of their own keeps them from meeting in one task.
-            o = np.lexsort((tt, s, dd, x, h))
-            again = np.zeros(len(o), bool)
-            key = np.stack((h[o], x[o]))
-            same = (key[:, 1:] == key[:, :-1]).all(axis=0)
-            head = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(o)), 0))
-            where = np.stack((dd[o], s[o], tt[o]))
-            again[o] = (where != where[:, head]).any(axis=0)
-            h = np.where(again, mix((dd * 1_000_003 + s).view(np.uint64) ^ tt.view(np.uint64)).view(np.int64), h)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (dd, tt, s, e, h, np.where(again, 0, x), again)], schema=schema)
+            row, place, n, off, h, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+            d, t, s = ids[row], texts[row], place - at[row]
+            order = np.lexsort((t, s, d, x, h))
+            head = _heads(order, h, x)
+            later = np.flatnonzero((d != d[head]) | (s != s[head]) | (t != t[head]))
+            later = later[_equal(buf, place[later], place[head[later]], n[later] + length)]
+            again = np.zeros(len(row), bool)
+            again[later] = True
+            # Of what's left, one row for each gram goes to the gram, the others elsewhere: they are known not to be the only ones.
+            left = np.flatnonzero(~again)
+            order = np.argsort(h[left], kind="stable")
+            first = left[_heads(order, h[left])]
+            count = np.bincount(first, minlength=len(row))
+            own = mix((d * 1_000_003 + s).view(np.uint64) ^ t.view(np.uint64)).view(np.int64)
+            meets = count > 0
+            rows = [np.where(meets, h, own)[left], d[left], t[left], s[left], (count << 20 | n << 10 | off)[left]]
+            if len(left) < len(row):
+                k = np.flatnonzero(again)
+                k = k[np.lexsort((s[k], row[k]))]
+                new = np.append(True, (row[k][1:] != row[k][:-1]) | (s[k][1:] > (s + n)[k][:-1] + 1))
+                run_of = np.flatnonzero(new)
+                spans = np.maximum.reduceat((s + n)[k], run_of) - s[k[run_of]]
+                k = k[run_of]
+                rows = [np.concatenate(c) for c in zip(rows, [own[k], d[k], t[k], s[k], -1 - spans], strict=True)]
+            hidden = np.append(np.where(meets, 0, h)[left], np.zeros(len(rows[0]) - len(left), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*rows, hidden)], schema=schema)
 
     return run
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """d, t (id and hash of the text), s, e (first and last window start), h, x (hashes of owner and span), m (a later copy within its batch)."""
+    """Rows of ANCHORS for docs (d, t, text): d and t tell texts apart, s is a window's start."""
     return docs.select("d", "t", "text").mapInArrow(_anchors(length, PIECE), ANCHORS)
 
 
-def _with_keys(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def _with_keys(docs: DataFrame, id_col: str, text: str, tell: bool) -> DataFrame:
+    """docs with d (the id) and text without nulls, and t: the text's hash if tell, as is needed where ids are repeated."""
     clean = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.withColumn("d", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("t", F.xxhash64(clean)).withColumn("text", clean)
+    t = F.xxhash64(clean) if tell else F.lit(0).cast("long")
+    return docs.withColumn("d", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("t", t).withColumn("text", clean)
 
 
-# ---- borders of repeated passages ----
+# ---- buckets ----
 
-_CONTEXT = "h long, d long, t long, s long, hot boolean, bytes binary"
+#: Surroundings of one key: windows s to s + len with the gram at s + off, and their bytes. piece: which of 2 ** level equal
+#: parts of the gram's places in a window these windows have.
+_CONTEXT = "key long, level int, piece int, d long, t long, s long, off long, bytes binary"
+#: As many levels leave one place to a part.
+LEVELS = 7
 
 
 def _cut(length: int):
@@ -186,8 +230,34 @@ def _cut(length: int):
             rows = []
             for d, t, text, want in zip(f["d"], f["t"], f["text"], f["want"], strict=True):
                 raw = text.encode()
-                rows += [(w["h"], d, t, w["s"], w["hot"], raw[w["s"] : w["e"] + length]) for w in want]
-            yield pd.DataFrame(rows, columns=["h", "d", "t", "s", "hot", "bytes"])
+                rows += [(w["h"], 0, 0, d, t, s := w["s"], w["q"] & 1023, raw[s : s + (w["q"] >> 10 & 1023) + length]) for w in want]
+            yield pd.DataFrame(rows, columns=["key", "level", "piece", "d", "t", "s", "off", "bytes"])
+
+    return run
+
+
+def halves(key: int, level: int, piece: int, off: int, raw: bytes, length: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """The surroundings cut by the gram's place in a window: (key, piece, start from the old one, off, bytes) for each half that has windows.
+
+    The key is a hash of all bytes that the windows of that half have in common, whatever lies around them.
+    """
+    places = length - GRAM + 1
+    for half in (2 * piece, 2 * piece + 1):
+        least, most = places * half // 2 ** (level + 1), places * (half + 1) // 2 ** (level + 1) - 1
+        a, b = max(0, off - most), min(len(raw) - length, off - least)
+        if a <= b and least <= most:
+            common = raw[off - least : off - most + length]
+            name = hashlib.blake2b(common, digest_size=8, key=b"%d.%d.%d" % (key, level, half)).digest()
+            yield int.from_bytes(name, "little", signed=True), half, a, off - a, raw[a : b + length]
+
+
+def _halved(length: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for key, level, piece, d, t, s, off, raw in f.itertuples(index=False, name=None):
+                rows += [(k, level + 1, h, d, t, s + a, o, x) for k, h, a, o, x in halves(key, level, piece, off, raw, length)]
+            yield pd.DataFrame(rows, columns=f.columns)
 
     return run
 
@@ -222,53 +292,45 @@ def _bucket(length: int, size: int):
         return _runs(d[o], t[o], s[o])
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        """Whole grams together, about `size` surroundings at a time; equal windows have equal grams."""
-        n = f.groupby("h")["h"].transform("size")
-        part = (f["h"].drop_duplicates().sort_values().map(n.groupby(f["h"]).first()).cumsum() // size).to_numpy()
-        of = dict(zip(f["h"].drop_duplicates().sort_values(), part, strict=True))
-        return pd.concat([one(g) for _, g in f.groupby(f["h"].map(of))])
+        """Whole keys together, about `size` surroundings at a time; equal windows have equal keys."""
+        f = f.drop_duplicates(["key", "d", "t", "s"]).sort_values(["key", "d", "s", "t"], ignore_index=True)
+        copy = f.duplicated(["key", "bytes"])
+        out = f.loc[copy, ["d", "t", "s"]].assign(e=f["s"] + f["bytes"].map(len) - length)
+        f = f[~copy]
+        f = f[f.groupby("key")["key"].transform("size") > 1]  # a key with one surrounding is settled
+        n = f.groupby("key")["key"].size().cumsum() // size
+        return pd.concat([out, *(one(g) for _, g in f.groupby(f["key"].map(n)))])
 
     return run
 
 
-def _fingerprints(length: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
-            text, at, d, t, s = _spread(f, length)
-            powers = Powers(len(text))
-            a, b = (mix(powers.between(powers.sums(table[text]), at, at + length)) for table in (_GRAMS, _SPANS))
-            out = pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64), "d": d, "t": t, "s": s}).sort_values(["a", "b", "d", "s", "t"])
-            out["m"] = out.duplicated(["a", "b"])
-            out.loc[out["m"], "a"] = mix(out.loc[out["m"], "d"].to_numpy().view(np.uint64) + out.loc[out["m"], "s"].to_numpy().view(np.uint64)).view(np.int64)
-            yield out
-
-    return run
-
-
-def _earlier(rows: DataFrame, *key: str) -> DataFrame:
-    """rows with again: another row with an equal key has a smaller (d, s, t). Partitioned by the first key column."""
-    here = F.struct("d", "s", "t")
-    first = F.first(here).over(Window.partitionBy(*key).orderBy("d", "s", "t"))
-    return rows.repartition(key[0]).withColumn("again", F.col("m") | (first < here))
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
-    """d, t, s, e: intervals of window starts (s to e) for which an equal window starts earlier."""
-    docs = _with_keys(docs, id_col, text)
-    a = _earlier(anchors(docs, length), "h", "x")
-    same_gram = Window.partitionBy("h")
-    a = a.withColumn("differ", F.min("x").over(same_gram) != F.max("x").over(same_gram)).withColumn("n", F.count("*").over(same_gram))
-    told = written(a.where("again or differ").select("d", "t", "s", "e", "h", "again", "n"), "repeats")
-    border = told.where(~F.col("again")).groupBy("d", "t").agg(F.collect_set(F.struct("s", "e", "h", (F.col("n") > HOT).alias("hot"))).alias("want"))
-    found = docs.select("d", "t", "text").dropDuplicates(["d", "t"]).join(border, ["d", "t"]).mapInPandas(_cut(length), _CONTEXT)
-    contexts = written(found, "contexts")
-    buckets = max(1, -(-contexts.where("not hot").count() // BUCKET))
-    small = contexts.where("not hot").groupBy(F.pmod("h", F.lit(buckets)).alias("bucket")).applyInPandas(_bucket(length, BUCKET), "d long, t long, s long, e long")
-    marked = contexts.where("hot").mapInPandas(_fingerprints(length), "a long, b long, d long, t long, s long, m boolean")
-    large = _earlier(marked, "a", "b").where("again").select("d", "t", "s", F.col("s").alias("e"))
-    return told.where("again").select("d", "t", "s", "e").unionByName(small).unionByName(large)
+def _buckets(contexts: DataFrame, rows: int, length: int) -> DataFrame:
+    key = F.pmod("key", F.lit(max(1, -(-rows // BUCKET)))).alias("bucket")
+    return contexts.groupBy(key).applyInPandas(_bucket(length, BUCKET), "d long, t long, s long, e long")
+
+
+def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """d, t, s, e: intervals of window starts (s to e) for which an equal window starts earlier in docs (d, t, text)."""
+    if not GRAM <= length < 1024 - GRAM:
+        raise ValueError("length must be at least that of a gram and below 992")
+    a = anchors(docs, length).repartition("h")
+    n = F.sum(F.greatest(F.shiftright("q", 20), F.lit(0))).over(Window.partitionBy("h"))
+    told = a.withColumn("n", n).where("q < 1048576 or n > 1")
+    told = written(told.select("d", "t", "s", "q", F.when(F.col("q") < 1 << 20, F.col("g")).otherwise(F.col("h")).alias("h")), "repeats")
+    border = told.where("q >= 0").groupBy("d", "t").agg(F.collect_list(F.struct("s", "h", "q")).alias("want"))
+    ids = written(told.where("q >= 0").select("d", "t").distinct(), "ids")
+    own = join_ids(docs.select("d", "t", "text"), ids, ["d", "t"], "left_semi")
+    contexts = written(own.join(border, ["d", "t"]).mapInPandas(_cut(length), _CONTEXT), "contexts")
+    out = told.where("q < 0").select("d", "t", "s", (F.col("s") - F.col("q") - 1).alias("e"))
+    for _ in range(LEVELS):
+        sizes = contexts.groupBy("key").agg(F.count("*").alias("n"))
+        hot = written(sizes.where(F.col("n") > HOT).select("key"), "hot")
+        if hot.isEmpty():
+            break
+        cold = join_ids(contexts, hot, ["key"], "left_anti").select(*contexts.columns)
+        out = out.unionByName(_buckets(cold, contexts.count(), length))
+        contexts = written(join_ids(contexts, hot, ["key"], "left_semi").select(*contexts.columns).mapInPandas(_halved(length), _CONTEXT), "contexts")
+    return out.unionByName(_buckets(contexts, contexts.count(), length))
 
 
 def _strip(length: int):
@@ -305,8 +367,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
     keep = [c for c in docs.columns if c not in {"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "gone", text} and c not in ("d", "t", "text")]
-    gone = repeats(docs.select(id_col, text), id_col, text, length).groupBy("d", "t").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
-    rows = _with_keys(docs.select(*keep, text), id_col, text).select(*keep, "d", "t", "text").join(gone, ["d", "t"], "left").select(*keep, "text", "gone")
+    ids = docs.select(F.col(id_col).cast("long").alias("d"))
+    tell = not ids.groupBy("d").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    gone = repeats(_with_keys(docs.select(id_col, text), id_col, text, tell), length)
+    gone = written(gone.groupBy("d", "t").agg(F.collect_list(F.struct("s", "e")).alias("gone")), "gone")
+    rows = _with_keys(docs.select(*keep, text), id_col, text, tell).select(*keep, "d", "t", "text")
+    # Texts that lose something meet what they lose; the others stay where they are, unless there are too many to tell so.
+    ids = gone.select("d", "t")
+    less = join_ids(rows, ids, ["d", "t"], "left_semi").join(gone, ["d", "t"])
+    rest = join_ids(rows, ids, ["d", "t"], "left_anti").withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType))
+    rows = less.select(*keep, "text", "gone").unionByName(rest.select(*keep, "text", "gone"))
     kinds = ", ".join(f"`{n}` {k}" for n, k in docs.select(*keep).dtypes)
     out = rows.mapInPandas(_strip(length), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return out.select(*keep, *added)

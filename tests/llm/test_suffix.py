@@ -70,6 +70,32 @@ def test_small_pieces_and_hot_borders(spark, monkeypatch):
     assert result(suffix.remove_repeats(df)) == removed(rows, 100)
 
 
+def test_a_gram_in_10_000_surroundings(spark):
+    """More than a bucket takes: dealt out by longer common strings, as often as needed."""
+    rnd = random.Random(11)
+    line = "".join(rnd.choice("abcdefgh") for _ in range(120))
+    near = ["".join(rnd.choice("xyz") for _ in range(60)) for _ in range(40)]
+    rows = [(i, (rnd.choice(near) if i % 3 else f"{i:060d}") + line + (rnd.choice(near) if i % 2 else f"{i:060d}")) for i in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(suffix.remove_repeats(df)) == removed(rows, 100)
+
+
+def test_halves_keep_equal_windows_together():
+    """Whatever lies around it, a window's key at each level depends on its own bytes and the gram's place."""
+    rnd = random.Random(2)
+    core = bytes(rnd.choice(b"ab") for _ in range(168))
+    rows = [(1, 0, 0, 68, core)] + [(1, 0, 0, 68 - a, core[a : len(core) - b]) for a, b in ((5, 60), (30, 20), (68, 0), (0, 68), (40, 3))]
+    for level in range(suffix.LEVELS):
+        rows = [(k, level + 1, h, o, x) for key, _, piece, off, raw in rows for k, h, _, o, x in suffix.halves(key, level, piece, off, raw, 100)]
+        keys, seen = {}, set()
+        for key, _, _, off, raw in rows:
+            for w in range(len(raw) - 99):
+                assert keys.setdefault((off - w, raw[w : w + 100]), key) == key
+                seen.add(off - w)
+        assert seen == set(range(69))
+    assert all(len(raw) == 100 for *_, raw in rows)
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, kept string, d int, extra int"
     empty = spark.createDataFrame([], schema)
