@@ -7,29 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from almanac.llm import bpe, decontam, minhash, quality, suffix
-from almanac.llm.scratch import written
+from almanac.llm.scratch import discard, join_ids, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that policy v1 keeps. A null text has no words and goes.
-
-    The ledger is stored before the policy filters it: a filter that is pushed below the measurements would be put together
-    with them into one expression, whose lambdas compute whole arrays for every element.
-    """
-    rows = written(quality.ledger(docs), "ledger")
-    return quality.judge(rows).where("kept").select(*docs.columns)
+    """Documents that policy v1 keeps. A null text has no words and goes."""
+    return quality.judge(quality.ledger(docs)).where("kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near duplicates (5-word shingles, similarity 0.8).
 
-    Rows that repeat an id are one document, of which the first text by order stays; rows with a null id all stay.
+    Rows that repeat an id are one document, of which the first row by order stays; rows with a null id all stay.
     """
-    kept = minhash.near_duplicates(docs, k=5, percent=80).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.where("doc_id is not null").join(kept, docs["doc_id"] == F.col("_kept"), "left_semi")
-    others = [c for c in docs.columns if c != "doc_id"]
-    one = known.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("_row")).select("doc_id", "_row.*") if others else known.distinct()
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = minhash.near_duplicates(docs, k=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
+    known = join_ids(docs, written(kept, "kept"), ["doc_id"], "left_semi").select(*docs.columns)
+    repeated = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        some = join_ids(known, repeated, ["doc_id"], "left_semi").select(F.struct(*docs.columns).alias("row"), "doc_id")
+        one = some.groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*")
+        known = join_ids(known, repeated, ["doc_id"], "left_anti").select(*docs.columns).unionByName(one)
+    return known.unionByName(docs.where("doc_id is null"))
 
 
 @F.pandas_udf(StringType())
@@ -69,7 +67,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
