@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import contains_compacted, js_pattern, lower_fold
+from .text import compact, compact_folded, compacted_words, js_pattern, let, lower_fold
 
 # ---- fixed values ----
 WEEKDAYS = ("mandag", "tirsdag", "onsdag", "torsdag", "fredag", "lordag", "sondag")
@@ -31,7 +31,9 @@ def _has(t: Column, pattern: str) -> Column:
 
 def find_weekdays(t: Column) -> Column:
     """Weekdays named in folded text, Monday first."""
-    return F.array_compact(F.array(*[F.when(_has(t, rf"\b{s}(?:er|en|ene)?\b"), F.lit(w)) for s, w in zip(_STEMS, WEEKDAYS, strict=True)]))
+    # The look ahead is for speed only.
+    named = F.regexp_extract_all(t, F.lit(js_pattern(rf"(?=[mtofls])\b({'|'.join(_STEMS)})(?:er|en|ene)?\b")), F.lit(1))
+    return let(F.transform(named, lambda x: F.translate(x, "ø", "o")), lambda found: F.filter(F.array(*map(F.lit, WEEKDAYS)), lambda d: F.array_contains(found, d)))
 
 
 def parse_weekday(c: Column) -> Column:
@@ -43,12 +45,16 @@ def parse_weekday(c: Column) -> Column:
 def find_ordinals(t: Column) -> Column:
     """Positions within the month that folded text names, ascending; dates like 3/4 don't count."""
     t = F.regexp_replace(t, js_pattern(r"[0-9]{1,2}\s*[/.]\s*[0-9]{1,2}"), " ")
-    return F.array_compact(F.array(*[F.when(_has(t, p), F.lit(k)) for k, p in ORDINALS.items()]))
+    return let(t, lambda t: F.array_compact(F.array(*[F.when(_has(t, p), F.lit(k)) for k, p in ORDINALS.items()])))
+
+
+def _parity(compacted: Column) -> Column:
+    return F.when(compacted.rlike(compacted_words(ODD_WORDS)), F.lit("odd")).when(compacted.rlike(compacted_words(EVEN_WORDS)), F.lit("even"))
 
 
 def week_parity(c: Column) -> Column:
     """odd, even or null. Odd is tried first, for its compacted words hold those of even."""
-    return F.when(contains_compacted(c, ODD_WORDS), F.lit("odd")).when(contains_compacted(c, EVEN_WORDS), F.lit("even"))
+    return let(compact(c), _parity)
 
 
 def build_rule(freq: Column, day: Column, interval: Column | None = None, setpos: Column | None = None) -> Column:
@@ -63,10 +69,16 @@ def build_rule(freq: Column, day: Column, interval: Column | None = None, setpos
 
 
 def parse_recurrence(c: Column) -> Column:
-    """struct(kind, rrule, raw, week_parity, bysetpos). The first test that applies decides; raw is the text as it came, null stays null."""
-    t = lower_fold(c)
-    days, ordinals = find_weekdays(t), find_ordinals(t)
-    day = F.get(days, F.lit(0))
+    """struct(kind, rrule, raw, week_parity, bysetpos). The first test that applies decides; raw is the text as it came, null stays null.
+
+    What the tests look at is computed once for each text.
+    """
+    read = lambda t: F.struct(find_weekdays(t).alias("days"), find_ordinals(t).alias("ordinals"), _has(t, MONTH).alias("month"), compact_folded(t).alias("compacted"), t.alias("t"))
+    return F.when(c.isNull(), F.lit(None)).otherwise(let(lower_fold(c), lambda t: let(read(t), lambda x: _decide(c, x))))
+
+
+def _decide(c: Column, x: Column) -> Column:
+    t, ordinals, month, day = x["t"], x["ordinals"], x["month"], F.get(x["days"], F.lit(0))
     last, none = F.array(F.lit(-1)), F.lit(None)
 
     def rule(kind: str, rrule: Column, parity: Column = none, setpos: Column = none) -> Column:
@@ -74,12 +86,11 @@ def parse_recurrence(c: Column) -> Column:
 
     irregular = rule("irregular", none)
     monthly, weekly = F.lit("MONTHLY"), F.lit("WEEKLY")
-    month, some = _has(t, MONTH), F.size(ordinals) > 0
+    some = F.size(ordinals) > 0
     return (
-        F.when(c.isNull(), F.lit(None))
-        .when((F.size(days) != 1) | _has(t, AMBIGUOUS), irregular)
+        F.when((F.size(x["days"]) != 1) | _has(t, AMBIGUOUS), irregular)
         .when(_has(t, LAST_OF_MONTH), rule("last-of-month", build_rule(monthly, day, setpos=last), setpos=last))
-        .when(contains_compacted(t, BIWEEKLY_WORDS) & ~(month & some), rule("biweekly", build_rule(weekly, day, F.lit(2)), week_parity(t)))
+        .when(x["compacted"].rlike(compacted_words(BIWEEKLY_WORDS)) & ~(month & some), rule("biweekly", build_rule(weekly, day, F.lit(2)), _parity(x["compacted"])))
         .when(month & some, rule("monthly-nth", build_rule(monthly, day, setpos=ordinals), setpos=ordinals))
         .when(month | _has(t, EVERY_NTH) | _has(t, ALTERNATIVE), irregular)
         .otherwise(rule("weekly", build_rule(weekly, day)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ BORDER = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]
 TRANSLITERATED = {"æ": "ae", "ø": "oe", "å": "aa", "ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"}
 TRANSLITERATED_SLUG = TRANSLITERATED | {"đ": "d", "ð": "d", "þ": "th"}
 STREET_SUFFIX = "(?:vei|veien|vn|gate|gaten|gata|gt|plass|plassen|alle|allé|alléen|alleen|torg|torget|brygge|brygga|kai|kaia|plassen|stredet|bakken|svingen|løkka|lokka)"
+ADDRESS = rf"\b([A-ZÆØÅ][\wÆØÅæøå'\-]*{STREET_SUFFIX}|[A-ZÆØÅ][\wÆØÅæøå'\-]+)\s+(\d{{1,4}}\s*[A-Za-z]?)\b"
+STRICT_ADDRESS = rf"\b([A-ZÆØÅ][\wÆØÅæøå'\-]*{STREET_SUFFIX})\s+(\d{{1,4}}\s*[A-Za-z]?)\b"
+TIDY_START, TIDY_END, TIDY_CLOSE = r"^(?:\s|[,;:.)\]»])+", r"(?:\s|[,;:.(\[«])+$", r"\)+$"
 LABEL_RULES = {
     "allmenn": r"\ballmenn\w*\b|\bgenerell\b|\bblandet\b|\bvariert\b",
     "musikk": r"\bmusikk\w*\b|\brock\w*\b|\bpop\b|\bpopkultur\b|\bmusikkbingo\b|\bhiphop\b|\bjazz\b|\blyd\b",
@@ -97,18 +102,15 @@ def normalize_time(c: Column) -> Column:
 
 
 def _tidy_address(c: Column) -> Column:
-    c = F.regexp_replace(collapse(c), rf"^(?:{WS}|[,;:.)\]»])+", "")
-    return js_trim(F.regexp_replace(F.regexp_replace(c, rf"(?:{WS}|[,;:.(\[«])+$", ""), r"\)+$", ""))
-
-
-_NAME = r"[A-ZÆØÅ][A-Za-z0-9_ÆØÅæøå'\-]"
-_NUMBER = rf"{WS}+([0-9]{{1,4}}{WS}*[A-Za-z]?){BORDER}"
-STRICT_ADDRESS = rf"{BORDER}({_NAME}*{STREET_SUFFIX}){_NUMBER}"
-LOOSE_ADDRESS = rf"{BORDER}({_NAME}*{STREET_SUFFIX}|{_NAME}+){_NUMBER}"
+    c = collapse(c)
+    for p in (TIDY_START, TIDY_END, TIDY_CLOSE):
+        c = F.regexp_replace(c, js_pattern(p), "")
+    return js_trim(c)
 
 
 def clean_venue(c: Column) -> Column:
     """struct(name, address_hint): an address after the first line, in a closing parenthesis or behind the name is set apart."""
+    strict = js_pattern(STRICT_ADDRESS)
     lines = F.filter(F.transform(F.split(c, "\n"), js_trim), lambda x: x != "")
     many = F.size(lines) > 1
     first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
@@ -118,12 +120,12 @@ def clean_venue(c: Column) -> Column:
     tail = F.when(many, F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), ", ")).when(before != "", js_trim(F.regexp_extract(first, inside, 2)))
     wrapped = js_trim(tail)
     candidate = collapse(F.when(wrapped.rlike(r"^\(.*\)$"), F.regexp_extract(wrapped, r"^\((.*)\)$", 1)).otherwise(wrapped))
-    found = F.coalesce(*[F.nullif(F.regexp_extract(candidate, f"(?s){p}.*", 0), F.lit("")) for p in (STRICT_ADDRESS, LOOSE_ADDRESS)])
+    found = F.coalesce(*[F.nullif(F.regexp_extract(candidate, f"(?s){p}.*", 0), F.lit("")) for p in (strict, js_pattern(ADDRESS))])
     hint = F.nullif(_tidy_address(found), F.lit(""))
     name = F.coalesce(F.nullif(collapse(head), F.lit("")), collapse(c))
-    bare = F.regexp_replace(js_trim(F.regexp_extract(name, f"(?s)^(.+?){STRICT_ADDRESS}", 1)), rf"[,\-–]{WS}*$", "")
-    own = F.nullif(_tidy_address(F.regexp_extract(name, STRICT_ADDRESS, 0)), F.lit(""))
-    starts = name.rlike(f"^{STRICT_ADDRESS}")
+    bare = F.regexp_replace(js_trim(F.regexp_extract(name, f"(?s)^(.+?){strict}", 1)), rf"[,\-–]{WS}*$", "")
+    own = F.nullif(_tidy_address(F.regexp_extract(name, strict, 0)), F.lit(""))
+    starts = name.rlike(f"^{strict}")
     cut = tail.isNull() & ~starts & (F.length(bare) > 1) & own.isNotNull()
     pair = lambda n, h: F.struct(n.alias("name"), h.alias("address_hint"))
     none = F.lit(None).cast("string")
@@ -152,17 +154,29 @@ def lower_fold(c: Column) -> Column:
     return collapse(F.regexp_replace(F.lower(c), r"[‐-―]", "-"))
 
 
+def compact_folded(t: Column) -> Column:
+    """compact() of text that lower_fold() made."""
+    return F.regexp_replace(F.regexp_replace(t, rf"(?:{WS}|[\-.,()])+", ""), r"(?s)(.)\1+", "$1")
+
+
 def compact(c: Column) -> Column:
     """lower_fold without white space and - . , ( ), runs of a character shortened to one."""
-    return F.regexp_replace(F.regexp_replace(lower_fold(c), rf"(?:{WS}|[\-.,()])+", ""), r"(?s)(.)\1+", "$1")
+    return compact_folded(lower_fold(c))
+
+
+def compacted_words(words: tuple[str, ...]) -> str:
+    """A pattern of any of the words, each made as compact() does."""
+    return "|".join(re.escape(re.sub(r"(?s)(.)\1+", r"\1", re.sub(r"[\s\-\u2010-\u2015.,()]+", "", w.lower()))) for w in words)
 
 
 def contains_compacted(c: Column, words: tuple[str, ...]) -> Column:
     """Whether the compacted text holds one of the words, compacted alike."""
-    t, out = compact(c), F.lit(False)
-    for w in words:
-        out = out | t.contains(compact(F.lit(w)))
-    return out
+    return compact(c).rlike(compacted_words(words))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def strip_place_qualifier(c: Column) -> Column:

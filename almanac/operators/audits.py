@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import has_caveat, is_undated, occurs_on
 from ..functions.recurrence import WEEKDAYS
-from ..functions.text import lower_fold
+from ..functions.text import js_trim
 
 # ---- fixed values ----
-GEO_SOURCES = ("osm", "kartverket", "address", "centroid", "manual")
+GEO_SOURCES = ("address", "osm", "kartverket", "centroid", "manual")
 CONFIDENCES = ("high", "medium", "low")
 KINDS = ("weekly", "biweekly", "monthly-nth", "last-of-month", "irregular")
 CATEGORIES = ("allmenn", "musikk", "sport", "film", "annet")
 TIME = r"^([01]\d|2[0-3]):[0-5]\d$"
 REGION_NUMBER = r"^\d{4}$"
+BARE_WEEKDAY = "^(mandag|tirsdag|onsdag|torsdag|fredag|lørdag|søndag)(er)?$"
 # ---- end of fixed values ----
 
 #: Rules by path: a condition that must hold; null passes unless the rule says otherwise.
@@ -43,6 +44,12 @@ def validate(df: DataFrame, rules: dict[str, Column], key: str) -> DataFrame:
     return df.select(F.col(key), F.explode(broken).alias("path"))
 
 
+def first_issues(violations: DataFrame, n: int = 10) -> list[str]:
+    """The first n violations by path and key, as `path: key`."""
+    key = next(c for c in violations.columns if c != "path")
+    return [f"{r['path']}: {r[key]}" for r in violations.orderBy("path", key).limit(n).collect()]
+
+
 def conservation_audit(items: DataFrame, dated: DataFrame, undated: DataFrame, key: str = "id") -> DataFrame:
     """key, problem: items that are in neither part, or in both."""
     d, u = dated.select(key).distinct(), undated.select(key).distinct()
@@ -58,9 +65,10 @@ def reachability_audit(items: DataFrame, start: Column, horizon: int = 35, key:
 
 
 def unexplained_weekly_audit(items: DataFrame, reviewed: DataFrame, key: str = "id") -> DataFrame:
-    """key, problem: weekly items whose text is more than a weekday, hedges nothing and isn't reviewed; and reviewed keys that are gone."""
-    bare = F.regexp_replace(lower_fold(F.col("recurrence.raw")), "[^a-zæøå]", "").rlike("^(mandag|tirsdag|onsdag|torsdag|fredag|lørdag|lordag|søndag|sondag)(er|en|ene)?$")
-    odd = items.where((F.col("recurrence.kind") == "weekly") & ~bare & ~has_caveat(F.col("recurrence.raw"))).select(key)
+    """key, problem: dated weekly items whose text is more than a weekday (a year, a season, another form of the word), hedges nothing and isn't reviewed; and reviewed keys that are gone."""
+    bare = js_trim(F.col("recurrence.raw")).rlike(f"(?iu){BARE_WEEKDAY}")
+    weekly = (F.col("recurrence.kind") == "weekly") & ~is_undated(F.col("weekday"), F.col("recurrence"))
+    odd = items.where(weekly & ~bare & ~has_caveat(F.col("recurrence.raw"))).select(key)
     open_ = odd.join(reviewed.select(key), key, "left_anti").withColumn("problem", F.lit("unexplained"))
     return open_.unionByName(reviewed.select(key).join(items.select(key), key, "left_anti").withColumn("problem", F.lit("gone")))
 

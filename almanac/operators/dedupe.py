@@ -77,6 +77,20 @@ def collated(c: Column | str, locale: str = "nb") -> Column:
     return F.collate(F.col(c) if isinstance(c, str) else c, locale)
 
 
+def numbered(df: DataFrame, group: str, first: str, then: list[Column], out: str) -> DataFrame:
+    """df plus the row's place in its group by `first` (nulls last) and `then`, from 1.
+
+    Only rows with equal `first` are sorted in one task; what comes before them is counted (with map-side combination) and
+    added, so that a group isn't the unit of work.
+    """
+    before = Window.partitionBy("_g").orderBy(F.asc_nulls_last("_f")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(F.col(group).alias("_g"), F.col(first).alias("_f")).agg(F.count("*").alias("_c"))
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy(group, first).orderBy(*then))
+    here = df[group].eqNullSafe(starts["_g"]) & df[first].eqNullSafe(starts["_f"])
+    return df.withColumn("_n", own).join(starts, here).select(*df.columns, (F.col("_n") + F.col("_before")).cast("long").alias(out))
+
+
 def sort_by_time_name(df: DataFrame, time: str = "time", name: str = "name", key: str = "id") -> DataFrame:
     """Time ascending with nulls last, then the name as Norwegians sort, then the key."""
     return df.orderBy(F.asc_nulls_last(time), collated(name), key)

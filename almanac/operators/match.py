@@ -107,24 +107,37 @@ def _fronts(a: DataFrame, b: DataFrame, grams: str, least: float) -> tuple[DataF
 
 
 def _keys(d: DataFrame) -> DataFrame:
-    """block, n, key: the name, its core without spaces, and its core words. Exact and strong matches share one of these."""
-    words = F.transform("t", lambda w: F.concat(F.lit("w:"), w))
+    """block, n, key: the name and its core without spaces. Exact matches share one of these."""
     own = F.array(F.concat(F.lit("n:"), "n"), F.when(F.col("c") != "", F.concat(F.lit("c:"), F.replace("c", F.lit(" "), F.lit("")))))
-    return d.select("block", "n", F.explode(F.array_compact(F.concat(own, words))).alias("key"))
+    return d.select("block", "n", F.explode(F.array_compact(own)).alias("key"))
+
+
+def _word_keys(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """block, n, key of each side: strong matches share one.
+
+    Of a strong pair all core words of one name are in the other, so the rarest word of that one is: it meets every word of
+    the other side, and frequent words don't meet each other.
+    """
+    words = [d.select("block", "n", F.explode(F.array_distinct("t")).alias("w")) for d in (a, b)]
+    often = words[0].unionByName(words[1]).groupBy("block", "w").agg(F.count("*").alias("df"))
+    rare = [d.join(often, ["block", "w"]).groupBy("block", "n").agg(F.min(F.struct("df", "w")).alias("r")).select("block", "n", F.col("r.w").alias("w")) for d in words]
+    key = lambda d, tag: d.select("block", "n", F.concat(F.lit(f"{tag}:"), "w").alias("key"))
+    return key(rare[0], "wa").unionByName(key(words[0], "wb")), key(words[1], "wa").unionByName(key(rare[1], "wb"))
 
 
 def fuzzy_block_join(venues: DataFrame, places: DataFrame, block: str, source: str = "name", target: str = "place_name", place: Column | None = None) -> DataFrame:
     """Pairs of venues and places of one block whose names match; null blocks match nothing.
 
-    Distinct names meet only if they share a key that any match must share: the name, its core, a core word, or one of the
-    rarest bigrams. So a large block isn't multiplied out, and nothing is lost.
+    Distinct names meet only if they share a key that any match must share: the name, its core, the rarest core word of
+    either, or one of the rarest bigrams. So a large block isn't multiplied out, and nothing is lost.
     """
     v = name_features(venues.withColumn("_block", F.col(block)).where("_block is not null"), source, "_a").withColumn("_place", place if place is not None else F.array().cast("array<string>"))
     t = name_features(places.withColumn("_tblock", F.col(block)).where("_tblock is not null").drop(block), target, "_b")
     plain = lambda d, b, p: d.select(F.col(b).alias("block"), *[F.col(f"{p}{k}").alias(k) for k in "ntcgh"]).distinct()
     names = plain(v, "_block", "_a"), plain(t, "_tblock", "_b")
     full, core = _fronts(*names, "g", FUZZY), _fronts(*names, "h", CORE_FUZZY)
-    left, right = (_keys(d).unionByName(full[i]).unionByName(core[i]) for i, d in enumerate(names))
+    words = _word_keys(*names)
+    left, right = (_keys(d).unionByName(words[i]).unionByName(full[i]).unionByName(core[i]) for i, d in enumerate(names))
     near = left.select("block", F.col("n").alias("_an"), "key").join(right.select("block", F.col("n").alias("_bn"), "key"), ["block", "key"]).select(F.col("block").alias("_near"), "_an", "_bn").distinct()
     a = v.select("_block", "_an", "_at", "_ac", "_ag", "_ah", "_place").distinct()
     b = t.select("_tblock", "_bn", "_bt", "_bc", "_bg", "_bh").distinct()

@@ -54,11 +54,16 @@ def changed_ids(current: DataFrame, previous: DataFrame, key: str) -> DataFrame:
 
 
 def build_report(current: DataFrame, previous: DataFrame, key: str, stale: str = "stale") -> DataFrame:
-    """One row: n_current, n_previous_live, n_stale, n_new, n_removed, churn (changed ids by the larger live count; 0 on a first run)."""
-    count = lambda d, name: d.agg(F.count("*").alias(name))
-    live = previous.where(~F.coalesce(F.col(stale), F.lit(False)))
-    out = count(current, "n_current").crossJoin(count(live, "n_previous_live")).crossJoin(count(previous.join(current.select(key), key, "left_anti"), "n_stale"))
-    out = out.crossJoin(count(new_ids(current, previous, key), "n_new")).crossJoin(count(removed_ids(current, previous, key), "n_removed")).crossJoin(count(changed_ids(current, previous, key), "_changed"))
+    """One row: n_current, n_previous_live, n_stale, n_new, n_removed, churn (changed ids by the larger live count; 0 on a first run). Both snapshots are counted by id in one shuffle."""
+    live = (~F.coalesce(F.col(stale), F.lit(False))).cast("long")
+    both = current.select(key, F.lit(1).alias("_c"), F.lit(0).alias("_p"), F.lit(0).cast("long").alias("_l")).unionByName(previous.select(key, F.lit(0).alias("_c"), F.lit(1).alias("_p"), live.alias("_l")))
+    ids = both.groupBy(key).agg(F.sum("_c").alias("c"), F.sum("_p").alias("p"), F.sum("_l").alias("l"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    new, gone = (F.col("c") > 0) & (F.col("l") == 0), (F.col("c") == 0) & (F.col("p") > 0)
+    out = ids.agg(
+        total("c").alias("n_current"), total("l").alias("n_previous_live"), total(F.when(F.col("c") == 0, F.col("p"))).alias("n_stale"),
+        F.count_if(new).alias("n_new"), F.count_if(gone).alias("n_removed"), F.count_if(new | gone).alias("_changed"),
+    )
     churn = F.when(F.col("n_previous_live") == 0, F.lit(0.0)).otherwise(F.col("_changed") / F.greatest("n_previous_live", "n_current"))
     return out.withColumn("churn", churn).drop("_changed")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as C
 from ..functions.recurrence import WEEKDAYS
 from ..operators import audits, merge, views
-from ..operators.dedupe import collated
+from ..operators.dedupe import collated, numbered
 from .registry import query, table
 
 START = "2026-12-28"  # seven days across the border of ISO weeks 53 and 1
@@ -68,11 +68,9 @@ def dates(spark: SparkSession, n: int = 7) -> DataFrame:
 @query("q_week_listing", WEEK + """
 SELECT date, id, kommune, time, occurrence, row_number() OVER (PARTITION BY date ORDER BY time NULLS LAST, kommune, id) AS place_in_day FROM dated""")
 def week_listing(spark, sf_dir):
-    from pyspark.sql import Window
-
     dated, _ = C.expand_occurrences(listing(spark, sf_dir), dates(spark))
-    w = Window.partitionBy("date").orderBy(F.asc_nulls_last("time"), collated("kommune"), "id")
-    return dated.where("id is not null").select("date", "id", "kommune", "time", "occurrence", F.row_number().over(w).cast("long").alias("place_in_day"))
+    dated = dated.where("id is not null").select("date", "id", "kommune", "time", "occurrence")
+    return numbered(dated, "date", "time", [collated("kommune"), F.col("id")], "place_in_day")
 
 
 @query("op_c12_c17_occurrence_on", WEEK + "SELECT id, date, occurrence FROM o")
@@ -302,14 +300,23 @@ def conservation(spark, sf_dir):
     return audits.conservation_audit(items, dated, undated)
 
 
-@query("op_h5_reachability", LONG + "SELECT id FROM m WHERE NOT undated AND id NOT IN (SELECT id FROM dated)")
+@query("op_h5_reachability", LONG.replace("ELSE [k % 4 + 1] END END AS pos", "WHEN k % 4 = 2 THEN [6] ELSE [k % 4 + 1] END END AS pos") + "SELECT id FROM m WHERE NOT undated AND id NOT IN (SELECT id FROM dated)")
 def reachability(spark, sf_dir):
-    return audits.reachability_audit(listing(spark, sf_dir), F.lit(START).cast("date"))
+    # A sixth Monday never comes: those items are beyond any horizon.
+    never = (F.col("recurrence.kind") == "monthly-nth") & (F.col("id") % 5 != 0) & (F.col("id") % 4 == 2)
+    pos = F.when(never, F.array(F.lit(6))).otherwise(F.col("recurrence.bysetpos"))
+    return audits.reachability_audit(listing(spark, sf_dir).withColumn("recurrence", F.col("recurrence").withField("bysetpos", pos)), F.lit(START).cast("date"))
+
+
+_ODD_TEXTS = ("mandag klokka sju", "Mandag 1/9-15/12", "Mandager (2024)", "mandagen", "lordag", " MANDAGER ", "Lørdag")  # the last two are bare
 
 
-@query("op_h6_unexplained_weekly", WEEK + "SELECT id, 'unexplained' AS problem FROM m WHERE kind = 'weekly' AND raw = 'mandag kl 19' AND id % 9 <> 0 UNION ALL SELECT k, 'gone' FROM (SELECT -c_custkey AS k FROM customer WHERE c_custkey % 100 = 0 AND c_custkey > 0)".replace("raw = 'mandag kl 19'", "id % 19 = 2 AND raw = 'mandag'"))
+@query("op_h6_unexplained_weekly", WEEK + """
+SELECT id, 'unexplained' AS problem FROM m WHERE kind = 'weekly' AND NOT undated AND raw = 'mandag' AND id % 19 = 2 AND id % 7 < 5 AND id % 9 <> 0
+UNION ALL SELECT -c_custkey, 'gone' FROM customer WHERE c_custkey % 100 = 0 AND c_custkey > 0""")
 def unexplained(spark, sf_dir):
-    raw = F.when((F.col("id") % 19 == 2) & (F.col("recurrence.raw") == "mandag"), F.lit("mandag klokka sju")).otherwise(F.col("recurrence.raw"))
+    text = F.get(F.array(*map(F.lit, _ODD_TEXTS)), (F.col("id") % 7).cast("int"))
+    raw = F.when((F.col("id") % 19 == 2) & (F.col("recurrence.raw") == "mandag"), text).otherwise(F.col("recurrence.raw"))
     items = listing(spark, sf_dir).withColumn("recurrence", F.col("recurrence").withField("raw", raw))
     reviewed = items.where("id % 9 = 0").select("id").unionByName(items.where("id % 100 = 0 and id > 0").select((-F.col("id")).alias("id")))
     return audits.unexplained_weekly_audit(items, reviewed)
