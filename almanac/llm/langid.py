@@ -27,19 +27,22 @@ VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 START = "▁"
 #: Documents per language that a model is fitted on, chosen by a hash of the id (an expected number; all if there are fewer).
 SAMPLE = 2000
-#: Longer words (in characters) are scored one by one with sums that are rescaled on the way; they would underflow otherwise.
-LONG = 40
-#: Characters of a text and of a long word that are looked at together.
-PART, LONG_PART = 1 << 18, 1 << 12
+#: Characters of a text and of words that are looked at together, and entries of a table of pieces.
+PART, BATCH, TABLE = 1 << 18, 1 << 16, 1 << 20
 ROUNDS = 3
 FLOOR = 1e-7
-KEPT = 200_000
+KEPT = 300_000
 #: Characters that regular expressions take for letters although they are numbers (category N).
 _NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_WORD, _NEARLY = re.compile(rf"[^\W\d_{_NUMBERS}]+"), re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _words(text: str) -> list[str]:
+    found = _NEARLY.findall(text.lower())  # much faster than _WORD, and hardly ever different
+    return found if all(map(str.isalpha, found)) else [x for w in found for x in _WORD.findall(w)]
+
+
 def words_of(text: str) -> Iterator[list[str]]:
     """Runs of letters (category L), lower-cased, of PART characters of text or so at a time."""
     at = 0
@@ -49,9 +52,9 @@ def words_of(text: str) -> Iterator[list[str]]:
             end -= 1
         if end == at:  # one word; take all of it
             end = _WORD.match(text, at).end()
-        yield _WORD.findall(text[at:end].lower())
+        yield _words(text[at:end])
         at = end
-    yield _WORD.findall(text[at:].lower())
+    yield _words(text[at:])
 
 
 class Pieces:
@@ -66,10 +69,9 @@ class Pieces:
         keys = np.array([self._key(p) for p in self.text], np.uint64)
         order = np.argsort(keys)
         self._keys, self._place = keys[order], order.astype(np.int32)
-        # A slot of the upper 20 bits holds where its keys begin; most have one or none.
-        self._from = np.searchsorted(self._keys >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
-        self._most = int(np.diff(self._from).max())
-        self._keys, self._place = np.append(self._keys, np.zeros(self._most, np.uint64)), np.append(self._place, np.zeros(self._most, np.int32))
+        # Most hashes are of no piece: a small table of the upper 18 bits tells nearly all of them.
+        self._some = np.zeros(1 << 18, bool)
+        self._some[keys >> np.uint64(46)] = True
 
     @staticmethod
     def _step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -84,31 +86,43 @@ class Pieces:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places of the pieces with these hashes; len(text) where there is none."""
-        at, out = self._from[h >> np.uint64(44)], np.full(len(h), len(self.text), np.int32)
-        for k in range(self._most):
-            hit = self._keys[at + k] == h
-            out[hit] = self._place[at + k][hit]
+        out = np.full(h.shape, len(self.text), np.int32)
+        maybe = np.nonzero(self._some[h >> np.uint64(46)])
+        h = h[maybe]
+        at = np.minimum(np.searchsorted(self._keys, h), len(self._keys) - 1)
+        out[maybe] = np.where(self._keys[at] == h, self._place[at], len(self.text))
+        return out
+
+    def from_starts(self, points: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Pieces that start at a to b - 1 of each word (a row of code points, filled up with zeros), by word, start and length."""
+        part = np.zeros((len(points), b - a + self.longest), np.uint64)
+        part[:, : points.shape[1] - a] = points[:, a : b + self.longest]
+        h = np.zeros((len(points), b - a), np.uint64)
+        out = np.full((*h.shape, self.longest), len(self.text), np.int32)
+        for n in range(min(self.longest, points.shape[1] - a)):
+            h = h[:, : points.shape[1] - a - n]  # starts that n more characters follow
+            h = self._step(h, part[:, n : n + h.shape[1]])
+            out[:, : h.shape[1], n] = self.find(h)
         return out
 
-    def spans(self, words: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        """(start, end, piece) for all substrings of words of one length, a matrix of code points, by end."""
-        n, out = words.shape[1], []
-        for start in range(n):
-            h = np.zeros(len(words), np.uint64)
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                h = self._step(h, words[:, end - 1])
-                out.append((start, end, self.find(h)))
-        return sorted(out, key=lambda x: (x[1], -x[0]))
-
-    def table(self, points: np.ndarray, a: int, b: int) -> np.ndarray:
-        """Pieces that start at a to b - 1 (rows) by length (columns, from 1) in one long word."""
-        out = np.full((b - a, self.longest), len(self.text), np.int32)
-        h, part = np.zeros(b - a, np.uint64), points[a : b + self.longest].astype(np.uint64)
-        for n in range(1, self.longest + 1):
-            rows = min(b, len(points) - n + 1) - a
-            if rows > 0:
-                h[:rows] = self._step(h[:rows], part[n - 1 : n - 1 + rows])
-                out[:rows, n - 1] = self.find(h[:rows])
+    def to_ends(self, points: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Pieces that end at a + 1 to b, by word, end and length."""
+        first = max(0, a - self.longest + 1)
+        starts = self.from_starts(points, first, b)
+        at = np.arange(a + 1, b + 1)[:, None] - np.arange(1, self.longest + 1)
+        return np.where(at < first, len(self.text), starts[:, np.maximum(at - first, 0), np.arange(self.longest)])
+
+    def back_to_starts(self, points: np.ndarray, a: int, b: int) -> np.ndarray:
+        """The same of words that are written backwards: pieces that start where a + 1 to b characters are left."""
+        part = np.zeros((len(points), b - a + self.longest), np.uint64)
+        low = max(0, a + 1 - self.longest)
+        part[:, self.longest - (a + 1 - low) : self.longest - 1 + b - a] = points[:, low:b]
+        h = np.zeros((len(points), b - a), np.uint64)
+        out = np.full((*h.shape, self.longest), len(self.text), np.int32)
+        for n in range(min(self.longest, b)):
+            k = max(0, n - a)  # ends that n more characters come before
+            h[:, k:] = self._step(h[:, k:], part[:, self.longest - 1 - n + k : self.longest - 1 - n + b - a])
+            out[:, k:, n] = self.find(h[:, k:])
         return out
 
 
@@ -117,112 +131,94 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of words of one length, and their code points with the start mark before them."""
-    lengths = np.array([len(w) for w in words])
-    for n in np.unique(lengths).tolist():
-        at = np.flatnonzero(lengths == n)
-        for part in np.array_split(at, -(-len(at) // 20_000)):
-            points = np.frombuffer("".join(START + words[i] for i in part).encode("utf-32-le"), np.uint32).reshape(len(part), n + 1)
-            yield part, points.astype(np.uint64)
+def _batches(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of words of about one length (longest first), their lengths with the start mark, and their code points filled up with zeros."""
+    lengths = np.array([len(w) for w in words], np.int64) + 1
+    order = np.argsort(-lengths, kind="stable")
+    i = 0
+    while i < len(order):
+        j = min(len(order), i + max(1, BATCH // int(lengths[order[i]])))
+        at = order[i:j]
+        n = lengths[at]
+        points = np.zeros((len(at), int(n[0])), np.uint32)
+        points[np.arange(points.shape[1]) < n[:, None]] = np.frombuffer("".join(START + words[k] for k in at.tolist()).encode("utf-32-le"), np.uint32)
+        yield at, n, points
+        i = j
+
+
+def _parts(words: int, length: int, longest: int) -> Iterator[tuple[int, int]]:
+    step = max(1, TABLE // (words * longest))
+    return ((a, min(length, a + step)) for a in range(0, length, step))
 
 
-def _q(prob: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Probabilities of a table of pieces, single characters at least FLOOR."""
-    q = prob[ids]
-    q[:, 0] = np.maximum(q[:, 0], FLOOR)
+def _q(prob: np.ndarray, ids: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+    """Probabilities of pieces by length (the last axis of ids), by language or (own) of each word's; single characters at least FLOOR."""
+    q = prob[ids] if own is None else prob[ids, own.reshape(-1, *[1] * (ids.ndim - 1))][..., None]
+    q[..., 0, :] = np.maximum(q[..., 0, :], FLOOR)
     return q
 
 
-def long_sums(points: np.ndarray, prob: np.ndarray, vocabulary: Pieces, back: bool = False, every: bool = False) -> np.ndarray:
-    """Logs of the forward sums (backward ones if back) of one word, by language: the last, or those of every position.
+def _sums(n: np.ndarray, points: np.ndarray, prob: np.ndarray, vocabulary: Pieces, own: np.ndarray | None = None, back: bool = False, every: bool = False) -> np.ndarray:
+    """Logs of the forward sums of words, at their ends or (every) at all positions; backward ones if `points` are written backwards.
 
-    Sums are kept for as many positions as a piece is long, divided by the latest from time to time.
+    All words take a step at a time. Sums are kept for as many positions as a piece is long, and divided by the latest from
+    time to time, so that words of any length neither underflow nor take more memory.
     """
-    n, most = len(points), vocabulary.longest
-    now, scale = np.zeros((most, prob.shape[1])), np.zeros(prob.shape[1])
-    now[-1] = 1
-    out = np.zeros((n + 1, prob.shape[1])) if every else None
-    for a in range(0, n, LONG_PART):
-        b = min(n, a + LONG_PART)
-        if back:
-            q = _q(prob, vocabulary.table(points, n - b, n - a)[::-1])
-        else:
-            first = max(0, a - most + 1)
-            starts = vocabulary.table(points, first, b)
-            at = np.arange(a + 1, b + 1)[:, None] - np.arange(1, most + 1)
-            q = _q(prob, np.where(at < first, len(vocabulary.text), starts[np.maximum(at - first, 0), np.arange(most)]))
-        sums = np.concatenate((now, np.zeros((b - a, prob.shape[1]))))
+    most, k = vocabulary.longest, prob.shape[1] if own is None else 1
+    now, scale = np.zeros((len(n), most, k)), np.zeros((len(n), k))
+    now[:, -1] = 1
+    out = np.zeros((len(n), k))
+    rows = np.zeros((len(n), points.shape[1] + 1, k)) if every else None
+    for a, b in _parts(len(n), points.shape[1], most):
+        live = int(np.searchsorted(-n, -a, "left"))  # words longer than a come first
+        table = vocabulary.back_to_starts if back else vocabulary.to_ends
+        ids = table(points[:live], a, b)
+        sums = np.concatenate((now[:live], np.zeros((live, b - a, k))), axis=1)
+        scale = scale[:live]
         for i in range(b - a):
-            v = (sums[i : i + most][::-1] * q[i]).sum(axis=0)
-            sums[most + i] = v
+            m = min(most, a + i + 1)  # no piece is longer than what there is
+            q = _q(prob, ids[:, i, :m], None if own is None else own[:live])
+            v = np.einsum("wmk,wmk->wk", sums[:, most + i - m : most + i][:, ::-1], q)
+            sums[:, most + i] = v
+            done = n[:live] == a + i + 1
             if every:
-                out[a + i + 1] = np.log(v) + scale
-            if i % 16 == 15:
-                sums[i + 1 : most + i + 1] /= v
-                scale += np.log(v)
-        now = sums[-most:]
-    if every:
-        return out[::-1] if back else out
-    return np.log(now[-1]) + scale
-
-
-def _points(word: str) -> np.ndarray:
-    return np.frombuffer((START + word).encode("utf-32-le"), np.uint32)
-
-
-def _split(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of short and of long words."""
-    long = np.array([len(w) > LONG for w in words], bool)
-    return np.flatnonzero(~long), np.flatnonzero(long)
+                rows[:live, a + i + 1] = np.log(v) + scale
+            if done.any():
+                out[:live][done] = np.log(v[done]) + scale[done]
+            if (a + i) % 16 == 15:
+                sums[:, i + 1 : most + i + 1] /= v[:, None]
+                scale = scale + np.log(v)
+        now = sums[:, -most:]
+    return rows if every else out
 
 
 def log_likelihoods(words: list[str], prob: np.ndarray, vocabulary: Pieces) -> np.ndarray:
     """For each word and language the log of the sum over all segmentations. prob: pieces and a last row of zeros, by language."""
     out = np.zeros((len(words), prob.shape[1]))
-    short, long = _split(words)
-    for i in long.tolist():
-        out[i] = long_sums(_points(words[i]), prob, vocabulary)
-    for at, points in _by_length([words[i] for i in short.tolist()]):
-        alpha = np.zeros((points.shape[1] + 1, len(at), prob.shape[1]))
-        alpha[0] = 1
-        for start, end, piece in vocabulary.spans(points):
-            alpha[end] += alpha[start] * np.maximum(prob[piece], FLOOR if end - start == 1 else 0)
-        out[short[at]] = np.log(alpha[-1])
+    for at, n, points in _batches(words):
+        out[at] = _sums(n, points, prob, vocabulary)
     return out
 
 
-def _long_counts(out: np.ndarray, word: str, k: int, weight: float, prob: np.ndarray, vocabulary: Pieces) -> None:
-    points, own = _points(word), prob[:, [k]]
-    ahead, back = (long_sums(points, own, vocabulary, b, every=True)[:, 0] for b in (False, True))
-    for a in range(0, len(points), LONG_PART):
-        b = min(len(points), a + LONG_PART)
-        ids = vocabulary.table(points, a, b)
-        end = np.minimum(np.arange(a, b)[:, None] + np.arange(1, vocabulary.longest + 1), len(points))
-        with np.errstate(divide="ignore"):
-            share = np.exp(ahead[a:b, None] + back[end] + np.log(_q(own, ids)[:, :, 0]) - ahead[-1])
-        np.add.at(out, (ids, k), share * weight)
-
-
 def expected_counts(words: list[str], language: np.ndarray, weight: np.ndarray, prob: np.ndarray, vocabulary: Pieces) -> np.ndarray:
     """How often each piece is expected in the weighted words, by language: forward and backward sums over all segmentations."""
-    out = np.zeros_like(prob)
-    short, long = _split(words)
-    for i in long.tolist():
-        _long_counts(out, words[i], int(language[i]), float(weight[i]), prob, vocabulary)
-    for place, points in _by_length([words[i] for i in short.tolist()]):
-        at = short[place]
-        own, n = language[at], points.shape[1]
-        found = [(s, e, p, np.maximum(prob[p, own], FLOOR if e - s == 1 else 0)) for s, e, p in vocabulary.spans(points)]
-        alpha, beta = np.zeros((n + 1, len(at))), np.zeros((n + 1, len(at)))
-        alpha[0] = beta[n] = 1
-        for s, e, _, q in found:
-            alpha[e] += alpha[s] * q
-        for s, e, _, q in reversed(found):
-            beta[s] += beta[e] * q
-        scale = weight[at] / alpha[n]
-        for s, e, p, q in found:
-            np.add.at(out, (p, own), alpha[s] * q * beta[e] * scale)
+    out = np.zeros(prob.size)
+    for at, n, points in _batches(words):
+        own, width = language[at], points.shape[1]
+        here = np.arange(width)
+        turned = np.where(here < n[:, None], points[np.arange(len(n))[:, None], np.maximum(n[:, None] - 1 - here, 0)], 0)
+        ahead = _sums(n, points, prob, vocabulary, own, every=True)[:, :, 0]
+        behind = _sums(n, turned, prob, vocabulary, own, back=True, every=True)[:, :, 0]
+        total = ahead[np.arange(len(n)), n]
+        for a, b in _parts(len(n), width, vocabulary.longest):
+            ids = vocabulary.from_starts(points, a, b)
+            q = _q(prob, ids, own)[..., 0]
+            left = n[:, None, None] - (np.arange(a, b)[:, None] + np.arange(1, vocabulary.longest + 1))
+            word, start, size = np.nonzero((left >= 0) & (q > 0))
+            left, ids, q = left[word, start, size], ids[word, start, size], q[word, start, size]
+            share = np.exp(ahead[word, a + start] + behind[word, left] + np.log(q) - total[word]) * weight[at][word]
+            out += np.bincount(ids.astype(np.int64) * prob.shape[1] + own[word], share, len(out))
+    out = out.reshape(prob.shape)
     out[-1] = 0
     return out
 

@@ -36,19 +36,20 @@ def test_forward_sums_all_segmentations():
     assert 2 <= counts.sum() <= 8  # two words of one to four pieces each
 
 
-def test_long_words(monkeypatch):
-    """Rescaled sums are the plain ones, wherever parts end; all of a word counts."""
+def test_words_of_all_lengths(monkeypatch):
+    """Sums are the same however words are put together and wherever parts end; all of a word counts."""
     v = langid.pieces(langid.VOCABULARY)
     assert v.longest > 6
     rng = np.random.default_rng(3)
     prob = rng.random((len(v.text) + 1, 3)) / 50
     prob[-1] = 0
-    words = ["responsibilities", "internationalisierung", "日本ñq" * 3]
-    want, lang, weight = langid.log_likelihoods(words, prob, v), np.array([0, 1, 2]), np.array([1.0, 2.0, 3.0])
+    words = ["responsibilit", "haus", "a", "日本ñq" * 3, "on"]
+    lang, weight = np.array([0, 1, 2, 0, 1]), np.array([1.0, 2.0, 3.0, 1.0, 1.0])
+    want = [[brute(w, prob[:, [k]], v) for k in range(3)] for w in words]
     counts = langid.expected_counts(words, lang, weight, prob, v)
-    monkeypatch.setattr(langid, "LONG", 3)
-    for part in (4, 7, 4096):
-        monkeypatch.setattr(langid, "LONG_PART", part)
+    for batch, table in ((1 << 18, 1 << 19), (1, 1), (20, 200), (30, 3000)):
+        monkeypatch.setattr(langid, "BATCH", batch)
+        monkeypatch.setattr(langid, "TABLE", table)
         assert np.allclose(langid.log_likelihoods(words, prob, v), want)
         assert np.allclose(langid.expected_counts(words, lang, weight, prob, v), counts)
     monkeypatch.undo()
@@ -56,6 +57,23 @@ def test_long_words(monkeypatch):
     assert np.isfinite(x).all() and (x[1] < x[0]).all() and (x[2] < x[1]).all()
 
 
+def test_expected_counts_by_brute_force():
+    v = langid.pieces(langid.VOCABULARY)
+    place = {p: i for i, p in enumerate(v.text)}
+    rng = np.random.default_rng(4)
+    prob = rng.random((len(v.text) + 1, 1)) / 50
+    prob[-1] = 0
+    for word in ("there", "ñandú", "on"):
+        want, total = np.zeros(len(v.text)), 0.0
+        for parts in segmentations(langid.START + word):
+            q = np.prod([max(prob[place[p], 0] if p in place else 0, langid.FLOOR if len(p) == 1 else 0) for p in parts])
+            total += q
+            for p in parts:
+                if p in place:
+                    want[place[p]] += q
+        assert np.allclose(langid.expected_counts([word], np.array([0]), np.array([2.0]), prob, v)[:-1, 0], 2 * want / total)
+
+
 def test_words(monkeypatch):
     text = "Ab² c½d ①Ⅷ e_f3G İx ΑΣ " + "long" * 9 + " 日本"
     want = ["ab", "c", "d", "e", "f", "g", "i", "x", "ας", "long" * 9, "日本"]
