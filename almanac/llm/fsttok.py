@@ -33,13 +33,13 @@ SPACE = "▁"
 #: Longer texts (in characters) are cut into chunks of so many.
 CHUNK = 1 << 15
 #: Counts of words that a worker keeps before it starts anew.
-KEPT = 400_000
+KEPT = 300_000
 #: Characters before a chunk that its entry states are found by, and the places they are started from.
 LEAD, SHIFTS = 96, 16
 #: Chunk maps that are composed together; two levels of them hold any string.
 FAN = 256
 #: States that a worker keeps before it compiles anew.
-STATES = 500_000
+STATES = 150_000
 #: By entry state: the exit state and the count, or the chunk whose map lacks a state, and that state.
 Map = dict[str, tuple[str, int] | tuple[int, str]]
 
