@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
+from ..sources.paths import stored
 
 
 def dedupe_first_wins(rows: DataFrame, key: str, order: str, backfill: list[list[str]]) -> DataFrame:
@@ -21,31 +22,48 @@ def make_unique(df: DataFrame, base: str, hints: list[str], order: str, out: str
     """df plus an id of its own for each row: the base for the first by order, `base-hint` for the first of the rest that find it free, then `base-2`, `base-3`, ...
 
     Passes over what is left, each giving an id to its first taker: bases of all rows come before any hint, and hints of one
-    place before those of the next. Hints of different places should have no value in common.
+    place before those of the next. Hints of different places should have no value in common. What a pass has given is
+    stored, so that the next one doesn't repeat it.
     """
-    first = lambda d, k: d.withColumn("_n", F.row_number().over(Window.partitionBy(k).orderBy(order)))
-    step = first(df, base)
-    done = step.where("_n = 1").withColumn(out, F.col(base)).drop("_n")
-    left = step.where("_n > 1").drop("_n")
+    least = lambda d, k: d.groupBy(k).agg(F.min(order).alias("_least"))
+    step = df.join(least(df, base), base).withColumn("_won", F.col(order) == F.col("_least")).drop("_least")
+    step = stored(step.withColumn(out, F.when(F.col("_won"), F.col(base))), "bases")
+    done, left = [step.where("_won").drop("_won")], step.where("not _won").drop("_won", out)
     for h in hints:
-        taken = done.select(F.col(out).alias("_taken")).distinct()
+        taken = _union([d.select(F.col(out).alias("_c")) for d in done]).distinct()
         asked = left.withColumn("_c", F.concat(F.col(base), F.lit("-"), slug(F.col(h))))
-        asked = asked.join(taken.withColumn("_is", F.lit(True)), F.col("_c") == F.col("_taken"), "left").drop("_taken")
-        asked = asked.withColumn("_n", F.row_number().over(Window.partitionBy("_c").orderBy(order)))
-        got = F.col("_is").isNull() & (F.col("_n") == 1) & F.col("_c").isNotNull()
-        won = asked.where(got).withColumn(out, F.col("_c")).drop("_c", "_is", "_n")
-        left = asked.where(~got).drop("_c", "_is", "_n")
-        done = done.unionByName(won)
-    return done.unionByName(_numbered(left, done, base, order, out).select(*done.columns))
+        free = least(asked.where("_c is not null").select("_c", order), "_c").join(taken, "_c", "left_anti")
+        won = F.col(order).eqNullSafe(F.col("_least"))
+        step = stored(asked.join(free, "_c", "left").withColumn("_won", F.col("_least").isNotNull() & won).withColumn(out, F.when(F.col("_won"), F.col("_c"))).select(*df.columns, "_won", out), "hints")
+        done.append(step.where("_won").drop("_won"))
+        left = step.where("not _won").drop("_won", out)
+    given = _union([d.select(*df.columns, out) for d in done])
+    return given.unionByName(_numbered(left, given, base, order, out).select(*given.columns))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _numbered(left: DataFrame, done: DataFrame, base: str, order: str, out: str) -> DataFrame:
-    """left with base-2, base-3, ... in order, without the numbers that ids in done have already."""
-    used = done.select(F.col(out).alias("_o")).where(F.col("_o").rlike("-[0-9]{1,9}$")).select(F.regexp_extract("_o", "^(.*)-[0-9]+$", 1).alias("_b"), F.regexp_extract("_o", "-([0-9]+)$", 1).cast("long").alias("_u"))
-    gone = used.groupBy("_b").agg(F.sort_array(F.collect_set("_u")).alias("_used"))
-    rest = left.withColumn("_n", F.row_number().over(Window.partitionBy(base).orderBy(order))).join(gone, F.col(base) == F.col("_b"), "left")
-    free = F.aggregate(F.coalesce("_used", F.array().cast("array<bigint>")), (F.col("_n") + 1).cast("long"), lambda n, u: F.when(u.between(2, n), n + 1).otherwise(n))
-    return rest.withColumn(out, F.concat(F.col(base), F.lit("-"), free.cast("string")))
+    """left with base-2, base-3, ... in order, without the numbers that ids in done have already.
+
+    Of the numbers that are used, the i-th (from 0), u, has u - 2 - i free ones before it; the k-th row passes those that
+    have fewer than k. Rows and used numbers are put in one order by that, so no row looks through them.
+    """
+    used = done.select(F.regexp_extract(out, "^(.*)-[0-9]{1,9}$", 1).alias("_b"), F.regexp_extract(out, "-([0-9]{1,9})$", 1).alias("_u")).where("_u <> ''")
+    used = used.select("_b", F.col("_u").cast("long").alias("_u")).where("_u > 1").distinct()
+    here = Window.partitionBy("_b").orderBy("_u")
+    used = used.select("_b", (F.col("_u") - F.row_number().over(here) - 1).alias("_free"), F.lit(1).alias("_is"))
+    rows = left.withColumn("_b", F.col(base)).withColumn("_free", F.row_number().over(Window.partitionBy(base).orderBy(order)).cast("long"))
+    both = rows.withColumn("_is", F.lit(0)).unionByName(used, allowMissingColumns=True)
+    # Of a used number and a row with equal k the row comes first: it has k - 1 free numbers before it.
+    passed = F.sum("_is").over(Window.partitionBy("_b").orderBy("_free", "_is").rowsBetween(Window.unboundedPreceding, 0))
+    n = both.withColumn("_n", F.col("_free") + 1 + passed).where("_is = 0")
+    return n.withColumn(out, F.concat(F.col(base), F.lit("-"), F.col("_n").cast("string"))).drop("_b", "_free", "_is", "_n")
 
 
 def slug_map(df: DataFrame, value: str, qualifier: str, order: str, fallback: str = "sted") -> DataFrame:

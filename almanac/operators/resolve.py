@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_place, place_rank, region_number, slug
+from ..functions.text import normalize_place, place_rank, region_number, slug, strip_place_qualifier
 
 _ENTRY = ("kommune_nr", "kommune_name", "fylke_now", "method")
 
@@ -42,12 +42,15 @@ def resolve_direct(places: DataFrame, register: DataFrame) -> DataFrame:
 def resolve_gazetteer(places: DataFrame, hits: DataFrame, register: DataFrame, top: int = 5) -> DataFrame:
     """Like resolve_direct, from gazetteer hits (query, navn, type, kommunenummer) of each place.
 
-    Hits in the county come first, then equal names, then by place type (ties: register number, name). The best must be in
+    A place without any hit is looked up once more without its qualifier (` i Somewhere`). Hits in the county come first, then equal names, then by place type (ties: register number, name). The best must be in
     the county and have the name, else the place is unresolved with the first few as candidates.
     """
     r = register.select("nr", F.col("navn").alias("_knavn"), "fylkesnr", F.col("fylke").alias("_now"))
     p = _keyed(places)
-    hit = p.join(hits, p["place"] == hits["query"]).join(r, F.col("kommunenummer") == F.col("nr"))
+    asked = hits.select("query").distinct()
+    again = p.join(asked, p["place"] == asked["query"], "left_anti").withColumn("_q", strip_place_qualifier(F.col("place")))
+    p2 = p.withColumn("_q", F.col("place")).unionByName(again.where("_q <> place"))
+    hit = p2.join(hits, p2["_q"] == hits["query"]).join(r, F.col("kommunenummer") == F.col("nr"))
     here = F.coalesce(F.col("fylkesnr") == F.col("_want"), F.lit(False))
     same = normalize_place(F.col("navn")) == F.col("_key")
     order = F.struct((~here).alias("a"), (~same).alias("b"), (-place_rank(F.col("type"))).alias("c"), F.col("nr").alias("d"), F.col("navn").alias("e"), F.col("_knavn").alias("k"), F.col("_now").alias("f"), F.concat("navn", F.lit(" ["), "type", F.lit("] -> "), "_knavn").alias("t"))
@@ -68,3 +71,16 @@ def resolve_places(venues: DataFrame, register: DataFrame, hits: DataFrame, exis
 
 def alias_method_counts(aliases: DataFrame) -> DataFrame:
     return aliases.groupBy("method").agg(F.count("*").alias("n"))
+
+
+def resolution_report(venues: DataFrame, existing: DataFrame, resolved: DataFrame) -> DataFrame:
+    """metric, n: places named, known already, resolved now, unresolved (ambiguous ones too)."""
+    named = venues.select("place").distinct().join(existing.select("place", F.lit(1).alias("known")).distinct(), "place", "left")
+    a = named.agg(F.count("*").alias("places"), F.count("known").alias("known"))
+    b = resolved.agg(F.count_if(F.col("status") == "resolved").alias("resolved"), F.count_if(F.col("status") != "resolved").alias("unresolved"))
+    return a.crossJoin(b).unpivot([], ["places", "known", "resolved", "unresolved"], "metric", "n")
+
+
+def to_curate(resolved: DataFrame, top: int = 4) -> DataFrame:
+    """place, fylke, status and the first few candidates of what a person has to decide."""
+    return resolved.where("status <> 'resolved'").select("place", "fylke", "status", F.slice(F.coalesce("candidates", F.array().cast("array<string>")), 1, top).alias("candidates"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import html, listing
+from ..sources.paths import shared_path
 from .registry import query, table
 
 
@@ -54,14 +55,21 @@ def link_status(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.link_status(url, cls).alias("broken"))
 
 
-@query("op_a6_a8_listing_roundtrip", "SELECT s_suppkey::VARCHAR AS id, s_name AS name, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS lat, CASE WHEN s_suppkey % 2 = 0 THEN 'w' END AS weekday FROM supplier")
+@query("op_a6_a8_listing_roundtrip", """
+SELECT 'venues' AS part, s_suppkey::VARCHAR AS id, s_name AS name, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS lat, CASE WHEN s_suppkey % 2 = 0 THEN 'w' END AS weekday FROM supplier
+UNION ALL SELECT 'quizzes', c_custkey::VARCHAR, c_name, NULL, c_mktsegment FROM customer UNION ALL SELECT 'meta', '2026-07-28', NULL, NULL, NULL""")
 def roundtrip(spark, sf_dir):
-    from ..sources.paths import shared_path
-
-    d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("lat"), F.when(F.col("s_suppkey") % 2 == 0, F.lit("w")).alias("weekday"))
+    """One document of two arrays, written and read back; there is no previous one before."""
+    schema = "id string, name string, lat double, weekday string"
+    v = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("lat"), F.when(F.col("s_suppkey") % 2 == 0, F.lit("w")).alias("weekday"))
+    q = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.lit(None).cast("double").alias("lat"), F.col("c_mktsegment").alias("weekday"))
     path = shared_path(spark, "listing")
-    listing.write_listing(d, path, "id", ("weekday",))
-    return spark.read.schema(d.schema).option("mode", "FAILFAST").json(path)
+    options = {"item_schemas": {"venues": schema, "quizzes": schema}, "meta": "source_updated_at date"}
+    assert listing.read_previous(spark, path, **options) is None
+    listing.write_document({"venues": v, "quizzes": q}, spark.range(1).select(F.lit("2026-07-28").alias("source_updated_at")), path, "id", ("weekday",))
+    back = listing.read_previous(spark, path, **options)
+    meta = back["meta"].select(F.lit("meta").alias("part"), F.col("source_updated_at").cast("string").alias("id"), *[F.lit(None).cast(t).alias(n) for n, t in (("name", "string"), ("lat", "double"), ("weekday", "string"))])
+    return back["venues"].select(F.lit("venues").alias("part"), "*").unionByName(back["quizzes"].select(F.lit("quizzes").alias("part"), "*")).unionByName(meta)
 
 
 @query("op_a7_keyed_json", "SELECT event_id, k AS key, json_extract(props, '$.' || k)::INT AS value FROM events, LATERAL (SELECT unnest(json_keys(props)) AS k) x")
@@ -105,9 +113,10 @@ def lint(spark, sf_dir):
 
 
 @query("op_a13_accept_snapshot", """
-SELECT url, min(octet_length(encode(html))) >= 4000 AS accepted, min(octet_length(encode(html))) >= 4000 AND min(page_id) % 3 <> 1 AS changed FROM pages GROUP BY url HAVING count(*) = 1""")
+WITH l AS (SELECT url, max(page_id) AS page_id, arg_max(html, page_id) AS html FROM pages GROUP BY url),
+p AS (SELECT url, arg_max(CASE WHEN page_id % 3 = 1 THEN replace(html, chr(13) || chr(10), chr(10)) ELSE 'old' END, page_id) AS html FROM pages WHERE page_id % 3 <> 0 GROUP BY url)
+SELECT l.url, octet_length(encode(l.html)) >= 4000 AS accepted, octet_length(encode(l.html)) >= 4000 AND (p.html IS NULL OR p.html <> replace(l.html, chr(13) || chr(10), chr(10))) AS changed FROM l LEFT JOIN p USING (url) WHERE l.url IS NOT NULL""")
 def snapshot(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    p = p.join(p.groupBy("url").agg(F.count("*").alias("n")).where("n = 1"), "url")
-    prev = p.where("page_id % 3 <> 0").select("url", F.when(F.col("page_id") % 3 == 1, F.replace(F.col("html"), F.lit("\r\n"), F.lit("\n"))).otherwise(F.lit("old")).alias("html"))
-    return html.accept_snapshot(p, prev, 4000).select("url", "accepted", "changed")
+    p = table(spark, sf_dir, "pages").where("url is not null")
+    prev = p.where("page_id % 3 <> 0").select("url", "page_id", F.when(F.col("page_id") % 3 == 1, F.replace(F.col("html"), F.lit("\r\n"), F.lit("\n"))).otherwise(F.lit("old")).alias("html"))
+    return html.accept_snapshot(p, prev, 4000, "page_id").select("url", "accepted", "changed")

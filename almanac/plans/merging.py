@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audits, dedupe, geo, match, merge, resolve, views
+from ..functions import text as T
+from ..operators import audits, build, geo, match, merge, resolve
 from .registry import query, table
 from .text import _slug
 
@@ -93,6 +94,35 @@ def policy(spark, sf_dir):
     return audits.override_policy_audit(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), fields.alias("set_fields")))
 
 
+@query("op_build", f"""
+WITH s AS (SELECT s_suppkey AS k, {_slug("'City ' || s_nationkey || '-' || s_name")} AS v, CASE WHEN s_suppkey % 3 = 0 THEN '21:00' ELSE '20:00' END AS t, CASE WHEN s_suppkey % 4 = 0 THEN 'biweekly' ELSE 'weekly' END AS kind FROM supplier),
+e AS (SELECT v || '-mandag-' || replace(t, ':', '-') AS id, s.* FROM s)
+SELECT id, v AS venue_id, CASE WHEN k % 50 = 1 THEN '18:00' ELSE t END AS time, kind, CASE WHEN k % 10 = 7 THEN DATE '2026-01-01' ELSE DATE '2026-07-28' END AS last_seen, k % 10 = 7 AS stale,
+  CASE WHEN k % 10 <> 7 AND k % 2 = 0 THEN 60.0 END::DOUBLE AS lat, CASE WHEN k % 10 <> 7 THEN '0301' END AS kommune_nr FROM e
+UNION ALL SELECT id || '-' || kind, v, CASE WHEN k % 50 = 1 THEN '18:00' ELSE t END, kind, DATE '2026-07-28', false, CASE WHEN k % 2 = 0 THEN 60.0 END, '0301' FROM e WHERE k % 5 = 0 AND k % 10 <> 7""")
+def built(spark, sf_dir):
+    """A page of one or two rows per supplier, over what was published before: all but one in ten, with one in ten that has gone."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").withColumn("_n", F.explode(F.when(k % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    rows = s.select(
+        (k * 2 + F.col("_n")).alias("row_idx"), F.lit("Oslo").alias("fylke"), F.concat(F.lit("City "), F.col("s_nationkey").cast("string")).alias("city"), F.col("s_name").alias("venue_raw"),
+        F.lit(None).cast("string").alias("venue_url"), F.lit(None).cast("boolean").alias("venue_url_broken"), F.when(k % 4 == 0, F.lit("Mandag (annenhver)")).otherwise(F.lit("Mandag")).alias("weekday_raw"),
+        F.when(k % 3 == 0, F.lit("kl. 21")).otherwise(F.lit("20.00")).alias("time_raw"), F.lit("Allmenn").alias("category_raw"), k.alias("supp"),
+    )
+    venues, events, _ = build.normalise_rows(rows.where("supp % 10 = 7 or supp % 10 < 6"))
+    none = {c: F.lit(None).cast(t) for c, t in (("kommune_nr", "string"), ("kommune_name", "string"), ("fylke_now", "string"), ("lat", "double"), ("lon", "double"), ("geo_source", "string"), ("geo_confidence", "string"))}
+    old = lambda d: d.withColumn("last_seen", F.lit("2026-01-01").cast("date")).withColumn("stale", F.lit(False))
+    ids = rows.select(F.concat("city", F.lit("-"), "venue_raw").alias("_v"), "supp").distinct().select(T.slug(F.col("_v")).alias("venue_id"), "supp")
+    cache = ids.where("supp % 2 = 0").select("venue_id", F.lit(60.0).alias("lat"), F.lit(10.0).alias("lon"), F.lit("osm").alias("geo_source"), F.lit("high").alias("geo_confidence"))
+    aliases = rows.select(F.col("city").alias("place"), F.lit("0301").alias("kommune_nr"), F.lit("Oslo").alias("kommune_name"), F.lit(None).cast("string").alias("fylke_now")).distinct()
+    first = events.select("id", "venue_id").join(ids, "venue_id").where("supp % 50 = 1")
+    more = build.normalise_rows(rows.where("supp % 10 <> 7"))[1].select("id", "venue_id").join(ids, "venue_id").where("supp % 50 = 1")
+    patch = first.unionByName(more).select("id", F.lit("18:00").alias("time"), F.array(F.lit("time")).alias("set_fields")).distinct()
+    out = build.build(rows.where("supp % 10 <> 7"), "2026-07-28", (old(venues.withColumns(none)), old(events)), aliases, cache, None, patch, min_rows=1, max_churn=1.0)
+    points = out.venues.select(F.col("id").alias("venue_id"), "lat", "kommune_nr")
+    return out.events.join(points, "venue_id").select("id", "venue_id", "time", F.col("recurrence.kind").alias("kind"), "last_seen", "stale", "lat", "kommune_nr")
+
+
 # ---- places ----
 
 
@@ -128,28 +158,41 @@ def _hits(spark, sf_dir):
     k = F.col("n_nationkey")
     n = table(spark, sf_dir, "nation")
     kind = F.get(F.array(*map(F.lit, ("Gard", "By", "Sokn"))), (k % 3).cast("int"))
-    own = n.select(F.concat(F.lit("Nation "), k.cast("string"), F.lit(" i Dal")).alias("query"), F.concat(F.lit("Nation "), k.cast("string")).alias("navn"), kind.alias("type"), F.format_string("%04d", k).alias("kommunenummer"))
+    # Every other one is known by its short name only.
+    own = n.select(F.concat(F.lit("Nation "), k.cast("string"), F.when(k % 2 == 0, F.lit(" i Dal")).otherwise(F.lit(""))).alias("query"), F.concat(F.lit("Nation "), k.cast("string")).alias("navn"), kind.alias("type"), F.format_string("%04d", k).alias("kommunenummer"))
     return own.unionByName(own.withColumn("kommunenummer", F.format_string("%04d", (F.col("kommunenummer").cast("int") + 1) % 25)).withColumn("type", F.lit("Grend")))
 
 
-_GAZ = _RESOLVE + """, h AS (SELECT 'Nation ' || n_nationkey || ' i Dal' AS query, 'Nation ' || n_nationkey AS navn_h, t.type, lpad(t.k::VARCHAR, 4, '0') AS knr, t.rank FROM nation,
+_GAZ = _RESOLVE + """, h AS (SELECT 'Nation ' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN ' i Dal' ELSE '' END AS query, 'Nation ' || n_nationkey AS navn_h, t.type, lpad(t.k::VARCHAR, 4, '0') AS knr, t.rank FROM nation,
   LATERAL (SELECT * FROM (VALUES (n_nationkey, ['Gard','By','Sokn'][n_nationkey % 3 + 1], [2, 100, 75][n_nationkey % 3 + 1]), ((n_nationkey + 1) % 25, 'Grend', 60)) v(k, type, rank)) t),
-s AS (SELECT place, fylke, navn_h, type, reg.nr, reg.navn, now, coalesce(fnr = want, false) AS ok, row_number() OVER (PARTITION BY place, fylke ORDER BY coalesce(fnr = want, false) DESC, rank DESC, reg.nr, navn_h) AS i FROM w JOIN h ON query = place JOIN reg ON nr = knr),
+s AS (SELECT place, fylke, navn_h, type, reg.nr, reg.navn, now, coalesce(fnr = want, false) AS ok, row_number() OVER (PARTITION BY place, fylke ORDER BY coalesce(fnr = want, false) DESC, rank DESC, reg.nr, navn_h) AS i FROM w JOIN h ON query = place OR (query = regexp_replace(place, '( kommune| i Dal)$', '') AND place NOT IN (SELECT query FROM h)) JOIN reg ON nr = knr),
 g AS (SELECT place, fylke, max(CASE WHEN i = 1 AND ok THEN nr END) AS nr, max(CASE WHEN i = 1 AND ok THEN navn END) AS navn, max(CASE WHEN i = 1 AND ok THEN now END) AS now, string_agg(navn_h || ' [' || type || '] -> ' || navn, '; ' ORDER BY i) AS c FROM s GROUP BY 1, 2)
 """
 
 
 @query("op_e8_resolve_gazetteer", _GAZ + """
-SELECT place, fylke, CASE WHEN nr IS NULL THEN 'unresolved' ELSE 'resolved' END AS status, nr AS kommune_nr, navn AS kommune_name, now AS fylke_now, CASE WHEN nr IS NOT NULL THEN 'stedsnavn' END AS method, CASE WHEN nr IS NULL THEN c ELSE '' END AS candidates FROM w JOIN g USING (place, fylke)""")
+SELECT place, fylke, CASE WHEN nr IS NULL THEN 'unresolved' ELSE 'resolved' END AS status, nr AS kommune_nr, navn AS kommune_name, now AS fylke_now, CASE WHEN nr IS NOT NULL THEN 'stedsnavn' END AS method, CASE WHEN nr IS NULL THEN c ELSE '' END AS candidates FROM w JOIN g USING (place, fylke) WHERE place LIKE '% i Dal'""")
 def resolve_gazetteer(spark, sf_dir):
     p = _places(spark, sf_dir).where("place like '% i Dal'")
     return resolve.resolve_gazetteer(p, _hits(spark, sf_dir), _register(spark, sf_dir)).withColumn("candidates", F.coalesce(F.array_join("candidates", "; "), F.lit("")))
 
 
+@query("op_f12_resolution_report", _GAZ + """, f AS (SELECT 'Nation ' || c_nationkey || CASE c_custkey % 4 WHEN 1 THEN ' kommune' WHEN 2 THEN ' i Dal' ELSE '' END AS place, arg_min(['Hedmark','Nordland','Svalbard'][c_custkey % 3 + 1], c_custkey) AS fylke, c_nationkey % 6 = 0 AS known FROM customer GROUP BY ALL),
+d AS (SELECT f.*, a.nr IS NOT NULL OR (amb.c IS NULL AND g.nr IS NOT NULL) AS ok FROM f LEFT JOIN a USING (place, fylke) LEFT JOIN amb USING (place, fylke) LEFT JOIN g USING (place, fylke))
+SELECT 'places' AS metric, count(*) AS n FROM d UNION ALL SELECT 'known', count(*) FROM d WHERE known UNION ALL SELECT 'resolved', count(*) FROM d WHERE NOT known AND ok UNION ALL SELECT 'unresolved', count(*) FROM d WHERE NOT known AND NOT ok""")
+def resolution(spark, sf_dir):
+    places, existing = _places(spark, sf_dir), _known_places(spark, sf_dir)
+    return resolve.resolution_report(places, existing, resolve.resolve_places(places, _register(spark, sf_dir), _hits(spark, sf_dir), existing))
+
+
+def _known_places(spark, sf_dir):
+    return table(spark, sf_dir, "nation").where("n_nationkey % 6 = 0").select(F.explode(F.array(*[F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string"), F.lit(s)) for s in ("", " kommune", " i Dal")])).alias("place"))
+
+
 @query("op_e9_f12_resolve_places", _GAZ + """, f AS (SELECT 'Nation ' || c_nationkey || CASE c_custkey % 4 WHEN 1 THEN ' kommune' WHEN 2 THEN ' i Dal' ELSE '' END AS place, arg_min(['Hedmark','Nordland','Svalbard'][c_custkey % 3 + 1], c_custkey) AS fylke FROM customer WHERE c_nationkey % 6 <> 0 GROUP BY 1)
 SELECT coalesce(a.method, CASE WHEN amb.c IS NULL AND g.nr IS NOT NULL THEN 'stedsnavn' END) AS method, count(*) AS n FROM f LEFT JOIN a USING (place, fylke) LEFT JOIN amb USING (place, fylke) LEFT JOIN g USING (place, fylke) GROUP BY 1""")
 def resolve_places(spark, sf_dir):
-    existing = table(spark, sf_dir, "nation").where("n_nationkey % 6 = 0").select(F.explode(F.array(*[F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string"), F.lit(s)) for s in ("", " kommune", " i Dal")])).alias("place"))
+    existing = _known_places(spark, sf_dir)
     return resolve.alias_method_counts(resolve.resolve_places(_places(spark, sf_dir), _register(spark, sf_dir), _hits(spark, sf_dir), existing))
 
 
@@ -169,11 +212,11 @@ def _dice_sql(a: str, b: str) -> str:
     return f"CASE WHEN {a} = {b} THEN 1.0 WHEN length({a}) < 2 OR length({b}) < 2 THEN 0.0 ELSE 2.0 * {common} / (length({a}) + length({b}) - 2) END"
 
 
-@query("op_b16_dice", f"SELECT a, b, round({_dice_sql('a', 'b')}, 6) AS dice FROM (SELECT DISTINCT p_name AS a FROM part) x, (SELECT DISTINCT p_name || 's' AS b FROM part) y")
+@query("op_b16_dice", f"SELECT a, b, round({_dice_sql('a', 'b')}, 6) AS dice FROM (SELECT DISTINCT p_name AS a, lower(p_type) AS b FROM part UNION SELECT p_name, p_name || 's' FROM part UNION SELECT p_name, p_name FROM part)")
 def dice(spark, sf_dir):
-    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
-    pairs = n.crossJoin(F.broadcast(n.select(F.concat("a", F.lit("s")).alias("b"))))  # the names are 64 by construction
-    return pairs.select("a", "b", F.round(match.dice(F.col("a"), F.col("b")), 6).alias("dice"))
+    p = table(spark, sf_dir, "part")
+    others = F.explode(F.array(F.lower("p_type"), F.concat("p_name", F.lit("s")), F.col("p_name")))
+    return p.select(F.col("p_name").alias("a"), others.alias("b")).distinct().select("a", "b", F.round(match.dice(F.col("a"), F.col("b")), 6).alias("dice"))
 
 
 _PAIRS = f"""
@@ -253,47 +296,65 @@ def verify(spark, sf_dir):
     return geo.verify_in_region(p, _regions(spark, sf_dir), lookup).select("id", "why")
 
 
-def _venues(spark, sf_dir):
+def _ladder_tables(spark, sf_dir):
+    """Venues with names by their number modulo 200, and what each rung looks them up in; points lie about the middle of a region, at a longitude of their own."""
     k = F.col("id")
-    return _points(spark, sf_dir).select("id", "kommune_nr", F.concat(F.lit("Sted "), (k % 200).cast("string")).alias("name"), F.when(k % 10 == 1, F.concat(F.lit("Storgata "), k.cast("string"))).alias("address_hint"), F.lit("x").alias("kommune"))
-
-
-def _rungs(spark, sf_dir):
-    v = _venues(spark, sf_dir)
-    k = F.col("id")
-    addresses = v.where("id % 20 = 1").select(F.concat(F.lit("STORGATA "), k.cast("string")).alias("address"), F.col("kommune_nr").alias("nr"), F.lit(60.0).alias("lat"), F.lit(10.0).alias("lon"), k.alias("ord"))
-    hits = v.where("id < 400 and kommune_nr is not null").select(F.concat(F.lit("sted "), (k % 200).cast("string")).alias("navn"), F.when(k % 2 == 0, F.lit("By")).otherwise(F.lit("Gard")).alias("type"), F.col("kommune_nr").alias("nr"), F.when(k % 2 == 0, F.lit(61.0)).otherwise(F.lit(10.0)).alias("lat"), F.lit(11.0).alias("lon"))
-    return v, addresses, hits, _regions(spark, sf_dir)
-
-
+    mid = _regions(spark, sf_dir).select(F.col("nr").alias("kommune_nr"), F.col("point.lat").alias("lat"), F.col("point.lon").alias("_lon"))
+    v = _points(spark, sf_dir).select("id", "kommune_nr", F.concat(F.lit("Sted "), F.md5((k % 200).cast("string"))).alias("name"), F.when(k % 10 == 1, F.concat(F.lit("Storgata "), k.cast("string"))).alias("address_hint"), F.lit("x").alias("kommune"), F.lit("y").alias("kommune_name"))
+    at = v.join(mid, "kommune_nr")
+    near = lambda d, step: d.withColumn("lon", F.col("_lon") + (k * 4 + step) / 10_000_000)
+    # Two addresses for some hints: the first of every other one lies in another region.
+    a1 = near(at.where("id % 20 = 1"), 0).select(F.upper("address_hint").alias("address"), F.col("kommune_nr").alias("nr"), "lat", "lon", k.alias("ord"), (k % 40 != 21).alias("good"))
+    a2 = near(at.where("id % 80 = 21"), 1).select(F.lower("address_hint").alias("address"), F.col("kommune_nr").alias("nr"), "lat", "lon", (k + 1_000_000).alias("ord"), F.lit(True).alias("good"))
+    addresses = a1.unionByName(a2)
+    one = at.where("id % 9 = 2").groupBy("kommune_nr", "name", "lat", "_lon").agg(F.min("id").alias("id"))
+    places = near(one, 2).select(F.col("name").alias("place_name"), "kommune_nr", "lat", "lon", (k % 2 == 1).alias("good"))
+    hits = near(at.where("id % 3 <> 1"), 3).select(F.lower("name").alias("navn"), F.when(k % 2 == 0, F.lit("By")).otherwise(F.lit("Gard")).alias("type"), F.col("kommune_nr").alias("nr"), "lat", "lon", (k % 2 == 0).alias("good"))
+    point = lambda d, nr: d.select("lat", "lon", F.when(F.col("good"), F.col(nr)).otherwise(F.lit("9999")).alias("found_nr"))
+    lookup = point(addresses, "nr").unionByName(point(places, "kommune_nr")).unionByName(point(hits, "nr"))
+    return v, addresses, places, hits, geo.by_lookup(_regions(spark, sf_dir), lookup)
+
+
+_CAP = 50
 _LADDER = f"""WITH {_POINTS}, {_BOXES},
-a AS (SELECT k AS id, 60.0 AS lat, 'address' AS src FROM p WHERE k % 20 = 1),
-h AS (SELECT nr, k % 200 AS s, bool_or(k % 2 = 0) AS good FROM p WHERE k < 400 AND nr IS NOT NULL GROUP BY 1, 2),
-g AS (SELECT k AS id, 61.0 AS lat, 'kartverket' AS src FROM p JOIN h ON h.nr = p.nr AND s = k % 200 WHERE good AND k NOT IN (SELECT id FROM a)),
+v AS (SELECT k, p.nr, k % 200 AS s, la + 2.5 AS lat, la + 2.5 BETWEEN 57.5 AND 71.5 AND lo + 3 BETWEEN 4 AND 31.5 OR la + 2.5 BETWEEN 74 AND 81 AND lo + 3 BETWEEN 10 AND 34 AS inn, la + 2.5 > 73 AS far FROM p LEFT JOIN b USING (nr)),
+a AS (SELECT k AS id, lat, 'address' AS src, 'high' AS conf FROM v WHERE k % 20 = 1 AND inn AND (far OR k % 40 <> 21 OR k % 80 = 21)),
+m AS (SELECT nr, s, min(k) AS mk FROM v WHERE k % 9 = 2 AND nr IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT k AS id, lat, 'osm' AS src, 'high' AS conf FROM v JOIN m USING (nr, s) WHERE inn AND (far OR mk % 2 = 1) AND k NOT IN (SELECT id FROM a)),
+h AS (SELECT nr, s FROM v WHERE k % 3 <> 1 AND nr IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT k AS id, lat, 'kartverket' AS src, 'medium' AS conf FROM v JOIN h USING (nr, s) WHERE inn AND (far OR s % 2 = 0) AND k NOT IN (SELECT id FROM a) AND k NOT IN (SELECT id FROM o)),
 n AS (SELECT nr, count(*) AS n FROM p WHERE nr IS NOT NULL GROUP BY 1),
-c AS (SELECT k AS id, la + 2.5 AS lat, 'centroid' AS src FROM p JOIN n USING (nr) JOIN b USING (nr) WHERE n <= (SELECT quantile_disc(n, 0.5) FROM n) AND (la + 2.5 BETWEEN 57.5 AND 71.5 AND lo + 3 BETWEEN 4 AND 31.5 OR la + 2.5 BETWEEN 74 AND 81 AND lo + 3 BETWEEN 10 AND 35) AND k NOT IN (SELECT id FROM a) AND k NOT IN (SELECT id FROM g)),
-l AS (FROM a UNION ALL FROM g UNION ALL FROM c)"""
+c AS (SELECT k AS id, lat, 'centroid' AS src, 'low' AS conf FROM v JOIN n USING (nr) WHERE n <= {_CAP} AND inn AND k NOT IN (SELECT id FROM a) AND k NOT IN (SELECT id FROM o) AND k NOT IN (SELECT id FROM g)),
+l AS (FROM a UNION ALL FROM o UNION ALL FROM g UNION ALL FROM c)"""
 
 
 def _ladder(spark, sf_dir):
-    v, addresses, hits, regions = _rungs(spark, sf_dir)
-    per = v.where("kommune_nr is not null").groupBy("kommune_nr").agg(F.count("*").alias("n")).agg(F.expr("percentile_disc(0.5) within group (order by n)")).first()[0]
-    rungs = [lambda d: geo.address_rung(d, addresses), lambda d: geo.gazetteer_rung(d, hits), lambda d: geo.centroid_rung(d, regions, whole=v, cap=int(per))]
-    return v, geo.ladder(v, rungs)
+    v, addresses, places, hits, verify = _ladder_tables(spark, sf_dir)
+    regions = _regions(spark, sf_dir)
+    rungs = [lambda d: geo.address_rung(d, addresses, verify), lambda d: geo.map_rung(d, places, verify), lambda d: geo.gazetteer_rung(d, hits, verify), lambda d: geo.centroid_rung(d, regions, whole=v, cap=_CAP)]
+    rejected = lambda placed: geo.map_candidates(v.join(placed.where("geo_source = 'address'").select(F.col("id").alias("_id")), F.col("id").cast("string") == F.col("_id"), "left_anti"), places, verify).where("not verified")
+    return v, geo.ladder(v, rungs), rejected
 
 
-@query("op_e14_e16_g10_ladder", _LADDER + " SELECT id::VARCHAR AS id, lat::DOUBLE AS lat, src AS geo_source, CASE src WHEN 'address' THEN 'high' WHEN 'kartverket' THEN 'medium' ELSE 'low' END AS geo_confidence FROM l")
+@query("op_e14_e16_g10_ladder", _LADDER + " SELECT id::VARCHAR AS id, lat::DOUBLE AS lat, src AS geo_source, conf AS geo_confidence FROM l")
 def ladder(spark, sf_dir):
     return _ladder(spark, sf_dir)[1].select("id", "lat", "geo_source", "geo_confidence")
 
 
 @query("op_f10_geocode_stats", _LADDER + """ SELECT 'total' AS metric, '' AS value, count(*) AS n FROM p UNION ALL SELECT 'missing', '', count(*) FROM p WHERE k NOT IN (SELECT id FROM l) UNION ALL SELECT 'geo_source', src, count(*) FROM l GROUP BY 2
-UNION ALL SELECT 'geo_confidence', CASE src WHEN 'address' THEN 'high' WHEN 'kartverket' THEN 'medium' ELSE 'low' END, count(*) FROM l GROUP BY 2""")
+UNION ALL SELECT 'geo_confidence', conf, count(*) FROM l GROUP BY 2""")
 def geocode_stats(spark, sf_dir):
-    v, placed = _ladder(spark, sf_dir)
+    v, placed, _ = _ladder(spark, sf_dir)
     return geo.geocode_stats(v, placed)
 
 
+@query("op_f10_geocode_lists", _LADDER + """ SELECT 'missing' AS kind, k::VARCHAR AS id, NULL AS reason FROM p WHERE k NOT IN (SELECT id FROM l) UNION ALL SELECT 'low', id::VARCHAR, src FROM c
+UNION ALL SELECT 'rejected', k::VARCHAR, CASE WHEN inn THEN 'region' ELSE 'country' END FROM v JOIN m USING (nr, s) WHERE NOT (inn AND (far OR mk % 2 = 1)) AND k NOT IN (SELECT id FROM a)""")
+def geocode_lists(spark, sf_dir):
+    v, placed, rejected = _ladder(spark, sf_dir)
+    return geo.geocode_lists(v, placed, rejected(placed))
+
+
 @query("op_d10_g12_only_new", f"WITH {_POINTS} SELECT k AS id FROM p WHERE k % 3 <> 0 ORDER BY coalesce(nr, '9999'), k LIMIT 100")
 def only_new(spark, sf_dir):
     p = _points(spark, sf_dir)

@@ -11,25 +11,20 @@ from ..operators import dedupe
 from .registry import query, table
 
 _SLUG = "trim(regexp_replace(strip_accents(replace(replace(replace(replace(replace(replace(replace(lower({c}), 'æ', 'ae'), 'ø', 'oe'), 'å', 'aa'), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')), '[^a-z0-9]+', '-', 'g'), '-')"
-_HEAD = "regexp_extract(text, '^[^\\n.]*')"
 
 
 def _slug(c: str) -> str:
     return _SLUG.replace("{c}", c)
 
 
-def _heads(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", r"^[^\n.]*", 0).alias("head"))
-
-
 @query("op_b1_b6_collapse", "SELECT doc_id, trim(regexp_replace(text, '[\\t-\\r ]+', ' ', 'g')) AS collapsed, trim(regexp_replace(regexp_replace(text, '[\\t-\\r ]*\\n[\\t-\\r ]*', ' / ', 'g'), '[\\t-\\r ]+', ' ', 'g')) AS category FROM documents")
 def collapse(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.collapse(F.col("text")).alias("collapsed"), T.clean_category(F.col("text")).alias("category"))
 
 
-@query("op_b2_slug", f"SELECT doc_id, {_slug(_HEAD)} AS slug FROM documents")
+@query("op_b2_slug", f"SELECT doc_id, {_slug('text')} AS slug FROM documents")
 def slugs(spark, sf_dir):
-    return _heads(spark, sf_dir).select("doc_id", T.slug(F.col("head")).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("op_b3_ids", f"SELECT p_partkey, coalesce(nullif({_slug('p_brand || chr(45) || p_name')}, ''), 'ukjent-sted') AS venue_id, {_slug('''p_brand || '-' || p_name || '-' || CASE WHEN p_size % 5 = 0 THEN 'ukjent' ELSE 'mandag' END || '-' || CASE WHEN p_size % 3 = 0 THEN 'natid' ELSE '19:00' END''')} AS event_id FROM part")
@@ -76,9 +71,10 @@ def labels(spark, sf_dir):
 
 @query("op_b9_b10_compact", """
 SELECT doc_id, contains(c, 'hand') AS has_hand, length(c) AS n FROM (SELECT doc_id, array_to_string(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN i > 1 AND substr(x, i, 1) = substr(x, i - 1, 1) THEN '' ELSE substr(x, i, 1) END), '') AS c
-FROM (SELECT doc_id, regexp_replace(lower(regexp_extract(text, '^[^\\n.]*')), '[\\t-\\r \\-.,()]+', '', 'g') AS x FROM documents))""")
+FROM (SELECT doc_id, regexp_replace(lower(text), '[\\t-\\r \\-.,()]+', '', 'g') AS x FROM documents))""")
 def compacted(spark, sf_dir):
-    return _heads(spark, sf_dir).select("doc_id", T.contains_compacted(F.col("head"), ("h-a-n d",)).alias("has_hand"), F.length(T.compact(F.col("head"))).cast("long").alias("n"))
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.contains_compacted(c, ("h-a-n d",)).alias("has_hand"), F.length(T.compact(c)).cast("long").alias("n"))
 
 
 @query("op_b11_normalize_place", f"SELECT c_custkey, {_slug('c_name')} AS key FROM customer")

@@ -75,15 +75,17 @@ def link_status(url: Column, css_class: Column, blind_hosts: tuple[str, ...] = B
     return marked & url.isNotNull() & ~blind
 
 
-def html_table_rows(pages: DataFrame, table_id: str, n_cells: int = 6) -> tuple[DataFrame, DataFrame]:
+def html_table_rows(pages: DataFrame, table_id: str, n_cells: int = 6, missing: str = "warn") -> tuple[DataFrame, DataFrame]:
     """(rows, warnings) of the table with that id on each page.
 
     A row of one cell that spans several is a heading, carried down to the rows below it. Rows with another number of cells
     are warned of unless blank; rows without city and venue are dropped, those without a venue warned of. A page without the
-    table is a warning with row_idx null. rows: page_id, row_idx, fylke, city, venue_raw, venue_url, venue_url_broken (true
+    table (or without html) is a warning with row_idx null, or an error if missing is "error". rows: page_id, row_idx, fylke, city, venue_raw, venue_url, venue_url_broken (true
     or null), weekday_raw, time_raw, category_raw.
     """
-    table = F.regexp_extract("html", rf"(?is)<table\b[^>]*\bid=[\"']?{table_id}[\"'\s>].*?</table>", 0)
+    table = F.regexp_extract(F.coalesce("html", F.lit("")), rf"(?is)<table\b[^>]*\bid=[\"']?\Q{table_id}\E[\"'\s>].*?</table>", 0)
+    if missing == "error":
+        table = F.when(table == "", F.raise_error(F.concat(F.lit("no table on page "), F.col("page_id").cast("string"))).cast("string")).otherwise(table)
     found = pages.select("page_id", table.alias("_table"))
     lacking = found.where("_table = ''").select("page_id", F.lit(None).cast("int").alias("row_idx"), F.lit("no table").alias("warning"))
     tr = found.where("_table <> ''").select("page_id", F.posexplode(F.regexp_extract_all("_table", F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tr>|</table>)"), F.lit(1))).alias("row_idx", "_tr"))
@@ -99,8 +101,9 @@ def html_table_rows(pages: DataFrame, table_id: str, n_cells: int = 6) -> tuple[
     text = F.array_join("_text", " | ")
     odd = tr.where((F.size("_cells") != n_cells) & (js_trim(text) != "")).select("page_id", "row_idx", F.concat(F.size("_cells").cast("string"), F.lit(" cells: "), F.substring(text, 1, 120)).alias("warning"))
     good = tr.where(F.size("_cells") == n_cells)
-    anchor = F.regexp_extract(F.get("_cells", F.lit(2)), r"(?is)<a\b[^>]*\bhref=[^>]*>", 0)
-    attribute = lambda name: F.nullif(js_trim(F.regexp_extract(anchor, rf"(?is)\b{name}=(?:\"([^\"]*)\")", 1)), F.lit(""))
+    anchor = F.regexp_extract(F.get("_cells", F.lit(2)), r"(?is)<a\b[^>]*\bhref\s*=[^>]*>", 0)
+    whole = lambda name: F.regexp_extract(anchor, rf"(?is)[\s\"']{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
+    attribute = lambda name: F.nullif(js_trim(F.regexp_replace(whole(name), "^[\"']|[\"']$", "")), F.lit(""))
     url = decode_entities(attribute("href"))
     good = good.select(
         "page_id", "row_idx", "fylke", flat(1).alias("city"), F.get("_text", F.lit(2)).alias("venue_raw"), url.alias("venue_url"),
@@ -118,8 +121,13 @@ def link_lint(pages: DataFrame, base: str) -> DataFrame:
     return links.where(F.lit(base != "/") & ~F.col("link").startswith("//") & (F.col("link") != "/") & ~F.col("link").startswith(base))
 
 
-def accept_snapshot(new: DataFrame, prev: DataFrame, min_bytes: int = 50_000) -> DataFrame:
-    """url, accepted, changed, body: what to store. Undersized bodies are refused and the stored one stays; CRLF becomes LF."""
+def accept_snapshot(new: DataFrame, prev: DataFrame, min_bytes: int = 50_000, order: str | None = None) -> DataFrame:
+    """url, accepted, changed, body: what to store. Undersized bodies are refused and the stored one stays; CRLF becomes LF.
+
+    Of several bodies of one url the last by `order` counts, here and in prev, ties by the body; without an order, the last body.
+    """
+    last = lambda d: d.groupBy("url").agg(F.max(F.struct(*([order] if order in d.columns else []), "html"))["html"].alias("html"))
+    new, prev = last(new), last(prev)
     n = new.select("url", F.replace(F.col("html"), F.lit("\r\n"), F.lit("\n")).alias("_new"), (F.octet_length("html") >= min_bytes).alias("accepted"))
     out = n.join(prev.select("url", F.col("html").alias("_old")), "url", "left")
     changed = F.col("accepted") & (F.col("_old").isNull() | (F.sha2("_new", 256) != F.sha2("_old", 256)))

@@ -17,7 +17,7 @@ QUIZ = "id string, venue_id string, weekday string, time string, recurrence stru
 
 
 def read_listing(spark: SparkSession, path: str, item_schemas: dict[str, str] | None = None, meta: str = "generated_at timestamp, source_updated_at date") -> dict[str, DataFrame]:
-    """One JSON document as {array name: rows, "meta": one row}. Malformed JSON is an error, and so is a missing file; unknown keys are ignored."""
+    """One JSON document as {array name: rows, "meta": one row}. Malformed JSON is an error, and so is a missing file (see read_previous()); unknown keys are ignored."""
     items = item_schemas or {"venues": VENUE, "quizzes": QUIZ}
     own = StructType.fromDDL(meta)
     whole = StructType([*own, *(StructField(n, ArrayType(StructType.fromDDL(s))) for n, s in items.items())])
@@ -30,14 +30,55 @@ def read_keyed_json(df: DataFrame, column: str, value_schema: str, ignored: tupl
     return df.select(*keep, F.explode(F.from_json(F.col(column), f"map<string,{value_schema}>")).alias("key", "value")).where(~F.col("key").isin(*ignored))
 
 
-def write_listing(df: DataFrame, path: str, key: str = "id", nullable: tuple[str, ...] = ()) -> None:
-    """JSON lines in key order. Null fields are left out, but for those in `nullable`, which stay as null."""
-    members = [F.to_json(F.struct(*[c for c in df.columns if c not in nullable]))]
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_previous(spark: SparkSession, path: str, **options) -> dict[str, DataFrame] | None:
+    """read_listing(), or None if there is no file yet: a first run."""
+    return read_listing(spark, path, **options) if _exists(spark, path) else None
+
+
+def _object(columns: list[str], nullable: tuple[str, ...]) -> Column:
+    """A row as a JSON object. Null fields are left out, but for those in `nullable`, which stay as null."""
+    members = [F.to_json(F.struct(*[c for c in columns if c not in nullable]))]
     for c in nullable:
-        members.append(F.when(F.col(c).isNull(), F.lit(f'{{"{c}":null}}')).otherwise(F.to_json(F.struct(c))))
+        if c in columns:
+            members.append(F.when(F.col(c).isNull(), F.lit(f'{{"{c}":null}}')).otherwise(F.to_json(F.struct(c))))
     inner = F.array(*[F.substring(m, F.lit(2), F.length(m) - 2) for m in members])
-    body = F.concat(F.lit("{"), F.array_join(F.filter(inner, lambda m: m != ""), ","), F.lit("}"))
-    df.select(F.col(key).alias("_key"), body.alias("value")).orderBy("_key").select("value").write.mode("overwrite").text(path)
+    return F.concat(F.lit("{"), F.array_join(F.filter(inner, lambda m: m != ""), ","), F.lit("}"))
+
+
+def write_document(tables: dict[str, DataFrame], meta: DataFrame, path: str, key: str = "id", nullable: tuple[str, ...] = ()) -> None:
+    """One JSON document: the fields of meta (one row), then an array per table, its rows in order of their keys.
+
+    The lines of the document are sorted by array and key and written in one file, since it is one document; it is an export
+    of what is stored as tables. Equal input gives equal bytes.
+    """
+    head = meta.select(_object(meta.columns, tuple(meta.columns)).alias("_o")).select(F.lit(0).alias("_part"), F.lit("").alias("_key"), F.concat(F.expr("substring(_o, 1, length(_o) - 1)"), F.lit(",")).alias("value"))
+    lines = head
+    for i, (name, df) in enumerate(tables.items()):
+        rows = df.select(F.lit(2 * i + 2).alias("_part"), F.col(key).cast("string").alias("_key"), F.concat(F.lit("  "), _object(df.columns, nullable)).alias("value"))
+        last = rows.agg(F.max("_key").alias("_last"))
+        rows = rows.crossJoin(F.broadcast(last)).withColumn("value", F.when(F.col("_key") == F.col("_last"), F.col("value")).otherwise(F.concat("value", F.lit(",")))).drop("_last")
+        frame = meta.sparkSession.createDataFrame([(2 * i + 1, "", f'"{name}": ['), (2 * i + 3, "", "]" + ("," if i + 1 < len(tables) else "}"))], "_part int, _key string, value string")
+        lines = lines.unionByName(rows).unionByName(frame)
+    # The bracket that closes one array and the line that opens the next have one place; the bracket is shorter.
+    lines.withColumn("_size", F.length("value")).coalesce(1).sortWithinPartitions("_part", F.when(F.col("_part") % 2 == 1, F.col("_size")), "_key").select("value").write.mode("overwrite").text(path)
+
+
+def write_keyed_json(df: DataFrame, path: str, key: str, locale: str | None = None) -> None:
+    """JSON lines, each an object of one key and the row's other fields, by key: in code point order or as a locale sorts."""
+    value = _object([c for c in df.columns if c != key], ())
+    line = F.concat(F.lit("{"), F.regexp_replace(F.to_json(F.array(F.col(key))), r"^\[|\]$", ""), F.lit(":"), value, F.lit("}"))
+    order = F.col("_key") if locale is None else F.collate("_key", locale)
+    df.select(F.col(key).alias("_key"), line.alias("value")).orderBy(order).select("value").write.mode("overwrite").text(path)
+
+
+def write_listing(df: DataFrame, path: str, key: str = "id", nullable: tuple[str, ...] = ()) -> None:
+    """JSON lines in key order. Null fields are left out, but for those in `nullable`, which stay as null."""
+    df.select(F.col(key).alias("_key"), _object(df.columns, nullable).alias("value")).orderBy("_key").select("value").write.mode("overwrite").text(path)
 
 
 def map_places(elements: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
@@ -70,3 +111,10 @@ def flatten_hits(rows: DataFrame, regions: str = "kommuner", point: str = "point
     kept = [c for c in rows.columns if c not in (regions, point, name)]
     out = rows.select(*kept, F.coalesce(F.nullif(F.col(name), F.lit("")), F.col(query)).alias("navn"), first["nr"].alias("kommunenummer"), first["navn"].alias("kommunenavn"), F.col(f"{point}.lat").alias("lat"), F.col(f"{point}.lon").alias("lon"))
     return out.where("kommunenummer is not null and lat is not null and lon is not null")
+
+
+def flatten_addresses(rows: DataFrame, text: str = "adressetekst", region: str = "kommunenummer", point: str = "representasjonspunkt") -> DataFrame:
+    """rows with address, nr, lat, lon; those without a region or a point are dropped."""
+    kept = [c for c in rows.columns if c not in (text, region, point)]
+    out = rows.select(*kept, F.col(text).alias("address"), F.col(region).alias("nr"), F.col(f"{point}.lat").alias("lat"), F.col(f"{point}.lon").alias("lon"))
+    return out.where("nr is not null and lat is not null and lon is not null")

@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder of spark.checkpoint.dir; one of its own where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="almanac-")
-    return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
+    """A fresh path in the folder of spark.checkpoint.dir, which goes when the driver ends.
+
+    Where that setting is missing, a local session gets a temporary folder; on a cluster that is an error, since executors
+    don't share such a folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="almanac-")
+    path = f"{base.rstrip('/')}/{name}-{uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, computed once and read back from the shared folder: a plan that goes on from here doesn't repeat them."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

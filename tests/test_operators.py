@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from almanac.operators import dedupe, geo, match, merge, resolve, views
+from almanac.operators import audits, build, dedupe, geo, match, merge, resolve, views
 from almanac.sources import html, listing
 
 
@@ -39,7 +39,12 @@ def test_table_rows(spark):
         ],
         key=repr,
     )
-    assert [w[0] for w in rows(warned, "page_id")] == [1, 1, 2]
+    assert [w[0] for w in rows(warned, "page_id")] == [1, 1, 2, 3]
+    with pytest.raises(Exception, match="no table on page"):
+        html.html_table_rows(pages, "quiz-table", missing="error")[0].collect()
+    odd = spark.createDataFrame([(1, "<table id=a.b><tr><td>1</td><td>Ski</td><td><a class=broken_link href='https://a.example/x'>P</a></td><td>Mandag</td><td>1</td><td>c</td></tr></table>")], "page_id long, html string")
+    got, warned = html.html_table_rows(odd, "a.b")
+    assert rows(got, "venue_url", "venue_url_broken") == [("https://a.example/x", True)] and html.html_table_rows(odd, "a+b")[0].collect() == []
     assert rows(pages.select(html.source_updated_at(F.col("html")).alias("d")), "d") == [("2026-03-07",), (None,), (None,)]
 
 
@@ -175,3 +180,80 @@ def test_groups_and_credits(spark):
     assert rows(owed, "credit") == [("kartverket",), ("openstreetmap",)] and rows(unknown, "geo_source") == [("new",)]
     with pytest.raises(ValueError, match="default place"):
         views.require_default_place(df.withColumnRenamed("k", "kommune"), "Oslo")
+
+
+RAW = "row_idx long, fylke string, city string, venue_raw string, venue_url string, venue_url_broken boolean, weekday_raw string, time_raw string, category_raw string"
+LISTED = [
+    (1, "Oslo", "Oslo", "Puben (Storgata 1)", None, None, "Mandag", "19:00", "Allmenn"), (2, "Oslo", "Oslo", "Puben", "https://a.example", None, "Mandag (siste i mnd)", "19:00", "Musikk"),
+    (3, "Oslo", "Oslo", "Puben", None, None, "Mandag", "19:00", "Film"), (4, "Oslo", "Ski", "Kro", None, None, "Tirsdag", None, ""), (5, None, "Ski", "Bar", None, None, "Tirsdag", "20", ""),
+]
+
+
+def test_build(spark):
+    df = spark.createDataFrame(LISTED, RAW)
+    make = lambda d, **o: build.build(d, "2026-07-28", **({"min_rows": 1, "max_churn": 1.0} | o))
+    first = make(df)
+    assert rows(first.venues, "id", "address_hint", "url") == [("oslo-puben", "Storgata 1", "https://a.example"), ("ski-kro", None, None)]
+    assert rows(first.events, "id") == [("oslo-puben-mandag-19-00",), ("oslo-puben-mandag-19-00-last-of-month",), ("oslo-puben-mandag-19-00-weekly",), ("ski-kro-tirsdag-natid",)]
+    assert rows(first.rejects, "row_idx", "reason") == [(5, "no county")] and first.report.first().churn == 0.0
+    for order in (df.orderBy(F.desc("row_idx")), df.repartition(3)):
+        again = make(order)
+        assert sorted(map(repr, again.events.collect())) == sorted(map(repr, first.events.collect())) and sorted(map(repr, again.venues.collect())) == sorted(map(repr, first.venues.collect()))
+    # One event goes; the others stay.
+    second = make(df.where("row_idx <> 4"), previous=(first.venues, first.events))
+    assert rows(second.events.where("stale"), "id") == [("ski-kro-tirsdag-natid",)] and second.report.first().n_removed == 1
+    third = make(df, previous=(second.venues, second.events))
+    assert third.events.where("stale").count() == 0
+    with pytest.raises(build.Rejected, match="rails trip: churn, rows"):
+        make(df.where("row_idx <> 4"), previous=(first.venues, first.events), min_rows=9, max_churn=0.1)
+    forced = make(df.where("row_idx <> 4"), previous=(first.venues, first.events), min_rows=9, max_churn=0.1, force=True)
+    assert rows(forced.rails, "rail", "blocks") == [("churn", False), ("rows", False)]
+    # The schema comes before the rails, and no force helps.
+    cache = spark.createDataFrame([("ski-kro", 99.0, 10.0, "osm", "sure")], "venue_id string, lat double, lon double, geo_source string, geo_confidence string")
+    with pytest.raises(build.Rejected, match="geo_confidence: ski-kro\n.*lat: ski-kro"):
+        make(df, cache=cache, min_rows=9, force=True)
+
+
+def test_rungs_verify(spark):
+    """A rejected hit falls to the next rung; addresses are tried in turn, the gazetteer's and the map's best only once."""
+    regions = spark.createDataFrame([("0301", (10.0, 59.0, 11.0, 60.0))], "nr string, bbox struct<min_lon:double,min_lat:double,max_lon:double,max_lat:double>")
+    lookup = spark.createDataFrame([(59.5, 10.1, "0301"), (59.5, 10.2, "3201"), (59.5, 10.3, "0301"), (59.5, 10.4, "3201")], "lat double, lon double, found_nr string")
+    verify = geo.by_lookup(regions, lookup)
+    v = spark.createDataFrame([("1", "Puben", "0301", "Oslo", "Oslo", "Gata 1")], "id string, name string, kommune_nr string, kommune_name string, kommune string, address_hint string")
+    a = spark.createDataFrame([("Gata 1", "0301", 59.5, 10.2, 1), ("gata 1", "0301", 59.5, 10.1, 2)], "address string, nr string, lat double, lon double, ord int")
+    assert rows(geo.address_rung(v, a, verify), "lon") == [(10.1,)] and rows(geo.address_rung(v, a.where("ord = 1"), verify), "lon") == []
+    p = spark.createDataFrame([("Puben Oslo", "0301", 59.5, 10.3), ("Puben", "0301", 59.5, 10.4)], "place_name string, kommune_nr string, lat double, lon double")
+    assert rows(geo.map_rung(v, p, verify), "lon") == [] and rows(geo.map_candidates(v, p, verify), "why") == [("region",)]
+    assert rows(geo.map_rung(v, p.where("lon < 10.35"), verify), "lon", "geo_source", "geo_confidence") == [(10.3, "osm", "medium")]
+    h = spark.createDataFrame([("Puben", "By", "0301", 59.5, 10.2), ("Puben", "Gard", "0301", 59.5, 10.1)], "navn string, type string, nr string, lat double, lon double")
+    assert rows(geo.gazetteer_rung(v, h, verify), "lon") == []
+    fails = lambda d: d.select("id", F.raise_error(F.lit("down")).cast("double").alias("lat"), F.lit(1.0).alias("lon"), F.lit("x").alias("geo_source"), F.lit("low").alias("geo_confidence"))
+    seen = []
+    out = geo.ladder(v, [fails, lambda d: geo.address_rung(d, a, verify)], skip_failing=seen.append)
+    assert rows(out, "geo_source") == [("address",)] and len(seen) == 1
+    cached = spark.createDataFrame([("1", 1.0, 2.0, "manual", "high"), ("7", 1.0, 2.0, "manual", "high")], "id string, lat double, lon double, geo_source string, geo_confidence string")
+    assert rows(geo.ladder(v, [lambda d: geo.address_rung(d, a, verify)], cached=cached), "id", "geo_source") == [("1", "manual")]
+
+
+def test_bare_weekdays(spark):
+    raw = ["Mandag", " mandager ", "LØRDAG", "Mandag 1/9-15/12", "Mandager (2024)", "mandagen", "lordag", "Mandag (start 29.7)"]
+    items = spark.createDataFrame([(i, "mandag", ("weekly", "R", r)) for i, r in enumerate(raw)], "id int, weekday string, recurrence struct<kind:string,rrule:string,raw:string>")
+    got = audits.unexplained_weekly_audit(items, spark.createDataFrame([(7,), (8,)], "id int"))
+    assert rows(got, "id", "problem") == [(3, "unexplained"), (4, "unexplained"), (5, "unexplained"), (6, "unexplained"), (8, "gone")]
+
+
+def test_sinks_and_lookups(spark, tmp_path):
+    df = spark.createDataFrame([("Å", "x"), ("Z", None), ('a"b', "y")], "place string, nr string")
+    listing.write_keyed_json(df, f"{tmp_path}/k", "place", "nb")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/k").collect()] == ['{"a\\"b":{"nr":"x"}}'.replace('"x"', '"y"'), '{"Z":{}}', '{"Å":{"nr":"x"}}']
+    assert listing.read_previous(spark, f"{tmp_path}/none.json") is None
+    a = spark.createDataFrame([("Gata 1", "0301", (1.0, 2.0)), ("Gata 2", None, (1.0, 2.0)), ("Gata 3", "0301", None)], "adressetekst string, kommunenummer string, representasjonspunkt struct<lat:double,lon:double>")
+    assert rows(listing.flatten_addresses(a), "address", "nr", "lon") == [("Gata 1", "0301", 2.0)]
+    reg = spark.createDataFrame(REGISTER, "nr string, navn string, fylkesnr string, fylke string")
+    hits = spark.createDataFrame([("Bø", "Bø", "Tettsted", "4020")], "query string, navn string, type string, kommunenummer string")
+    asked = spark.createDataFrame([("Bø i Telemark", "Telemark"), ("Å i Å", "Telemark")], "place string, fylke string")
+    got = resolve.resolve_gazetteer(asked, hits, reg)
+    assert rows(got, "place", "kommune_nr") == [("Bø i Telemark", "4020"), ("Å i Å", None)]
+    assert rows(resolve.to_curate(got), "place") == [("Å i Å",)]
+    n = spark.createDataFrame([("d", t, i) for i, t in enumerate(["b", None, "a", "b", None])], "g string, t string, i int")
+    assert rows(dedupe.numbered(n, "g", "t", [F.col("i")], "no"), "i", "no") == [(0, 2), (1, 4), (2, 1), (3, 3), (4, 5)]
