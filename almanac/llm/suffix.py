@@ -32,6 +32,8 @@ from .scratch import join_ids, written
 GRAM = 32
 #: Bytes of text looked at together; owners are packed with positions of 20 bits.
 PIECE = 1 << 19
+#: Bytes of text whose rows are compared with each other before they are shuffled.
+BATCH = 12 << 20
 #: Surroundings of one gram in a bucket (about 50 MB of suffixes) before it's dealt out, and of all a bucket's grams on average.
 HOT, BUCKET = 1 << 13, 2000
 _U = np.uint64
@@ -129,6 +131,17 @@ def _pieces(offsets: np.ndarray, length: int, size: int) -> Iterator[tuple[int,
         i = j
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of up to BATCH bytes of text, or one text."""
+    for batch in batches:
+        _, at = string_buffer(batch.column("text"))
+        i = 0
+        while i < len(batch):
+            j = max(i + 1, int(np.searchsorted(at, at[i] + BATCH, "right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def _equal(buf: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether the bytes at a and b, sizes of them, are the same."""
     out = np.zeros(len(a), bool)
@@ -154,7 +167,7 @@ def _anchors(length: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(size + length)
-        for batch in batches:
+        for batch in _slices(batches):
             buf, at = string_buffer(batch.column("text"))
             ids, texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "t"))
             parts = []
@@ -224,14 +237,26 @@ _CONTEXT = "key long, level int, piece int, d long, t long, s long, off long, by
 LEVELS = 7
 
 
+_CUT = pa.schema([("key", pa.int64()), ("level", pa.int32()), ("piece", pa.int32()), ("d", pa.int64()), ("t", pa.int64()), ("s", pa.int64()), ("off", pa.int64()), ("bytes", pa.binary())])
+
+
 def _cut(length: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for d, t, text, want in zip(f["d"], f["t"], f["text"], f["want"], strict=True):
-                raw = text.encode()
-                rows += [(w["h"], 0, 0, d, t, s := w["s"], w["q"] & 1023, raw[s : s + (w["q"] >> 10 & 1023) + length]) for w in want]
-            yield pd.DataFrame(rows, columns=["key", "level", "piece", "d", "t", "s", "off", "bytes"])
+    """The surroundings that texts are asked for, some thousands at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, at = string_buffer(batch.column("text"))
+            want = batch.column("want")
+            ends = np.cumsum(pa.compute.list_value_length(want).to_numpy(zero_copy_only=False))
+            s, h, q = (want.flatten().field(c).to_numpy() for c in ("s", "h", "q"))
+            row = np.searchsorted(ends, np.arange(len(s)), "right")
+            first, last = at[row] + s, at[row] + s + (q >> 10 & 1023) + length
+            d, t = (batch.column(c).to_numpy()[row] for c in ("d", "t"))
+            zero = np.zeros(len(s), np.int32)
+            for k in range(0, len(s), 1 << 14):
+                part = slice(k, k + (1 << 14))
+                found = pa.array([buf[x:y].tobytes() for x, y in zip(first[part].tolist(), last[part].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[part]) for c in (h, zero, zero, d, t, s, q & 1023)), found], schema=_CUT)
 
     return run
 
@@ -320,7 +345,7 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     border = told.where("q >= 0").groupBy("d", "t").agg(F.collect_list(F.struct("s", "h", "q")).alias("want"))
     ids = written(told.where("q >= 0").select("d", "t").distinct(), "ids")
     own = join_ids(docs.select("d", "t", "text"), ids, ["d", "t"], "left_semi")
-    contexts = written(own.join(border, ["d", "t"]).mapInPandas(_cut(length), _CONTEXT), "contexts")
+    contexts = written(own.join(border, ["d", "t"]).mapInArrow(_cut(length), _CONTEXT), "contexts")
     out = told.where("q < 0").select("d", "t", "s", (F.col("s") - F.col("q") - 1).alias("e"))
     for _ in range(LEVELS):
         sizes = contexts.groupBy("key").agg(F.count("*").alias("n"))
@@ -333,27 +358,29 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     return out.unionByName(_buckets(contexts, contexts.count(), length))
 
 
-def _strip(length: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for text, gone in zip(f.pop("text"), f.pop("gone"), strict=True):
-                raw = text.encode()
+def _strip(length: int, names: list[str]):
+    """Rows without `text` and `gone`, but with what is left of the text; some megabytes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, at = string_buffer(batch.column("text"))
+            gone, rest = batch.column("gone"), batch.select([n for n in batch.schema.names if n not in ("text", "gone")])
+            a, size, out = 0, 0, []
+            for i in range(len(batch)):
+                raw = buf[at[i] : at[i + 1]].tobytes()
                 spans: list[list[int]] = []
-                for w in sorted((g["s"], g["e"] + length) for g in gone) if gone is not None else ():
+                for w in sorted((g["s"], g["e"] + length) for g in gone[i].as_py() or ()):
                     if spans and w[0] <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], w[1])
                     else:
                         spans.append(list(w))
-                at, keep = 0, []
-                for a, b in spans:
-                    keep.append(raw[at:a])
-                    at = b
-                kept = b"".join([*keep, raw[at:]])
+                kept = b"".join(raw[x:y] for x, y in zip([0, *(z for _, z in spans)], [*(x for x, _ in spans), len(raw)], strict=True)) if spans else raw
                 out.append((len(raw), len(raw) - len(kept), len(spans), kept, hashlib.sha256(kept).hexdigest()))
-            for k, c in enumerate(("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")):
-                f[c] = [x[k] for x in out]
-            yield f
+                size += len(raw)
+                if size >= 1 << 22 or i + 1 == len(batch):
+                    made = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*rest.slice(a, i + 1 - a).columns, *made], names=names)
+                    a, size, out = i + 1, 0, []
 
     return run
 
@@ -378,5 +405,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rest = join_ids(rows, ids, ["d", "t"], "left_anti").withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType))
     rows = less.select(*keep, "text", "gone").unionByName(rest.select(*keep, "text", "gone"))
     kinds = ", ".join(f"`{n}` {k}" for n, k in docs.select(*keep).dtypes)
-    out = rows.mapInPandas(_strip(length), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    names = [*keep, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
+    out = rows.mapInArrow(_strip(length, names), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return out.select(*keep, *added)
