@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buffers import frugal
+
 MULTILINGUAL = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes of text in a block (a longer text is a block of its own).
 BLOCK = 16 << 20
@@ -89,6 +91,7 @@ def _unpack_words(data: bytes) -> list[bytes]:
 
 
 def _blocks(pattern: str, block: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = _splitter(pattern)
         for batch in batches:
@@ -122,6 +125,7 @@ def _blocks(pattern: str, block: int):
 def _deal(buckets: int):
     """A block's words by the hash of the word, with their places."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -140,6 +144,7 @@ def _deal(buckets: int):
 def _encode(path: str):
     """Ids of dealt words. Each is encoded once, unless a bucket holds more than KEPT distinct ones."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
         known: dict[bytes, tuple[int, ...]] = {}
@@ -240,6 +245,7 @@ def _tokens(path: str) -> list[bytes]:
 
 
 def _decode(path: str):
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = _tokens(path)
         for f in frames:

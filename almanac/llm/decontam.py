@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buffers import frugal
 from .scratch import written
 
 #: Edits allowed per hundred characters of an item.
@@ -151,6 +152,7 @@ def _searcher(items: tuple[tuple[int, str], ...], percent: int) -> Searcher:
 
 
 def _find(items: tuple[tuple[int, str], ...], percent: int, prepare: Callable[[str], str] = str):
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         search = _searcher(items, percent)
         for f in frames:

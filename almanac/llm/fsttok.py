@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from .buffers import frugal
 from .scratch import written
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -201,6 +202,7 @@ def compose(maps: list[tuple[int, Map]]) -> Map:
 
 
 def _short(model: str):
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = unit_counts(model)
         for f in frames:
@@ -213,6 +215,7 @@ def _short(model: str):
 def _cut(chunk: int):
     """The chunks of marked texts, each with its lead."""
 
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for a, b, text in zip(f["a"], f["b"], f["_text"], strict=True):
@@ -225,6 +228,7 @@ def _cut(chunk: int):
 
 
 def _chunks(model: str):
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         transducer = unit_counts(model).transducer
         for f in frames:

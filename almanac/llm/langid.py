@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from .buffers import frugal
 from .scratch import written
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -311,6 +312,7 @@ def _together(parts: Iterator[tuple[int, list[str]]], size: int = 200_000) -> It
 def _predict(langs: list[str], prob: np.ndarray, path: str):
     small = prob.astype(np.float32)
 
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(small.astype(float), path)
         for f in frames:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import MULTIPLIER, Powers, byte_table, mix, string_buffer
+from .buffers import MULTIPLIER, Powers, byte_table, frugal, mix, string_buffer
 from .components import components
 from .scratch import discard, join_ids, written
 
@@ -156,6 +156,7 @@ def _digests(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _signed(k: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(PIECE)
         for batch in batches:
@@ -171,6 +172,7 @@ def _signed(k: int):
 
 
 def _plain_sets(k: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(PIECE)
         for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buffers import Powers, byte_table, mix, string_buffer
+from .buffers import Powers, byte_table, frugal, mix, string_buffer
 from .scratch import join_ids, written
 
 GRAM = 32
@@ -165,6 +165,7 @@ def _heads(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 def _anchors(length: int, size: int):
     schema = pa.schema([(n, pa.int64()) for n in ("h", "d", "t", "s", "q", "g")])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(size + length)
         for batch in _slices(batches):
@@ -243,6 +244,7 @@ _CUT = pa.schema([("key", pa.int64()), ("level", pa.int32()), ("piece", pa.int32
 def _cut(length: int):
     """The surroundings that texts are asked for, some thousands at a time."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, at = string_buffer(batch.column("text"))
@@ -277,6 +279,7 @@ def halves(key: int, level: int, piece: int, off: int, raw: bytes, length: int)
 
 
 def _halved(length: int):
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
@@ -361,6 +364,7 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 def _strip(length: int, names: list[str]):
     """Rows without `text` and `gone`, but with what is left of the text; some megabytes at a time."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, at = string_buffer(batch.column("text"))
