@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fsttok, langid, licenses, minhash, quality, suffix, urlfilter, warc
+from . import bpe, decontam, divergence, fsttok, langid, licenses, lines, minhash, quality, runs, suffix, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,37 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lines.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
+    return d.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(_table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text, the words of every tenth document (by crc32 of its id) from a on made periodic, as the query has it."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    d = docs.select("doc_id", "text", F.inline(F.array(F.struct(F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g")))))
+    n = F.size("w")
+    d = d.select("doc_id", "text", F.inline(F.array(F.struct("w", n.alias("n"), "g", (F.col("g") % n).cast("int").alias("a")))))
+    d = d.withColumn("p", (F.expr("(n - a) div (3 + g % 8)") + 1).cast("int"))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    tail = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", place(i))), " ")
+    return d.select("doc_id", F.when(F.col("n") > 0, tail).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = runs.periodic_runs(periodic_tails(_table(spark, sf_dir, "documents")), min_length=6, min_exponent=4)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines_of = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    d = d.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines_of, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length = -F.col("best.less")
+    return d.select("doc_id", "n_runs", F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"), F.call_function("div", length * 1000, F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_url_filters": op10_url_filters,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
 
@@ -107,6 +141,10 @@ def _ids(sentences: str) -> str:
     return f"list_filter(list_transform({sentences}, lambda x: coalesce(list_position({_LIST}, x), 0)), lambda x: x > 0)"
 
 
+_SPLIT = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_CRC = "xor(list_reduce(list_transform(range(length(s)), lambda i: ascii(s[i + 1])::BIGINT), lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)), 4294967295), 4294967295)"
+
 ORACLE: dict[str, str] = {
     "op1_minhash_near_dedup": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -152,4 +190,43 @@ r(action, h, q) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/
 f AS (SELECT p.*, r.h || r.q AS rule, r.action, row_number() OVER (PARTITION BY page_id ORDER BY length(r.h || r.q) DESC NULLS LAST, length(r.h) DESC, r.action DESC, r.h || r.q) AS k
       FROM p LEFT JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.q))
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM f WHERE k = 1""",
+    "op11_line_dedup": rf"""
+WITH l AS (SELECT doc_id, i, t[i] AS line, translate(trim(t[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_AZ}) AS k
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents), unnest(range(1, len(t) + 1)) u(i)),
+c AS (SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id <> last) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (last IS NULL OR doc_id = last), '')) AS kept_sha256
+FROM l LEFT JOIN c USING (k) GROUP BY doc_id""",
+    "op12_source_divergence": rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+k AS (SELECT lang, x FROM (SELECT lang, unnest(list_distinct(ts)) AS x FROM d) GROUP BY ALL HAVING count(*) >= 3),
+c AS (SELECT lang, source, x, count(*) AS c FROM (SELECT lang, source, unnest(ts) AS x FROM d) JOIN k USING (lang, x) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+a AS (SELECT lang, x, sum(c) AS c, sum(sum(c)) OVER (PARTITION BY lang) AS n FROM c GROUP BY lang, x),
+p AS (SELECT lang, source, x, coalesce(c, 0) AS c, (1 + 1000000000::HUGEINT * (coalesce(c, 0) + 1) // (coalesce(n, 0) + v)) AS p
+      FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c USING (lang, source, x)),
+q AS (SELECT lang, x, 1 + 1000000000::HUGEINT * (c + 1) // (n + v) AS q FROM a JOIN v USING (lang)),
+s AS (SELECT l.lang, l.source, r.source AS item, sum((l.p - r.p) * (l.p - r.p) // r.p) AS value FROM p l JOIN p r USING (lang, x) WHERE l.source <> r.source GROUP BY ALL),
+o AS (SELECT l.lang, l.source, 'pair' AS part, r.source AS item, coalesce(value, 0)::BIGINT AS value FROM g l JOIN g r ON l.lang = r.lang AND l.source <> r.source
+      LEFT JOIN s ON s.lang = l.lang AND s.source = l.source AND s.item = r.source
+      UNION ALL SELECT lang, source, 'term', x, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN q USING (lang, x) WHERE c > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM o QUALIFY part = 'pair' OR rank <= 200""",
+    "op13_periodic_runs": rf"""
+WITH b AS (SELECT doc_id, {_SPLIT} AS ws, doc_id::VARCHAR AS s FROM documents),
+h AS (SELECT doc_id, ws, len(ws) AS n, {_CRC} AS h FROM b),
+a AS (SELECT *, h // 10 AS g, h // 10 % n AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+w AS (SELECT doc_id, n, i, ws[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS x FROM p, unnest(range(n)) u(i)),
+e AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM w l JOIN w r ON l.doc_id = r.doc_id AND l.x = r.x AND r.i > l.i AND 4 * (r.i - l.i) <= l.n),
+f AS (SELECT doc_id, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle, i FROM e),
+m AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM f GROUP BY doc_id, q, isle HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, s, len, min(q) AS q FROM m GROUP BY doc_id, s, len),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, s, q) = 1),
+k AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, len AS length, q AS period, 1000 * len // q AS exponent_milli, sha256(coalesce(k.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM b LEFT JOIN k USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }

@@ -53,3 +53,8 @@ def join_ids(rows: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFr
     words = sum(5 if t == "string" else 1 for _, t in ids.select(*on).dtypes)
     few = ids.count() * words <= BROADCAST_IDS
     return rows.join(ids.select(*on).hint("broadcast" if few else "merge"), on, how)
+
+
+def sized(table: DataFrame, words: int) -> DataFrame:
+    """A written table of rows of so many words of 8 bytes, as the right side of a join: broadcast if it was counted small, else merged."""
+    return table.hint("broadcast" if table.count() * words <= BROADCAST_IDS else "merge")
