@@ -67,4 +67,5 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     out = out.select("row", "drops", F.inline(F.array(F.struct(F.split("text", "\n").alias("parts")))))
     stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("drops"))
     kept = F.when(F.col("drops").isNull(), F.array_join("parts", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("parts", i)), "\n"))
-    return out.select("row.*", F.size("parts").cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
+    new = F.struct(F.size("parts").cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
+    return out.select("row", new.alias("new")).select("row.*", "new.*")
