@@ -6,6 +6,7 @@ All sums are of whole numbers. Shares are in parts of 10 ** 9, smoothed by one o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,9 @@ from .scratch import sized, written
 SCALE = 1_000_000_000
 #: Bytes of text whose terms are counted together before they are shuffled.
 PIECE = 4 << 20
-#: Postings that one task holds, groups whose rows it accumulates, and entries that it scatters at once. Only the plan depends on them.
-BLOCK, ROWS, AT_ONCE = 500_000, 1000, 1 << 20
+#: Postings that one task holds (more where a language has so many pairs of groups, which each task sums, up to a bound of
+#: memory), groups whose rows it accumulates, and entries that it scatters at once. Only the plan depends on them.
+BLOCK, MOST, ROWS, AT_ONCE = 1 << 16, 1 << 22, 1000, 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TERM = np.zeros(256, bool)
@@ -147,8 +149,8 @@ def accumulate(term: np.ndarray, group: np.ndarray, p: np.ndarray, zero: np.ndar
         own = mine[start[g] : start[g + 1]]
         t, pt = term[own], p[own]
         sizes = at[t + 1] - at[t]
-        cut = np.searchsorted(np.cumsum(sizes), np.arange(AT_ONCE, sizes.sum() + AT_ONCE, AT_ONCE), "left") + 1
-        for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True):
+        cut = np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum(), AT_ONCE), "right")
+        for a, b in pairwise([*np.unique(cut).tolist(), len(t)]):
             n = sizes[a:b]
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[t[a:b]], n)
             peer, q, own_p = by_group[inner], by_p[inner], np.repeat(pt[a:b], n)
@@ -174,7 +176,8 @@ def _pairs(key: tuple, postings: pd.DataFrame, groups: pd.DataFrame) -> pd.DataF
 
 def _blocks(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """Sums by pair of sources. A language's terms are dealt into blocks, the rows of a block into shards; every task gets all of its language's groups, and gives one number for each pair."""
-    shards, block = F.ceil(F.col("n_groups") / ROWS).cast("int"), F.ceil(F.col("postings") / BLOCK).cast("int")
+    shards = F.ceil(F.col("n_groups") / ROWS).cast("int")
+    block = F.ceil(F.col("postings") / F.least(F.lit(MOST), F.greatest(F.lit(BLOCK), F.col("n_groups") * F.col("n_groups")))).cast("int")
     groups = groups.withColumn("shards", shards).withColumn("blocks", F.greatest(F.lit(1), block))
     sides = groups.select("lang", "source", "gid", "zero", F.pmod(F.xxhash64("gid"), F.col("shards")).cast("int").alias("shard"), "shards", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     sides = sides.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
