@@ -25,6 +25,8 @@ PERMUTATIONS, BAND = 64, 4
 PIECE = 1 << 19
 #: Members that one star takes before its group is dealt into parts, and sets of one token that one task compares with others.
 STAR, SPLIT = 1024, 2048
+#: Partners of a set in the first round of the search behind stars, and how many times more in each further one.
+FEW, GROWTH = 16, 4
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -212,14 +214,16 @@ def stars(members: DataFrame, key: str) -> DataFrame:
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
-    A pair carries the set of b to where it meets that of a, which many pairs may have; there they are compared at once.
+    Sizes rule out most before any set moves. A pair carries the set of b to where it meets that of a, which many pairs may
+    have; there they are compared at once.
     """
+    size = lambda s: sets.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"))
+    near = pairs.join(size("a"), "a").join(size("b"), "b").where(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na")
     left = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    na, nb = F.size("sa"), F.size("sb")
-    met = pairs.join(left, "b").join(right, "a").where((100 * na >= percent * nb) & (100 * nb >= percent * na))
     inter = F.size(F.array_intersect("sa", "sb"))
-    return met.withColumn("i", inter).where(100 * F.col("i") >= percent * (na + nb - F.col("i"))).select("a", "b")
+    met = near.join(left, "b").join(right, "a").select("a", "b", "na", "nb", inter.alias("i"))
+    return met.where(f"100 * i >= {percent} * (na + nb - i)").select("a", "b")
 
 
 def _close(percent: int) -> tuple[float, float]:
@@ -239,18 +243,32 @@ def _apart(rows: DataFrame, key: str) -> DataFrame:
 
 
 def fronts(sets: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
-    """node, n, w, r: the first tokens of the sets of rest, rarest first, of which two sets with J >= percent share one, and their ranks from 1."""
-    tokens = written(sets.join(rest, "node").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("w")), "tokens")
+    """node, n, p, last, skip, f: of each set of rest the p tokens, rarest first, of which two sets with J >= percent share one.
+
+    f has them without those of one set only, of which there are `skip`, all before f; last is the last one with its frequency.
+    """
+    tokens = written(sets.join(rest, "node").select("node", "n", F.explode("shingles").alias("w")), "tokens")
     often = tokens.groupBy("w").agg(F.count("*").alias("df"))
     # The rank is the place in the sorted array: no window over whole sets.
-    ranked = tokens.join(often, "w").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("_o"))
-    front = F.slice("_o", F.lit(1), F.least(F.col("n"), F.ceil(F.col("n") * _close(percent)[0] + 1e-9).cast("int") + 1))
-    out = ranked.withColumn("_f", front).select("node", "n", F.posexplode("_f").alias("r", "_x")).where("_x.df > 1")
-    out = written(out.select("node", "n", (F.col("r") + 1).alias("r"), F.col("_x.w").alias("w")), "fronts")
+    ranked = tokens.join(often, "w").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
+    front = F.slice("o", F.lit(1), F.least(F.col("n"), F.ceil(F.col("n") * _close(percent)[0] + 1e-9).cast("int") + 1))
+    out = ranked.select("node", "n", front.alias("o")).withColumn("f", F.transform(F.filter("o", lambda x: x["df"] > 1), lambda x: x["w"]))
+    out = written(out.select("node", "n", F.size("o").alias("p"), F.element_at("o", -1).alias("last"), (F.size("o") - F.size("f")).alias("skip"), "f"), "fronts")
     discard(tokens)
     return out
 
 
+def agreeing(pairs: DataFrame, front: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose fronts have enough in common.
+
+    Of the set whose front ends first, no token of the front is behind the front of the other. So what two sets share is what
+    their fronts share, and what is behind the front of that set, at most.
+    """
+    a, b = (front.select(*[F.col(c).alias(f"{c}{s}" if c != "node" else s) for c in ("node", "n", "p", "last", "f")]) for s in "ab")
+    met = pairs.join(a, "a").join(b, "b").withColumn("c", F.size(F.array_intersect("fa", "fb")))
+    return met.where(f"(100 + {percent}) * (c + if(lasta <= lastb, na - pa, nb - pb)) >= {percent} * (na + nb)").select("a", "b")
+
+
 def _possible(percent: int) -> Column:
     """Whether the smaller set a and b (sizes na, nb) can be close if their first common token has ranks ra and rb."""
     return F.expr(f"100 * na >= {percent} * nb and (100 + {percent}) * (1 + least(na - ra, nb - rb)) >= {percent} * (na + nb)")
@@ -262,28 +280,40 @@ def _sides(rows: DataFrame, columns: tuple[str, ...], percent: int) -> tuple[Dat
     return side(rows.where(F.col("r") <= F.ceil(F.col("n") * _close(percent)[1] + 1e-9) + 1), "a"), side(rows, "b")
 
 
-def _front_pairs(front: DataFrame, percent: int) -> DataFrame:
-    """a, b: all pairs of different components that the front (node, n, w, r, component) leaves possible.
+def _with_partners(front: DataFrame, percent: int) -> DataFrame:
+    """The rows of the front (node, n, w, r, component) that sizes and ranks leave a possible partner for.
 
     Of a token that more than SPLIT sets have, only the sizes and ranks count at first: sets that with no other size and rank
-    would do, those that have a frequent passage behind many tokens of their own, are left out. Of the others one side is
-    dealt over several tasks and the other goes to each of them.
+    would do, those that have a frequent passage behind many tokens of their own, are left out.
     """
-    often = front.groupBy("w").agg(F.count("*").alias("of"))
-    front = front.join(often, "w")
+    front = front.join(front.groupBy("w").agg(F.count("*").alias("of")), "w")
     hot = F.col("of") > SPLIT
     kinds = front.where(hot).select("w", "n", "r").distinct()
     x, y = _sides(kinds, ("n", "r"), percent)
     fit = x.join(y, "w").where((F.col("na") <= F.col("nb")) & _possible(percent))
     fit = fit.select("w", F.inline(F.array(F.struct(F.col("na").alias("n"), F.col("ra").alias("r")), F.struct(F.col("nb").alias("n"), F.col("rb").alias("r"))))).distinct()
-    front = front.where(~hot).unionByName(front.where(hot).join(fit, ["w", "n", "r"]).select(*front.columns))
-    parts = F.ceil(F.col("of") / SPLIT).cast("int")
-    a, b = _sides(front.withColumn("parts", parts), ("node", "n", "r", "component", "parts"), percent)
-    a = a.withColumn("part", F.pmod(F.xxhash64("nodea"), F.col("partsa")).cast("int"))
-    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("partsb") - 1)))
+    return front.where(~hot).unionByName(front.where(hot).join(fit, ["w", "n", "r"]).select(*front.columns)).drop("of")
+
+
+def _met(front: DataFrame, percent: int, on: list[str], deal) -> DataFrame:
+    """a, b: possible pairs of different components; deal() gives both sides the columns `on`. One of a pair is outside its token's largest component."""
+    a, b = deal(*_sides(front, ("node", "n", "r", "component", "of", "minor"), percent))
     ordered = F.expr("na < nb or (na = nb and nodea < nodeb)")
-    met = a.join(b, ["w", "part"]).where(ordered & _possible(percent) & F.expr("componenta <> componentb"))
-    return met.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+    both = [x.join(y, on).where(ordered & _possible(percent) & F.expr("componenta <> componentb")) for x, y in ((a.where("minora"), b), (a.where("not minora"), b.where("minorb")))]
+    return both[0].unionByName(both[1]).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+
+
+def _some_pairs(front: DataFrame, percent: int, size: int) -> DataFrame:
+    """Pairs among about `size` sets of a token that a hash puts together."""
+    part = lambda s: F.pmod(F.xxhash64(f"node{s}", F.lit(size)), F.ceil(F.col(f"of{s}") / size)).cast("int")
+    return _met(front, percent, ["w", "part"], lambda a, b: (a.withColumn("part", part("a")), b.withColumn("part", part("b"))))
+
+
+def _all_pairs(front: DataFrame, percent: int) -> DataFrame:
+    """All pairs. Of a token of more than SPLIT sets, one side is dealt over several tasks and the other goes to each of them."""
+    parts = lambda s: F.ceil(F.col(f"of{s}") / SPLIT).cast("int")
+    dealt = lambda a, b: (a.withColumn("part", F.pmod(F.xxhash64("nodea"), parts("a")).cast("int")), b.withColumn("part", F.explode(F.sequence(F.lit(0), parts("b") - 1))))
+    return _met(front, percent, ["w", "part"], dealt)
 
 
 def _residual(members: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -291,12 +321,36 @@ def _residual(members: DataFrame, links: DataFrame, sets: DataFrame, percent: in
 
     Exact for those sets, by prefix and position filters: with tokens ordered by their frequency among these sets (rarest
     first), two sets with J >= percent share a token near the front of both. Tokens that hold one component only are left out.
+
+    Only components count, so not all pairs of a token are looked at: in rounds, each set meets FEW of its token, then
+    GROWTH times as many, and sets that turn out to be of one component don't meet again. A set with links to a share of its
+    token finds one after as many looks as that share is small; what has none is at last held against all that filters leave.
     """
     found = components(links)
     rest = written(_apart(_with_components(members.select("key", "node"), found), "key").select("node").distinct(), "rest")
-    front = fronts(sets, rest, percent)
-    apart = written(_apart(_with_components(front, found), "w"), "apart")
-    return confirmed(_front_pairs(apart, percent), sets, percent)
+    whole = fronts(sets, rest, percent)
+    front = whole.select("node", "n", F.posexplode("f").alias("at", "w"), "skip").select("node", "n", (F.col("at") + F.col("skip") + 1).alias("r"), "w")
+    front = written(_with_partners(_apart(_with_components(front, found), "w"), percent), "apart")
+    out, size, last = None, FEW, False
+    while not last:
+        held = front.groupBy("w", "component").agg(F.count("*").alias("c"))
+        top = held.groupBy("w").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("of"))
+        now = front.join(top, "w").withColumn("minor", F.col("component") != F.col("top.component")).drop("top")
+        rows, looks = now.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("minor"), F.col("of"))), F.lit(0))).first()
+        last = looks <= GROWTH * size * rows
+        pairs = written(_all_pairs(now, percent) if last else _some_pairs(now, percent, size), "pairs")
+        new = written(confirmed(agreeing(pairs, whole, percent), sets, percent), "links")
+        discard(pairs)
+        out = new if out is None else out.unionByName(new)
+        if not last and not new.isEmpty():
+            of = front.select("node", "component").distinct()
+            a, b = (of.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
+            merged = components(new.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            merged = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+            front = front.join(merged, "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to")
+            front = written(_apart(front, "w"), "apart")
+        size *= GROWTH
+    return out
 
 
 def _sets_of_members(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int) -> DataFrame:
@@ -305,7 +359,7 @@ def _sets_of_members(docs: DataFrame, classes: DataFrame, members: DataFrame, k:
     ids = written(nodes.select("doc_id").distinct(), "ids")
     own = join_ids(docs, ids, ["doc_id"], "left_semi").select("doc_id", "text")
     made = own.mapInArrow(_plain_sets(k), "c1 long, c2 long, shingles array<long>").dropDuplicates(["c1", "c2"])
-    return written(made.join(nodes, ["c1", "c2"]).select("node", "shingles"), "sets")
+    return written(made.join(nodes, ["c1", "c2"]).select("node", F.size("shingles").alias("n"), "shingles"), "sets")
 
 
 def _same_ids(base: DataFrame, classes: DataFrame) -> DataFrame:
@@ -323,8 +377,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     part: component_id is null, kept true. Rows that share an id are one document: what is near to either text is linked with
     both, and n_shingles is that of the row's own text. The result doesn't depend on the order of rows.
 
-    Candidates are stars in bands (see stars()), so no group is expanded into its pairs; what stars leave apart is searched
-    exactly (see _residual()). Links are confirmed on full sets before they count.
+    Candidates are stars in bands (see stars()), which expand no group into its pairs; what stars leave apart is searched
+    exactly, in rounds that look at all pairs only where components stay apart (see _residual()). Links are confirmed on full
+    sets of 64-bit hashes of shingles before they count.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = written(signed_sets(docs, k), "signed")
