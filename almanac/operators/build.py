@@ -52,7 +52,7 @@ def build(rows: DataFrame, today: str, previous: tuple[DataFrame, DataFrame] | N
     """Venues and events of a snapshot, merged with the previous (venues, events), if there are any.
 
     Order: enrichment from aliases (place, ...) and the cache of points (venue_id, ...), soft deletion, overrides (which so
-    win, for stale rows too), then the schema, then the rails. A row that breaks the schema is an error whatever `force` says,
+    win, for stale rows too; but what is in the snapshot is never stale), then the schema, then the rails. A row that breaks the schema is an error whatever `force` says,
     with the first ten in its text; rails that trip are an error unless forced. Equal input gives equal tables.
     """
     venues, events, rejects = normalise_rows(rows)
@@ -67,10 +67,7 @@ def build(rows: DataFrame, today: str, previous: tuple[DataFrame, DataFrame] | N
     before = previous or (_none(venues), _none(events))
     current_events = events
     venues, events = (merge.soft_delete(now, old, "id", today) for now, old in zip((venues, events), before, strict=True))
-    if venue_patch is not None:
-        venues = merge.apply_overrides(venues, venue_patch)
-    if event_patch is not None:
-        events = merge.apply_overrides(events, event_patch)
+    venues, events = merge.apply_to_snapshot(venues, venue_patch), merge.apply_to_snapshot(events, event_patch)
     venues, events = stored(venues, "venues"), stored(events, "events")
     broken = audits.validate(venues, {k: f() for k, f in audits.VENUE_RULES.items()}, "id").unionByName(audits.validate(events, {k: f() for k, f in audits.EVENT_RULES.items()}, "id"))
     if issues := audits.first_issues(broken):

@@ -37,6 +37,14 @@ def soft_delete(current: DataFrame, previous: DataFrame, key: str, today: str, l
     return now.unionByName(gone.select(*now.columns))
 
 
+def apply_to_snapshot(df: DataFrame, patch: DataFrame | None, key: str = "id", stale: str = "stale") -> DataFrame:
+    """apply_overrides() after soft_delete(): all fields may be patched, but a row of the current snapshot isn't stale, whatever the patch says. Without a patch, df."""
+    if patch is None:
+        return df
+    out = apply_overrides(df.withColumn("_live", ~F.col(stale)), patch, key)
+    return out.withColumn(stale, F.col(stale) & ~F.col("_live")).drop("_live")
+
+
 def new_ids(current: DataFrame, previous: DataFrame, key: str, stale: str = "stale") -> DataFrame:
     """Ids of current that no live row of previous has."""
     live = previous.where(~F.coalesce(F.col(stale), F.lit(False)))

@@ -18,23 +18,24 @@ def resolve_direct(places: DataFrame, register: DataFrame) -> DataFrame:
     """place, fylke, status (resolved, ambiguous, none), kommune_nr, kommune_name, fylke_now, method, candidates.
 
     One municipality of that name: taken if the unstripped name is equal (exact) or its county agrees or can't be told
-    (normalized); else `none`, which a gazetteer may still resolve. Several: the only one in the county, else ambiguous
+    (normalized; a null or unknown county can't be told); else `none`, which a gazetteer may still resolve. Several: the only one in the county, else ambiguous
     with all as candidates, for good.
     """
     r = register.select(normalize_place(F.col("navn")).alias("_key"), "nr", "navn", "fylkesnr", F.col("fylke").alias("_now"))
-    p = _keyed(places)
-    hit = p.join(r, "_key")
+    # Null counties are places like others: rows stay with their place, so that nothing is joined back.
+    hit = _keyed(places).join(r, "_key", "left")
     here = F.col("fylkesnr") == F.col("_want")
     item = F.struct("nr", "navn", F.col("_now").alias("fylke"), (slug(F.col("navn")) == slug(F.col("place"))).alias("exact"), F.coalesce(here, F.col("_want").isNull()).alias("agrees"))
-    g = hit.groupBy("place", "fylke").agg(
-        F.count("*").alias("_n"), F.count_if(F.coalesce(here, F.lit(False))).alias("_in"), F.min(item).alias("_one"), F.min_by(item, F.when(here, F.col("nr"))).alias("_own"),
+    met = F.col("nr").isNotNull()
+    out = hit.groupBy("place", "fylke").agg(
+        F.count("nr").alias("_n"), F.count_if(F.coalesce(here, F.lit(False))).alias("_in"), F.min(F.when(met, item)).alias("_one"), F.min_by(item, F.when(here, F.col("nr"))).alias("_own"),
         F.array_sort(F.collect_list(F.concat("navn", F.lit(" ("), "nr", F.lit(")")))).alias("_all"),
     )
     single = (F.col("_n") == 1) & (F.col("_one.exact") | F.col("_one.agrees"))
     several = (F.col("_n") > 1) & (F.col("_in") == 1)
     chosen = F.when(single, F.col("_one")).when(several, F.col("_own"))
     method = F.when(single & F.col("_one.exact"), F.lit("exact")).when(single | several, F.lit("normalized"))
-    out = p.select("place", "fylke").join(g, ["place", "fylke"], "left").withColumn("_c", chosen)
+    out = out.withColumn("_c", chosen)
     status = F.when(F.col("_c").isNotNull(), F.lit("resolved")).when(F.col("_n") > 1, F.lit("ambiguous")).otherwise(F.lit("none"))
     return out.select("place", "fylke", status.alias("status"), F.col("_c.nr").alias("kommune_nr"), F.col("_c.navn").alias("kommune_name"), F.col("_c.fylke").alias("fylke_now"), method.alias("method"), F.when(status == "ambiguous", F.col("_all")).alias("candidates"))
 
@@ -50,12 +51,13 @@ def resolve_gazetteer(places: DataFrame, hits: DataFrame, register: DataFrame, t
     asked = hits.select("query").distinct()
     again = p.join(asked, p["place"] == asked["query"], "left_anti").withColumn("_q", strip_place_qualifier(F.col("place")))
     p2 = p.withColumn("_q", F.col("place")).unionByName(again.where("_q <> place"))
-    hit = p2.join(hits, p2["_q"] == hits["query"]).join(r, F.col("kommunenummer") == F.col("nr"))
+    hit = p2.join(hits, p2["_q"] == hits["query"], "left").join(r, F.col("kommunenummer") == F.col("nr"), "left")
     here = F.coalesce(F.col("fylkesnr") == F.col("_want"), F.lit(False))
     same = normalize_place(F.col("navn")) == F.col("_key")
     order = F.struct((~here).alias("a"), (~same).alias("b"), (-place_rank(F.col("type"))).alias("c"), F.col("nr").alias("d"), F.col("navn").alias("e"), F.col("_knavn").alias("k"), F.col("_now").alias("f"), F.concat("navn", F.lit(" ["), "type", F.lit("] -> "), "_knavn").alias("t"))
-    g = hit.groupBy("place", "fylke").agg(F.min(order).alias("_best"), F.transform(F.slice(F.sort_array(F.collect_set(order)), 1, top), lambda x: x["t"]).alias("_all"))
-    out = p.select("place", "fylke").join(g, ["place", "fylke"], "left")
+    order = F.when(F.col("nr").isNotNull(), order)
+    out = hit.groupBy("place", "fylke").agg(F.min(order).alias("_best"), F.transform(F.slice(F.sort_array(F.collect_set(order)), 1, top), lambda x: x["t"]).alias("_all"))
+    out = out.withColumn("_all", F.when(F.size("_all") > 0, F.col("_all")))
     ok = F.coalesce(~F.col("_best.a") & ~F.col("_best.b"), F.lit(False))
     pick = lambda c: F.when(ok, F.col(f"_best.{c}"))
     return out.select("place", "fylke", F.when(ok, F.lit("resolved")).otherwise(F.lit("unresolved")).alias("status"), pick("d").alias("kommune_nr"), pick("k").alias("kommune_name"), pick("f").alias("fylke_now"), F.when(ok, F.lit("stedsnavn")).alias("method"), F.when(~ok, F.col("_all")).alias("candidates"))

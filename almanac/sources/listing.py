@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
+
+from .paths import exists
 
 # ---- fixed values ----
 AMENITIES = ("pub", "bar", "cafe", "restaurant", "nightclub", "biergarten", "casino", "community_centre", "arts_centre", "social_facility", "events_venue", "theatre")
@@ -30,14 +34,49 @@ def read_keyed_json(df: DataFrame, column: str, value_schema: str, ignored: tupl
     return df.select(*keep, F.explode(F.from_json(F.col(column), f"map<string,{value_schema}>")).alias("key", "value")).where(~F.col("key").isin(*ignored))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def snake(name: str) -> str:
+    return re.sub("([A-Z])", lambda m: "_" + m[1].lower(), name)
+
+
+def camel(name: str) -> str:
+    return re.sub("_([a-z])", lambda m: m[1].upper(), name)
+
+
+def patches(rows: DataFrame, key: str, column: str, schema: str) -> DataFrame:
+    """Rows (the key, the fields of schema, set_fields) of partial JSON objects: set_fields names the fields that are there, null or not.
+
+    A field may be written as in the schema or in camel case; with both, the schema's spelling counts. Keys that the schema
+    lacks are ignored, so a patch of none but these sets nothing. Text that isn't an object is an error; a null has no row.
+    Of rows with one key only the fields count that the last object by its text sets: keys are distinct in a file.
+    """
+    fields = StructType.fromDDL(schema)
+    failing = {"mode": "FAILFAST"}
+    forms = {n: StructType([StructField(f(x.name), x.dataType) for x in fields if x.name != key or n == "own"]) for n, f in (("own", str), ("camel", camel))}
+    d = rows.where(F.col(column).isNotNull()).select(F.col(key).alias("_k"), F.col(column).alias("_j"), F.json_object_keys(column).alias("_keys"))
+    d = d.withColumn("_keys", F.when(F.col("_keys").isNull(), F.raise_error(F.concat(F.lit("a patch isn't an object: "), F.col("_k"))).cast("array<string>")).otherwise(F.col("_keys")))
+    d = d.groupBy("_k").agg(F.max_by("_keys", "_j").alias("_keys"), F.max("_j").alias("_j"))
+    d = d.withColumns({f"_{n}": F.from_json("_j", s, failing) for n, s in forms.items()})
+    has = lambda n: F.array_contains("_keys", n)
+    names = [f for f in fields if f.name != key]
+    value = lambda f: F.when(has(f.name), F.col(f"_own.{f.name}")).otherwise(F.col(f"_camel.{camel(f.name)}"))
+    known = F.array_compact(F.array(*[F.when(has(f.name) | has(camel(f.name)), F.lit(f.name)) for f in fields]))
+    return d.select(F.col("_k").alias(key), *[value(f).alias(f.name) for f in names], known.alias("set_fields"))
+
+
+def read_overrides(spark: SparkSession, path: str, schemas: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The sections of one JSON document of corrections, each as patches() by id: {"venues": {id: {field: value, ...}}, ...}.
+
+    No file, and a section that isn't there, are no corrections; notes and other sections are ignored. Malformed JSON is an error.
+    """
+    sections = schemas or {"venues": VENUE, "quizzes": QUIZ}
+    text = spark.read.text(path, wholetext=True) if exists(spark, path) else spark.createDataFrame([], "value string")
+    whole = text.select(F.from_json("value", StructType([StructField(n, MapType(StringType(), StringType())) for n in sections]), {"mode": "FAILFAST"}).alias("_d"))
+    return {n: patches(whole.select(F.explode(f"_d.{n}").alias("id", "_patch")), "id", "_patch", s) for n, s in sections.items()}
 
 
 def read_previous(spark: SparkSession, path: str, **options) -> dict[str, DataFrame] | None:
     """read_listing(), or None if there is no file yet: a first run."""
-    return read_listing(spark, path, **options) if _exists(spark, path) else None
+    return read_listing(spark, path, **options) if exists(spark, path) else None
 
 
 def _object(columns: list[str], nullable: tuple[str, ...]) -> Column:

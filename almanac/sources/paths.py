@@ -20,6 +20,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="almanac-")
+        spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid4().hex}"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
@@ -31,3 +32,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _at(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.exists(p)
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a job that wrote to path has ended well, or mark() was called for it."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, f"{path}/_SUCCESS")
+    fs.create(p, True).close()
+
+
+def part_names(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Sorted names below path that begin so; none where path isn't there."""
+    fs, p = _at(spark, path)
+    return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.startswith(prefix)) if fs.exists(p) else []
