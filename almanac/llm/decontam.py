@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import frugal
-from .scratch import written
+from .scratch import set_aside, written
 
 #: Edits allowed per hundred characters of an item.
 PERCENT = 5
@@ -209,6 +209,7 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, id_col: str
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that hold no item, with their columns; rows with a null id stay."""
+    """The rows of docs that hold no item, with their columns, whatever these are named; rows with a null id stay."""
+    docs, (id_col, text), back = set_aside(docs, {"_bad"}, id_col, text)
     bad = leaks(docs.where(F.col(id_col).isNotNull()), items, percent, id_col, text).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti").transform(back)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from .buffers import frugal
-from .scratch import written
+from .scratch import set_aside, written
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
@@ -280,9 +280,10 @@ def token_counts(docs: DataFrame, model: str = MODEL, text: str = "text", limit:
 
     A null text counts as empty: zero tokens. Texts of up to `chunk` characters are counted where they lie, without a
     shuffle. Longer ones are counted once for each distinct text: their chunks are dealt out over the cluster, their state
-    maps composed. Columns named like the added ones (or `_text`, `_a`, `_b`) are replaced.
+    maps composed. Columns named like the added ones are replaced, no others clash.
     """
-    keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit", "_text", "_a", "_b")]
+    docs, (text,), back = set_aside(docs, {"_text", "_a", "_b", "a", "b"}, text)
+    keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     d = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     d = d.withColumn("n_bytes", F.octet_length("_text").cast("long"))
     long = F.length("_text") > chunk
@@ -292,4 +293,4 @@ def token_counts(docs: DataFrame, model: str = MODEL, text: str = "text", limit:
     counted = _long_counts(marked.select(F.col("_a").alias("a"), F.col("_b").alias("b"), "_text"), model, chunk)
     light = marked.drop("_text")
     whole = light.join(counted, (light["_a"] == counted["a"]) & (light["_b"] == counted["b"])).select(*keep, "n_bytes", "n_tokens")
-    return short.unionByName(whole).withColumn("over_limit", F.col("n_tokens") > limit)
+    return short.unionByName(whole).withColumn("over_limit", F.col("n_tokens") > limit).transform(back)

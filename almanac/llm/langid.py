@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from .buffers import frugal
-from .scratch import written
+from .scratch import set_aside, written
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 START = "▁"
@@ -334,12 +334,13 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     """All rows of docs plus lang_pred and score (the share of the likelihood, 0 to 1).
 
     Only the text is read. Null texts and texts without a letter are `und` with score 0, as is all if the model knows no
-    language; of equal likelihoods the first language by name wins. Columns named like the added ones or `_text` are replaced.
+    language; of equal likelihoods the first language by name wins. Columns named like the added ones are replaced, no others clash.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "_text")]
+    docs, (text,), back = set_aside(docs, {"_text"}, text)
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     d = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     kinds = ", ".join(f"`{n}` {k}" for n, k in docs.select(*keep).dtypes)
-    return d.mapInPandas(_predict(*model, path), f"{kinds}, lang_pred string, score double")
+    return d.mapInPandas(_predict(*model, path), f"{kinds}, lang_pred string, score double").transform(back)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import set_aside
+
 _FREE = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation"
 _LATER = "either version {} of the License, or (at your option) any later version"
 _BASIS = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS'
@@ -169,9 +171,11 @@ def scan(docs: DataFrame, text: str = "text", sentences: tuple[str, ...] = SENTE
     joined, whatever comment marks they begin with. For notices without a full stop, line_ids are those of a reading in which
     every line end ends a sentence; a rule fits if either reading has its sequence. Sentences without a letter or digit
     aren't counted. Null and empty texts have none. All work is per row: no shuffle, and repeated rows get equal results.
-    Sentences are looked up by hash; the table is part of the plan, so it's meant for up to some thousands.
+    Sentences are looked up in a table that is part of the plan (a set test, then the place in a list), so it's meant for up
+    to some hundreds. Columns of docs named like the added ones are replaced, no others clash.
     """
     added = ("n_sentences", "sentence_ids", "line_ids", "license", "rule_no", "licenses")
+    docs, (text,), back = set_aside(docs, {"_s", "_l", "_q", "_f"}, text)
     keep = [c for c in docs.columns if c not in added]
     known = F.array(*[F.lit(s) for s in sentences])
     ids = lambda found: F.transform(F.filter(found, lambda s: s.isin(*sentences)), lambda s: F.array_position(known, s).cast("int"))
@@ -183,4 +187,4 @@ def scan(docs: DataFrame, text: str = "text", sentences: tuple[str, ...] = SENTE
     d = d.withColumn("_q", F.concat(commas("sentence_ids"), F.lit(" "), commas("line_ids")))
     fits = [F.when(F.col("_q").contains("," + ",".join(map(str, seq)) + ","), F.struct(F.lit(k).alias("no"), F.lit(name).alias("name"))) for k, (name, seq) in enumerate(rules, 1)]
     d = d.withColumn("_f", F.array_compact(F.array(*fits)))
-    return d.select(*keep, "n_sentences", "sentence_ids", "line_ids", F.get("_f", F.lit(0))["name"].alias("license"), F.get("_f", F.lit(0))["no"].alias("rule_no"), F.array_distinct(F.transform("_f", lambda x: x["name"])).alias("licenses"))
+    return d.select(*keep, "n_sentences", "sentence_ids", "line_ids", F.get("_f", F.lit(0))["name"].alias("license"), F.get("_f", F.lit(0))["no"].alias("rule_no"), F.array_distinct(F.transform("_f", lambda x: x["name"])).alias("licenses")).transform(back)

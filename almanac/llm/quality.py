@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import set_aside
+
 WINDOW = 5
 
 
@@ -60,9 +62,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     Words are maximal runs of characters other than 0x20 and 0x09-0x0D. A null text has no words and only zeros; an empty
     or blank one as well. Windows are equal if 64-bit hashes of their five words' 64-bit hashes are, within one text. All work
     is per row, without a shuffle, so that repeated rows and hot sources need no care; existing columns with the names of
-    measurements are replaced. The result can be filtered as it is.
+    measurements are replaced, no others clash. The result can be filtered as it is.
     """
     n = WINDOW
+    docs, (text,), back = set_aside(docs, {f"_{x}" for x in "twlhgsrp"}, text)
     keep = [c for c in docs.columns if c not in MEASURES]
     d = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
     d = _step(d, [*keep, "_t"], _w=F.filter(F.split("_t", _SPACE), lambda w: w != ""))
@@ -92,7 +95,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     d = _step(d, simple, _r=F.transform("_s", lambda x, i: F.struct(x["p"].alias("p"), again(x, i).alias("again"))))
     d = _step(d, simple, _p=F.sort_array(F.transform(F.filter("_r", lambda x: x["again"]), lambda x: x["p"])))
     covered = F.aggregate("_p", F.struct(F.lit(0).alias("n"), F.lit(-n).alias("last")), lambda a, p: F.struct((a["n"] + F.least(F.lit(n), p - a["last"])).alias("n"), p.alias("last")))["n"]
-    return _step(d, simple, n_repeat_words=F.coalesce(covered, F.lit(0)).cast("long")).select(*keep, *MEASURES)
+    return _step(d, simple, n_repeat_words=F.coalesce(covered, F.lit(0)).cast("long")).select(*keep, *MEASURES).transform(back)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,3 +59,17 @@ def join_ids(rows: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFr
 def sized(table: DataFrame, words: int) -> DataFrame:
     """A written table of rows of so many words of 8 bytes, as the right side of a join: broadcast if it was counted small, else merged."""
     return table.hint("broadcast" if table.count() * words <= BROADCAST_IDS else "merge")
+
+
+def set_aside(docs: DataFrame, inner: set[str], *named: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """docs with those columns renamed that an operator has names of its own for (inner, lower case), the names that the columns `named` have now, and what gives a result its names back."""
+    taken, new = {c.lower() for c in docs.columns} | inner, {}
+    for c in docs.columns:
+        if c.lower() in inner:
+            name = f"own_{c}"
+            while name.lower() in taken:
+                name = f"own_{name}"
+            taken.add(name.lower())
+            new[c] = name
+    back = {v: k for k, v in new.items()}
+    return docs.withColumnsRenamed(new), [new.get(c, c) for c in named], lambda out: out.withColumnsRenamed(back)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buffers import Powers, byte_table, frugal, mix, string_buffer
-from .scratch import join_ids, written
+from .scratch import join_ids, set_aside, written
 
 GRAM = 32
 #: Bytes of text looked at together; owners are packed with positions of 20 bits.
@@ -394,10 +394,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Null texts count as empty. Rows that repeat another's id and text are one document, so neither removes from the other;
     texts that share an id are ordered by start, then by the text's hash; a null id comes before all others. Texts shorter
-    than `length` bytes lose nothing. Columns named like the added or the inner ones (d, t) are replaced.
+    than `length` bytes lose nothing. Columns named like the added ones are replaced, no others clash.
     """
+    docs, (id_col, text), back = set_aside(docs, {"d", "t", "gone", *({"text"} if text != "text" else ())}, id_col, text)
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
-    keep = [c for c in docs.columns if c not in {"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "gone", text} and c not in ("d", "t", "text")]
+    keep = [c for c in docs.columns if c not in {"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", text}]
     ids = docs.select(F.col(id_col).cast("long").alias("d"))
     tell = not ids.groupBy("d").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     gone = repeats(_with_keys(docs.select(id_col, text), id_col, text, tell), length)
@@ -411,4 +412,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     kinds = ", ".join(f"`{n}` {k}" for n, k in docs.select(*keep).dtypes)
     names = [*keep, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
     out = rows.mapInArrow(_strip(length, names), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
-    return out.select(*keep, *added)
+    return out.select(*keep, *added).transform(back)

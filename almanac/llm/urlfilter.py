@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import set_aside
+
 #: (action, host, path): the rules of the registered query.
 RULES = [
     ("allow", "com", "/"),
@@ -39,9 +41,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     without :// have an empty host and path and fit no rule with a host. Each distinct url is judged once, so that repeated
     rows and hot urls cost one expansion. Only the path lengths and the numbers of host labels that some rule has are
     expanded; the rules may be of any number, as they are joined by an equality on hash prefixes and broadcast only if Spark
-    finds them small.
+    finds them small. Columns of pages named like the added ones are replaced, no others clash.
     """
-    spark = pages.sparkSession
+    pages, (url,), back = set_aside(pages, {"_url", "_u", "_best"}, url)
     r = rules.select("action", "host", "path", F.concat("host", "path").alias("rule")).where(F.col("rule").isNotNull()).dropDuplicates()
     r = r.withColumn("digest", F.sha2("rule", 256)).withColumn("short", F.substring("digest", 1, PREFIX_HEX))
     labels = lambda host: F.when(host == "", 0).otherwise(F.size(F.split(host, r"\.")))
@@ -60,4 +62,4 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     p = pages.select(*[F.col(c) for c in keep], F.col(url).alias("_u"))
     out = p.join(best.where(F.col("_url").isNotNull()), p["_u"] == best["_url"], "left")
-    return out.select(*keep, url_host(F.col("_u")).alias("host"), url_path(F.col("_u")).alias("path"), F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.action"), F.lit(default)).alias("verdict"))
+    return out.select(*keep, url_host(F.col("_u")).alias("host"), url_path(F.col("_u")).alias("path"), F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.action"), F.lit(default)).alias("verdict")).transform(back)
