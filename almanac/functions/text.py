@@ -19,7 +19,7 @@ TRANSLITERATED_SLUG = TRANSLITERATED | {"đ": "d", "ð": "d", "þ": "th"}
 STREET_SUFFIX = "(?:vei|veien|vn|gate|gaten|gata|gt|plass|plassen|alle|allé|alléen|alleen|torg|torget|brygge|brygga|kai|kaia|plassen|stredet|bakken|svingen|løkka|lokka)"
 ADDRESS = rf"\b([A-ZÆØÅ][\wÆØÅæøå'\-]*{STREET_SUFFIX}|[A-ZÆØÅ][\wÆØÅæøå'\-]+)\s+(\d{{1,4}}\s*[A-Za-z]?)\b"
 STRICT_ADDRESS = rf"\b([A-ZÆØÅ][\wÆØÅæøå'\-]*{STREET_SUFFIX})\s+(\d{{1,4}}\s*[A-Za-z]?)\b"
-TIDY_START, TIDY_END, TIDY_CLOSE = r"^(?:\s|[,;:.)\]»])+", r"(?:\s|[,;:.(\[«])+$", r"\)+$"
+TIDY_START, TIDY_END, TIDY_CLOSE = r"^[\s,;:.)\]»]+", r"[\s,;:.(\[«]+$", r"\)+$"
 LABEL_RULES = {
     "allmenn": r"\ballmenn\w*\b|\bgenerell\b|\bblandet\b|\bvariert\b",
     "musikk": r"\bmusikk\w*\b|\brock\w*\b|\bpop\b|\bpopkultur\b|\bmusikkbingo\b|\bhiphop\b|\bjazz\b|\blyd\b",
@@ -48,8 +48,8 @@ NO_WEEKDAY, NO_TIME, NO_VENUE, NO_EVENT = "ukjent", "natid", "ukjent-sted", "ukj
 
 
 def js_pattern(pattern: str) -> str:
-    """A pattern with ECMAScript's \\b and \\s for Spark."""
-    return pattern.replace(r"\b", BORDER).replace(r"\s", WS)
+    """A pattern with ECMAScript's \\b, \\s and $ for Spark: a class within a class is a part of it, and $ at the end isn't before a last line end."""
+    return re.sub(r"(?<!\\)\$$", r"\\z", pattern.replace(r"\b", BORDER).replace(r"\s", WS))
 
 
 def _folds() -> tuple[str, str]:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.calendar import has_caveat, is_undated, occurs_on
 from ..functions.recurrence import WEEKDAYS
-from ..functions.text import js_trim
+from ..functions.text import js_pattern, js_trim
 
 # ---- fixed values ----
 GEO_SOURCES = ("address", "osm", "kartverket", "centroid", "manual")
 CONFIDENCES = ("high", "medium", "low")
+PARITIES = ("odd", "even")
 KINDS = ("weekly", "biweekly", "monthly-nth", "last-of-month", "irregular")
 CATEGORIES = ("allmenn", "musikk", "sport", "film", "annet")
 TIME = r"^([01]\d|2[0-3]):[0-5]\d$"
@@ -19,27 +24,65 @@ REGION_NUMBER = r"^\d{4}$"
 BARE_WEEKDAY = "^(mandag|tirsdag|onsdag|torsdag|fredag|lørdag|søndag)(er)?$"
 # ---- end of fixed values ----
 
-#: Rules by path: a condition that must hold; null passes unless the rule says otherwise.
-VENUE_RULES = {
-    "id": lambda: F.length("id") > 0,
-    "name": lambda: F.coalesce(F.length("name") > 0, F.lit(False)),
-    "kommune_nr": lambda: F.col("kommune_nr").rlike(REGION_NUMBER),
-    "lat": lambda: F.col("lat").between(-90, 90),
-    "lon": lambda: F.col("lon").between(-180, 180),
-    "geo_source": lambda: F.col("geo_source").isin(*GEO_SOURCES),
-    "geo_confidence": lambda: F.col("geo_confidence").isin(*CONFIDENCES),
-}
-EVENT_RULES = {
-    "id": lambda: F.length("id") > 0,
-    "weekday": lambda: F.col("weekday").isin(*WEEKDAYS),
-    "time": lambda: F.col("time").rlike(TIME),
-    "recurrence.kind": lambda: F.coalesce(F.col("recurrence.kind").isin(*KINDS), F.lit(False)),
-    "category_norm": lambda: F.coalesce((F.size("category_norm") > 0) & F.forall("category_norm", lambda c: c.isin(*CATEGORIES)), F.lit(False)),
-}
+@dataclass(frozen=True)
+class Field:
+    """A field of a schema by its path. required: not null; nullable: there, but maybe null; optional: may be missing.
+
+    In a table a field is there if its column is. holds is tested where the value isn't null.
+    """
+
+    path: str
+    kind: str = "required"
+    holds: Callable[[Column], Column] | None = None
+
+
+def _is(pattern: str) -> Callable[[Column], Column]:
+    return lambda c: c.rlike(js_pattern(pattern))
+
+
+_SOME = lambda c: F.length(c) > 0
+_IN = lambda values: lambda c: c.isin(*values)
+_WITHIN = lambda least, most: lambda c: c.between(least, most)
+VENUE = (
+    Field("id", holds=_SOME), Field("name", holds=_SOME), Field("raw_name"), Field("address_hint", "optional"), Field("kommune", holds=_SOME), Field("fylke", holds=_SOME),
+    Field("kommune_nr", "optional", _is(REGION_NUMBER)), Field("kommune_name", "optional", _SOME), Field("fylke_now", "optional", _SOME), Field("lat", "optional", _WITHIN(-90, 90)), Field("lon", "optional", _WITHIN(-180, 180)),
+    Field("geo_source", "optional", _IN(GEO_SOURCES)), Field("geo_confidence", "optional", _IN(CONFIDENCES)), Field("url", "optional"), Field("url_broken", "optional"), Field("stale", "optional"),
+)
+EVENT = (
+    Field("id", holds=_SOME), Field("venue_id", holds=_SOME), Field("weekday", "nullable", _IN(WEEKDAYS)), Field("time", "nullable", _is(TIME)), Field("recurrence"), Field("recurrence.kind", holds=_IN(KINDS)), Field("recurrence.rrule", "optional"),
+    Field("recurrence.raw"), Field("recurrence.week_parity", "optional", _IN(PARITIES)), Field("category"), Field("category_norm", holds=lambda c: (F.size(c) > 0) & F.coalesce(F.forall(c, lambda x: F.coalesce(x.isin(*CATEGORIES), F.lit(False))), F.lit(False))),
+    Field("note", "optional"), Field("last_seen"), Field("stale", "optional"),
+)
+
+
+def _there(schema: StructType, path: str) -> bool:
+    """Whether a schema has a path; names count as Spark compares them."""
+    for name in path.split("."):
+        found = next((f for f in getattr(schema, "fields", ()) if f.name.lower() == name.lower()), None)
+        if found is None:
+            return False
+        schema = found.dataType
+    return True
+
+
+def schema_rules(df: DataFrame, fields: tuple[Field, ...]) -> dict[str, Column]:
+    """Rules for validate(). A path below a null struct breaks no rule of its own; that of the struct says it. A missing column that isn't optional breaks its rule in every row."""
+    rules = {}
+    for f in fields:
+        above = f.path.rpartition(".")[0]
+        if not _there(df.schema, f.path):
+            if f.kind != "optional" and (not above or _there(df.schema, above)):
+                rules[f.path] = F.lit(False)
+            continue
+        c = F.col(f.path)
+        ok = F.coalesce(f.holds(c), F.lit(False)) if f.holds else F.lit(True)
+        ok = F.when(c.isNull(), F.lit(f.kind != "required")).otherwise(ok)
+        rules[f.path] = F.when(F.col(above).isNull(), F.lit(True)).otherwise(ok) if above else ok
+    return rules
 
 
 def validate(df: DataFrame, rules: dict[str, Column], key: str) -> DataFrame:
-    """key, path of every rule a row breaks; a rule that is null for a row passes."""
+    """key, path of every rule a row breaks; a rule that is null for a row passes (those of schema_rules() never are)."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(True)), F.lit(path)) for path, ok in rules.items()]))
     return df.select(F.col(key), F.explode(broken).alias("path"))
 

@@ -12,6 +12,7 @@ from ..functions.recurrence import parse_recurrence, parse_weekday
 from ..sources.paths import stored
 from . import audits, merge
 from .dedupe import dedupe_first_wins, make_unique
+from .skew import spread_join
 from .views import require_fields
 
 
@@ -30,6 +31,15 @@ class Built:
     rails: DataFrame
 
 
+def parse_recurrences(df: DataFrame, text: str, out: str = "recurrence") -> DataFrame:
+    """df plus parse_recurrence() of a text column, made once for each distinct text: listings have few of them, and many rows. Null texts have null."""
+    some = df.where(F.col(text).isNotNull())
+    parsed = stored(some.select(F.col(text)).distinct().withColumn(out, parse_recurrence(F.col(text))), "recurrences")
+    met = spread_join(some.drop(out), parsed, [text])
+    rest = df.drop(out).where(F.col(text).isNull()).withColumn(out, F.lit(None).cast(parsed.schema[out].dataType))
+    return met.unionByName(rest).select(*[c for c in df.columns if c != out], out)
+
+
 def normalise_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(venues, events, rejects) from raw rows (row_idx, fylke, city, venue_raw, venue_url, venue_url_broken, weekday_raw, time_raw, category_raw).
 
@@ -39,7 +49,7 @@ def normalise_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     d = rows.withColumn("_v", T.clean_venue(F.col("venue_raw"))).withColumn("name", F.col("_v.name")).withColumn("address_hint", F.col("_v.address_hint")).drop("_v")
     good, rejects = require_fields(d, {"place": F.col("city"), "county": F.col("fylke"), "venue": F.col("name")})
     good = good.withColumn("venue_id", T.venue_id(F.col("city"), F.col("name")))
-    good = good.withColumn("recurrence", parse_recurrence(F.coalesce("weekday_raw", F.lit("")))).withColumn("weekday", parse_weekday(F.coalesce("weekday_raw", F.lit("")))).withColumn("time", T.normalize_time(F.col("time_raw")))
+    good = parse_recurrences(good.withColumn("_raw", F.coalesce("weekday_raw", F.lit(""))), "_raw").drop("_raw").withColumn("weekday", parse_weekday(F.coalesce("weekday_raw", F.lit("")))).withColumn("time", T.normalize_time(F.col("time_raw")))
     good = stored(good.withColumn("category", T.clean_category(F.coalesce("category_raw", F.lit("")))).withColumn("category_norm", T.classify_labels(F.col("category"))), "rows")
     venues = good.select(F.col("venue_id").alias("id"), "row_idx", "name", F.col("venue_raw").alias("raw_name"), F.col("city").alias("kommune"), "fylke", F.col("venue_url").alias("url"), F.col("venue_url_broken").alias("url_broken"), "address_hint")
     venues = dedupe_first_wins(venues, "id", "row_idx", [["url", "url_broken"], ["address_hint"]]).drop("row_idx")
@@ -69,10 +79,10 @@ def build(rows: DataFrame, today: str, previous: tuple[DataFrame, DataFrame] | N
     venues, events = (merge.soft_delete(now, old, "id", today) for now, old in zip((venues, events), before, strict=True))
     venues, events = merge.apply_to_snapshot(venues, venue_patch), merge.apply_to_snapshot(events, event_patch)
     venues, events = stored(venues, "venues"), stored(events, "events")
-    broken = audits.validate(venues, {k: f() for k, f in audits.VENUE_RULES.items()}, "id").unionByName(audits.validate(events, {k: f() for k, f in audits.EVENT_RULES.items()}, "id"))
+    broken = audits.validate(venues, audits.schema_rules(venues, audits.VENUE), "id").unionByName(audits.validate(events, audits.schema_rules(events, audits.EVENT), "id"))
     if issues := audits.first_issues(broken):
         raise Rejected("the listing breaks its schema:\n  - " + "\n  - ".join(issues))
-    report = merge.build_report(current_events, before[1], "id")
+    report = merge.build_report(current_events, before[1], "id", venues=venues)
     rails = merge.check_rails(report, min_rows, max_churn, force)
     if trips := [r["rail"] for r in rails.where("blocks").collect()]:
         raise Rejected("rails trip: " + ", ".join(sorted(trips)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import GENERIC_WORDS, NOISE_WORDS, name_tokens, normalize_name
+from ..sources.paths import stored
 from .geo import distance_m
 
 # ---- fixed values ----
@@ -131,19 +132,21 @@ def fuzzy_block_join(venues: DataFrame, places: DataFrame, block: str, source: s
     Distinct names meet only if they share a key that any match must share: the name, its core, the rarest core word of
     either, or one of the rarest bigrams. So a large block isn't multiplied out, and nothing is lost.
     """
-    v = name_features(venues.withColumn("_block", F.col(block)).where("_block is not null"), source, "_a").withColumn("_place", place if place is not None else F.array().cast("array<string>"))
-    t = name_features(places.withColumn("_tblock", F.col(block)).where("_tblock is not null").drop(block), target, "_b")
+    v = venues.withColumn("_block", F.col(block)).where("_block is not null").withColumn("_name", F.col(source)).withColumn("_place", place if place is not None else F.array().cast("array<string>"))
+    t = places.withColumn("_tblock", F.col(block)).where("_tblock is not null").drop(block).withColumn("_target", F.col(target))
+    # Features of distinct names, made once and stored; pairs are pairs of numbers until their scores are known.
+    left = stored(name_features(v.select("_block", "_name", "_place").distinct(), "_name", "_a").withColumn("_i", F.monotonically_increasing_id()), "names")
+    right = stored(name_features(t.select("_tblock", "_target").distinct(), "_target", "_b").withColumn("_j", F.monotonically_increasing_id()), "names")
     plain = lambda d, b, p: d.select(F.col(b).alias("block"), *[F.col(f"{p}{k}").alias(k) for k in "ntcgh"]).distinct()
-    names = plain(v, "_block", "_a"), plain(t, "_tblock", "_b")
+    names = plain(left, "_block", "_a"), plain(right, "_tblock", "_b")
     full, core = _fronts(*names, "g", FUZZY), _fronts(*names, "h", CORE_FUZZY)
     words = _word_keys(*names)
-    left, right = (_keys(d).unionByName(words[i]).unionByName(full[i]).unionByName(core[i]) for i, d in enumerate(names))
-    near = left.select("block", F.col("n").alias("_an"), "key").join(right.select("block", F.col("n").alias("_bn"), "key"), ["block", "key"]).select(F.col("block").alias("_near"), "_an", "_bn").distinct()
-    a = v.select("_block", "_an", "_at", "_ac", "_ag", "_ah", "_place").distinct()
-    b = t.select("_tblock", "_bn", "_bt", "_bc", "_bg", "_bh").distinct()
-    met = a.join(near, (a["_block"] == near["_near"]) & (a["_an"] == near["_an"])).drop(near["_an"]).join(b, (F.col("_near") == F.col("_tblock")) & (near["_bn"] == b["_bn"])).drop(near["_bn"])
-    scored = met.withColumn("match", match_features("_a", "_b", F.col("_place"))).where("match is not null").select(F.col("_block").alias("_sb"), F.col("_an").alias("_sa"), F.col("_bn").alias("_st"), F.col("_place").alias("_sp"), "match")
-    out = v.join(scored, (F.col("_block") == F.col("_sb")) & (F.col("_an") == F.col("_sa")) & (F.col("_place") == F.col("_sp"))).join(t, (F.col("_sb") == F.col("_tblock")) & (F.col("_st") == F.col("_bn")))
+    keys = [_keys(d).unionByName(words[i]).unionByName(full[i]).unionByName(core[i]).distinct() for i, d in enumerate(names)]
+    a, b = left.withColumnRenamed("_block", "block").withColumnRenamed("_an", "n"), right.withColumnRenamed("_tblock", "block").withColumnRenamed("_bn", "n")
+    near = keys[0].join(a.select("block", "n", "_i"), ["block", "n"]).select("block", "key", "_i").join(keys[1].join(b.select("block", "n", "_j"), ["block", "n"]).select("block", "key", "_j"), ["block", "key"]).select("_i", "_j").distinct()
+    scored = near.join(left, "_i").join(right, "_j").withColumn("match", match_features("_a", "_b", F.col("_place"))).where("match is not null")
+    scored = scored.select(F.col("_block").alias("_sb"), F.col("_name").alias("_sa"), F.col("_place").alias("_sp"), F.col("_target").alias("_st"), "match")
+    out = v.join(scored, (F.col("_block") == F.col("_sb")) & (F.col("_name") == F.col("_sa")) & (F.col("_place") == F.col("_sp"))).join(t, (F.col("_sb") == F.col("_tblock")) & (F.col("_st") == F.col("_target")))
     return out.select(*venues.columns, *[c for c in places.columns if c != block], "match")
 
 

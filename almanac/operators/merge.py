@@ -61,8 +61,8 @@ def changed_ids(current: DataFrame, previous: DataFrame, key: str) -> DataFrame:
     return new_ids(current, previous, key).union(removed_ids(current, previous, key)).distinct()
 
 
-def build_report(current: DataFrame, previous: DataFrame, key: str, stale: str = "stale") -> DataFrame:
-    """One row: n_current, n_previous_live, n_stale, n_new, n_removed, churn (changed ids by the larger live count; 0 on a first run). Both snapshots are counted by id in one shuffle."""
+def build_report(current: DataFrame, previous: DataFrame, key: str, stale: str = "stale", venues: DataFrame | None = None) -> DataFrame:
+    """One row: n_current, n_previous_live, n_stale, n_new, n_removed, churn (changed ids by the larger live count; 0 on a first run); with the merged venues also n_venues and n_stale_venues. Both snapshots are counted by id in one shuffle."""
     live = (~F.coalesce(F.col(stale), F.lit(False))).cast("long")
     both = current.select(key, F.lit(1).alias("_c"), F.lit(0).alias("_p"), F.lit(0).cast("long").alias("_l")).unionByName(previous.select(key, F.lit(0).alias("_c"), F.lit(1).alias("_p"), live.alias("_l")))
     ids = both.groupBy(key).agg(F.sum("_c").alias("c"), F.sum("_p").alias("p"), F.sum("_l").alias("l"))
@@ -73,7 +73,10 @@ def build_report(current: DataFrame, previous: DataFrame, key: str, stale: str =
         F.count_if(new).alias("n_new"), F.count_if(gone).alias("n_removed"), F.count_if(new | gone).alias("_changed"),
     )
     churn = F.when(F.col("n_previous_live") == 0, F.lit(0.0)).otherwise(F.col("_changed") / F.greatest("n_previous_live", "n_current"))
-    return out.withColumn("churn", churn).drop("_changed")
+    out = out.withColumn("churn", churn).drop("_changed")
+    if venues is None:
+        return out
+    return out.crossJoin(F.broadcast(venues.agg(F.count("*").alias("n_venues"), F.count_if(F.coalesce(F.col(stale), F.lit(False))).alias("n_stale_venues"))))  # one row each
 
 
 def check_rails(report: DataFrame, min_rows: int = MIN_ROWS, max_churn: float = MAX_CHURN, force: bool = False) -> DataFrame:
@@ -83,13 +86,14 @@ def check_rails(report: DataFrame, min_rows: int = MIN_ROWS, max_churn: float =
     return report.select(F.inline(trips))
 
 
-def same_except(a: DataFrame, b: DataFrame, ignore: list[str]) -> DataFrame:
-    """One row: same, true if both hold equal rows (repeats counted) apart from the ignored columns. Two hashes and a count per side are compared, so neither is sorted."""
-    cols = [c for c in a.columns if c not in ignore]
+def fingerprint(df: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """One row (n, x, s) that tables of equal rows share in whatever order rows and columns are: the count and two sums of hashes, repeats counted. An aggregation; nothing is sorted."""
+    cols = sorted(c for c in df.columns if c not in ignore)
+    h = F.xxhash64(*[F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("")) for c in cols])
+    return df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.xxhash64(h, F.lit(7)).cast("decimal(38,0)")).alias("s"))
 
-    def mark(d: DataFrame, name: str) -> DataFrame:
-        h = F.xxhash64(*[F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("")) for c in cols])
-        g = F.xxhash64(h, F.lit(7))
-        return d.agg(F.struct(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(g.cast("decimal(38,0)")).alias("s")).alias(name))
 
+def same_except(a: DataFrame, b: DataFrame, ignore: list[str]) -> DataFrame:
+    """One row: same, true if both hold equal rows (repeats counted) apart from the ignored columns, by fingerprint()."""
+    mark = lambda d, name: fingerprint(d, tuple(ignore)).select(F.struct("n", "x", "s").alias(name))
     return mark(a, "a").crossJoin(mark(b, "b")).select(F.col("a").eqNullSafe(F.col("b")).alias("same"))

@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_place, place_rank, region_number, slug, strip_place_qualifier
+from ..sources.paths import stored
+from .dedupe import collated
 
+# ---- fixed values ----
+METHODS = ("manual", "exact", "normalized", "stedsnavn")
+# ---- end of fixed values ----
 _ENTRY = ("kommune_nr", "kommune_name", "fylke_now", "method")
 
 
@@ -71,6 +76,26 @@ def resolve_places(venues: DataFrame, register: DataFrame, hits: DataFrame, exis
     return direct.where("status <> 'none'").unionByName(more)
 
 
+def merge_aliases(existing: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The alias table (columns of existing: place, kommune_nr, kommune_name, fylke_now, method, ...) with what resolve_places() resolved, in Norwegian order of the place.
+
+    Known places stay as they are, whatever was resolved for them; of rows of one place the one of best provenance stays
+    (manual, exact, normalized, stedsnavn, others; ties by number and name). Places that stay open get no row, so that they are tried again.
+    """
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, METHODS)), F.col("method")), F.lit(0))
+    rank = F.when(rank == 0, len(METHODS) + 1).otherwise(rank)
+    rest = [c for c in existing.columns if c != "place"]
+    one = existing.where("place is not null").groupBy("place").agg(F.min_by(F.struct(*rest), F.struct(rank.alias("a"), "kommune_nr", "kommune_name")).alias("_r")).select("place", "_r.*")
+    new = resolved.where("status = 'resolved' and place is not null").select("place", *_ENTRY).dropDuplicates(["place"]).join(existing.select("place"), "place", "left_anti")
+    return one.unionByName(new, allowMissingColumns=True).select(*existing.columns).orderBy(collated("place"))
+
+
+def keep_aliases(venues: DataFrame, register: DataFrame, hits: DataFrame, existing: DataFrame, order: str = "row_idx") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(alias table, what a person has to decide, counts): one run of upkeep. A second run on its table resolves nothing anew and gives the same table."""
+    got = stored(resolve_places(venues.where("place is not null"), register, hits, existing, order), "resolved")
+    return merge_aliases(existing, got), to_curate(got), resolution_report(venues.where("place is not null"), existing, got)
+
+
 def alias_method_counts(aliases: DataFrame) -> DataFrame:
     return aliases.groupBy("method").agg(F.count("*").alias("n"))
 

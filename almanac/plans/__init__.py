@@ -1,6 +1,6 @@
 """All registered queries of the listing engine."""
 
-from . import ingest, listing, merging, regions, text
+from . import ingest, listing, merging, publication, regions, text
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "ingest", "listing", "merging", "regions", "text"]
+__all__ = ["ORACLE", "QUERIES", "ingest", "listing", "merging", "publication", "regions", "text"]

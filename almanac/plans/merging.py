@@ -62,9 +62,11 @@ t AS (SELECT (SELECT count(*) FROM c) AS n_current, (SELECT count(*) FROM p WHER
   (SELECT count(*) FROM (FROM n UNION FROM r)) AS ch)"""
 
 
-@query("op_f8_build_report", _REPORT + " SELECT n_current, n_previous_live, n_stale, n_new, n_removed, round(ch / greatest(n_current, n_previous_live), 6) AS churn FROM t")
+@query("op_f8_build_report", _REPORT + " SELECT n_current, n_previous_live, n_stale, n_new, n_removed, round(ch / greatest(n_current, n_previous_live), 6) AS churn, (SELECT count(*) FROM supplier) AS n_venues, (SELECT count(*) FROM supplier WHERE s_suppkey % 9 = 0) AS n_stale_venues FROM t")
 def report(spark, sf_dir):
-    return merge.build_report(*_snapshots(spark, sf_dir), "id").withColumn("churn", F.round("churn", 6))
+    k = F.col("s_suppkey")
+    venues = table(spark, sf_dir, "supplier").select(F.when(k % 9 < 5, k % 9 == 0).alias("stale"))
+    return merge.build_report(*_snapshots(spark, sf_dir), "id", venues=venues).withColumn("churn", F.round("churn", 6))
 
 
 @query("op_f9_check_rails", _REPORT + " SELECT 'churn' AS rail, round(ch / greatest(n_current, n_previous_live), 6) AS value, 0.1::DOUBLE AS bound, true AS blocks FROM t UNION ALL SELECT 'rows', n_current, 1000000000, true FROM t")
@@ -171,10 +173,9 @@ g AS (SELECT place, fylke, max(CASE WHEN i = 1 AND ok THEN nr END) AS nr, max(CA
 
 
 @query("op_e8_resolve_gazetteer", _GAZ + """
-SELECT place, fylke, CASE WHEN nr IS NULL THEN 'unresolved' ELSE 'resolved' END AS status, nr AS kommune_nr, navn AS kommune_name, now AS fylke_now, CASE WHEN nr IS NOT NULL THEN 'stedsnavn' END AS method, CASE WHEN nr IS NULL THEN c ELSE '' END AS candidates FROM w JOIN g USING (place, fylke) WHERE place LIKE '% i Dal'""")
+SELECT place, fylke, CASE WHEN nr IS NULL THEN 'unresolved' ELSE 'resolved' END AS status, nr AS kommune_nr, navn AS kommune_name, now AS fylke_now, CASE WHEN nr IS NOT NULL THEN 'stedsnavn' END AS method, CASE WHEN nr IS NULL THEN coalesce(c, '') ELSE '' END AS candidates FROM w LEFT JOIN g USING (place, fylke)""")
 def resolve_gazetteer(spark, sf_dir):
-    p = _places(spark, sf_dir).where("place like '% i Dal'")
-    return resolve.resolve_gazetteer(p, _hits(spark, sf_dir), _register(spark, sf_dir)).withColumn("candidates", F.coalesce(F.array_join("candidates", "; "), F.lit("")))
+    return resolve.resolve_gazetteer(_places(spark, sf_dir), _hits(spark, sf_dir), _register(spark, sf_dir)).withColumn("candidates", F.coalesce(F.array_join("candidates", "; "), F.lit("")))
 
 
 @query("op_f12_resolution_report", _GAZ + """, f AS (SELECT 'Nation ' || c_nationkey || CASE c_custkey % 4 WHEN 1 THEN ' kommune' WHEN 2 THEN ' i Dal' ELSE '' END AS place, arg_min(['Hedmark','Nordland','Svalbard'][c_custkey % 3 + 1], c_custkey) AS fylke, c_nationkey % 6 = 0 AS known FROM customer GROUP BY ALL),

@@ -8,6 +8,7 @@ from ..functions import labels as L
 from ..functions import recurrence as R
 from ..functions import text as T
 from ..operators import dedupe
+from ..operators.build import parse_recurrences
 from .registry import query, table
 
 _SLUG = "trim(regexp_replace(strip_accents(replace(replace(replace(replace(replace(replace(replace(lower({c}), 'æ', 'ae'), 'ø', 'oe'), 'å', 'aa'), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')), '[^a-z0-9]+', '-', 'g'), '-')"
@@ -162,7 +163,8 @@ r AS (SELECT *, CASE WHEN k % 12 IN (7, 8, 9, 11) THEN 'irregular' WHEN k % 12 I
 SELECT o_orderkey, kind, CASE kind WHEN 'weekly' THEN 'FREQ=WEEKLY;BYDAY=' || c WHEN 'biweekly' THEN 'FREQ=WEEKLY;BYDAY=' || c || ';INTERVAL=2' WHEN 'last-of-month' THEN 'FREQ=MONTHLY;BYDAY=' || c || ';BYSETPOS=-1'
   WHEN 'monthly-nth' THEN 'FREQ=MONTHLY;BYDAY=' || c || ';BYSETPOS=' || CASE WHEN k % 12 = 4 THEN '2' ELSE '1,3' END END AS rrule, CASE WHEN k % 12 = 2 THEN 'odd' END AS week_parity FROM r""")
 def recurrence(spark, sf_dir):
-    return _texts(spark, sf_dir).select("o_orderkey", F.inline(F.array(R.parse_recurrence(F.col("raw"))))).select("o_orderkey", "kind", "rrule", "week_parity")
+    d = parse_recurrences(_texts(spark, sf_dir), "raw")
+    return d.select("o_orderkey", "recurrence.kind", "recurrence.rrule", "recurrence.week_parity")
 
 
 @query("op_c1_c3_text_finders", _RULES + """

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructField, StructType
 
-from .paths import exists
+from .paths import concatenate, exists, remove, stored
 
 # ---- fixed values ----
 AMENITIES = ("pub", "bar", "cafe", "restaurant", "nightclub", "biergarten", "casino", "community_centre", "arts_centre", "social_facility", "events_venue", "theatre")
@@ -89,22 +90,52 @@ def _object(columns: list[str], nullable: tuple[str, ...]) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.filter(inner, lambda m: m != ""), ","), F.lit("}"))
 
 
+def _scalar(c: Column, kind: DataType) -> Column:
+    """A JSON value as JavaScript writes it: whole doubles have no point."""
+    text = F.to_json(F.array(c))
+    text = F.substring(text, F.lit(2), F.length(text) - 2)
+    return F.when((c == F.floor(c)) & (F.abs(c) < 1e15), c.cast("decimal(16,0)").cast("string")).otherwise(text) if isinstance(kind, (DoubleType, FloatType)) else text
+
+
+def pretty(c: Column, kind: DataType, pad: str = "", nullable: tuple[str, ...] = ()) -> Column:
+    """JSON of a value in the form with two spaces, lines behind the first indented by pad. Null fields are left out, but for those in `nullable`, which stay as null."""
+    inner = pad + "  "
+    if isinstance(kind, StructType):
+        name = lambda f: F.lit(f"{inner}{json.dumps(f.name, ensure_ascii=False)}: ")
+        member = lambda f: F.concat(name(f), pretty(c[f.name], f.dataType, inner, nullable))
+        members = [F.when(c[f.name].isNotNull(), member(f)).otherwise(F.concat(name(f), F.lit("null")) if f.name in nullable else F.lit(None)) for f in kind]
+        body = F.array_join(F.array_compact(F.array(*members)), ",\n")
+        return F.when(body == "", F.lit("{}")).otherwise(F.concat(F.lit("{\n"), body, F.lit(f"\n{pad}}}")))
+    if isinstance(kind, ArrayType):
+        items = F.transform(c, lambda x: F.concat(F.lit(inner), F.coalesce(pretty(x, kind.elementType, inner, nullable), F.lit("null"))))
+        return F.when(F.size(c) == 0, F.lit("[]")).otherwise(F.concat(F.lit("[\n"), F.array_join(items, ",\n"), F.lit(f"\n{pad}]")))
+    return _scalar(c, kind)
+
+
 def write_document(tables: dict[str, DataFrame], meta: DataFrame, path: str, key: str = "id", nullable: tuple[str, ...] = ()) -> None:
-    """One JSON document: the fields of meta (one row), then an array per table, its rows in order of their keys.
+    """One JSON document in one file at path: the fields of meta (one row), then an array per table, its rows by key, then by their text. Two-space form.
 
-    The lines of the document are sorted by array and key and written in one file, since it is one document; it is an export
-    of what is stored as tables. Equal input gives equal bytes.
+    Equal input gives equal bytes, however it is partitioned, and keys may be repeated. Rows are range-sorted and written as
+    parts by all tasks, each with a comma behind it; those equal to the last one are a part of their own, whose last row has none.
+    The file system then puts the parts in order, by a stream that holds a megabyte. What was at path goes when all is there.
     """
-    head = meta.select(_object(meta.columns, tuple(meta.columns)).alias("_o")).select(F.lit(0).alias("_part"), F.lit("").alias("_key"), F.concat(F.expr("substring(_o, 1, length(_o) - 1)"), F.lit(",")).alias("value"))
-    lines = head
+    spark, work = meta.sparkSession, f"{path}.parts"
+    head = meta.select(pretty(F.struct(*meta.columns), StructType(meta.schema.fields), "", tuple(meta.columns)).alias("o")).first()["o"]
+    pieces: list[str | tuple[str]] = ["{\n" if head == "{}" else head[:-2] + (",\n" if tables else "\n")]
     for i, (name, df) in enumerate(tables.items()):
-        rows = df.select(F.lit(2 * i + 2).alias("_part"), F.col(key).cast("string").alias("_key"), F.concat(F.lit("  "), _object(df.columns, nullable)).alias("value"))
-        last = rows.agg(F.max("_key").alias("_last"))
-        rows = rows.crossJoin(F.broadcast(last)).withColumn("value", F.when(F.col("_key") == F.col("_last"), F.col("value")).otherwise(F.concat("value", F.lit(",")))).drop("_last")
-        frame = meta.sparkSession.createDataFrame([(2 * i + 1, "", f'"{name}": ['), (2 * i + 3, "", "]" + ("," if i + 1 < len(tables) else "}"))], "_part int, _key string, value string")
-        lines = lines.unionByName(rows).unionByName(frame)
-    # The bracket that closes one array and the line that opens the next have one place; the bracket is shorter.
-    lines.withColumn("_size", F.length("value")).coalesce(1).sortWithinPartitions("_part", F.when(F.col("_part") % 2 == 1, F.col("_size")), "_key").select("value").write.mode("overwrite").text(path)
+        end = ("," if i + 1 < len(tables) else "") + "\n"
+        lines = stored(df.select(F.col(key).cast("string").alias("k"), F.concat(F.lit("    "), pretty(F.struct(*df.columns), StructType(df.schema.fields), "    ", nullable)).alias("value")), "lines")
+        last = lines.agg(F.max(F.struct("k", "value")).alias("last")).first()["last"]
+        if last is None:
+            pieces.append(f"  {json.dumps(name)}: []{end}")
+            continue
+        ends = F.struct("k", "value").eqNullSafe(F.struct(F.lit(last["k"]).cast("string").alias("k"), F.lit(last["value"]).alias("value")))
+        n = lines.where(ends).count()
+        lines.where(~ends).orderBy("k", "value").select(F.concat("value", F.lit(",")).alias("value")).write.mode("overwrite").text(f"{work}/{i}-rows")
+        spark.range(n).select(F.concat(F.lit(last["value"]), F.when(F.col("id") < n - 1, F.lit(",")).otherwise(F.lit(""))).alias("value")).write.mode("overwrite").text(f"{work}/{i}-last")
+        pieces += [f"  {json.dumps(name)}: [\n", (f"{work}/{i}-rows",), (f"{work}/{i}-last",), f"  ]{end}"]
+    concatenate(spark, [*pieces, "}\n"], path)
+    remove(spark, work)
 
 
 def write_keyed_json(df: DataFrame, path: str, key: str, locale: str | None = None) -> None:

@@ -58,3 +58,27 @@ def part_names(spark: SparkSession, path: str, prefix: str) -> list[str]:
     """Sorted names below path that begin so; none where path isn't there."""
     fs, p = _at(spark, path)
     return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.startswith(prefix)) if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
+
+
+def concatenate(spark: SparkSession, pieces: list[str | tuple[str]], path: str) -> None:
+    """A file at path of texts and of the part files of folders (as tuples of one), in the order of their names. It takes its place when it is whole; bytes pass by a buffer of a megabyte."""
+    fs, target = _at(spark, path)
+    jvm = spark._jvm
+    new = jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    out = fs.create(new, True)
+    for piece in pieces:
+        if isinstance(piece, str):
+            out.write(bytearray(piece.encode()))
+            continue
+        for name in part_names(spark, piece[0], "part-"):
+            source = fs.open(jvm.org.apache.hadoop.fs.Path(f"{piece[0]}/{name}"))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            source.close()
+    out.close()
+    fs.delete(target, True)
+    fs.rename(new, target)
