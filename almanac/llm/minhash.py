@@ -27,6 +27,8 @@ PIECE = 1 << 19
 STAR, SPLIT = 1024, 2048
 #: Partners of a set in the first round of the search behind stars, and how many times more in each further one.
 FEW, GROWTH = 16, 4
+#: Bands whose stars are confirmed before those of the others.
+FIRST = 4
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -191,38 +193,37 @@ def signed_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def grouped(rows: DataFrame, key: str) -> DataFrame:
-    """The rows (key, node) of groups of two and more, with the group's size n and its top, the least node."""
-    groups = rows.groupBy(key).agg(F.count("*").alias("n"), F.min("node").alias("top")).where("n > 1")
-    return rows.join(groups, key).select(key, "node", "n", "top")
+    """The rows (key, node, size, ...) of groups of two and more, with the group's number n and its top, the node and size of the least node."""
+    groups = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("top")).where("n > 1")
+    return rows.join(groups, key)
 
 
 def stars(members: DataFrame, key: str) -> DataFrame:
-    """a (centre), b: links within groups, in proportion to their members (see grouped()).
+    """a (centre), b, na, nb: links within groups, in proportion to their members (see grouped()), and the sizes of both.
 
     A group of up to STAR members has its top as centre. A larger one is dealt into parts, as many as its size has a root;
     members are linked with the least of their part, and these with the top. So no centre has more than about STAR members or
     the root of their number.
     """
-    small = members.where(F.col("n") <= STAR).select(F.col("top").alias("a"), F.col("node").alias("b"))
+    link = lambda d, a, b: d.select(F.col(f"{a}.node").alias("a"), F.col(f"{b}.node").alias("b"), F.col(f"{a}.size").alias("na"), F.col(f"{b}.size").alias("nb"))
+    members = members.withColumn("own", F.struct("node", "size"))
     large = members.where(F.col("n") > STAR).withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.sqrt("n"))))
-    parts = large.groupBy(key, "part").agg(F.min("node").alias("least"), F.min("top").alias("top"))
-    tops = parts.select(F.col("top").alias("a"), F.col("least").alias("b"))
-    inner = large.join(parts.drop("top"), [key, "part"]).select(F.col("least").alias("a"), F.col("node").alias("b"))
-    return small.unionByName(tops).unionByName(inner).where("a <> b").distinct()
+    parts = large.groupBy(key, "part").agg(F.min("own").alias("least"), F.min("top").alias("top"))
+    inner = large.join(parts.drop("top"), [key, "part"])
+    out = link(members.where(F.col("n") <= STAR), "top", "own").unionByName(link(parts, "top", "least")).unionByName(link(inner, "least", "own"))
+    return out.where("a <> b").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+    """Those pairs (a, b, na, nb) whose full sets have 100 * intersection >= percent * union.
 
-    Sizes rule out most before any set moves. A pair carries the set of b to where it meets that of a, which many pairs may
+    Sizes rule out some before any set moves. A pair carries the set of b to where it meets that of a, which many pairs may
     have; there they are compared at once.
     """
-    size = lambda s: sets.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"))
-    near = pairs.join(size("a"), "a").join(size("b"), "b").where(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na")
+    near = pairs.where(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na")
     left = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    inter = F.size(F.array_intersect("sa", "sb"))
-    met = near.join(left, "b").join(right, "a").select("a", "b", "na", "nb", inter.alias("i"))
+    met = near.join(left, "b").join(right, "a").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return met.where(f"100 * i >= {percent} * (na + nb - i)").select("a", "b")
 
 
@@ -265,8 +266,8 @@ def agreeing(pairs: DataFrame, front: DataFrame, percent: int) -> DataFrame:
     their fronts share, and what is behind the front of that set, at most.
     """
     a, b = (front.select(*[F.col(c).alias(f"{c}{s}" if c != "node" else s) for c in ("node", "n", "p", "last", "f")]) for s in "ab")
-    met = pairs.join(a, "a").join(b, "b").withColumn("c", F.size(F.array_intersect("fa", "fb")))
-    return met.where(f"(100 + {percent}) * (c + if(lasta <= lastb, na - pa, nb - pb)) >= {percent} * (na + nb)").select("a", "b")
+    met = pairs.select("a", "b").join(a, "a").join(b, "b").withColumn("c", F.size(F.array_intersect("fa", "fb")))
+    return met.where(f"(100 + {percent}) * (c + if(lasta <= lastb, na - pa, nb - pb)) >= {percent} * (na + nb)").select("a", "b", "na", "nb")
 
 
 def _possible(percent: int) -> Column:
@@ -316,8 +317,28 @@ def _all_pairs(front: DataFrame, percent: int) -> DataFrame:
     return _met(front, percent, ["w", "part"], dealt)
 
 
-def _residual(members: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that stars may have missed: between sets that met in a band and are in different components.
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found (node, component) after further links (a, b): only components are linked anew."""
+    side = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    lifted = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    new = written(components(lifted), "merged")
+    old = found.join(new.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return written(old.unionByName(new.join(found.select("node"), "node", "left_anti")), "found")
+
+
+def _starred(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """found after stars in bands. The first bands link most of what is close, so that in the others only groups of several components have pairs, and only with members of another component than their top."""
+    first = written(stars(members.where(F.col("band") < FIRST), "key"), "pairs")
+    found = _merged(found, written(confirmed(first, sets, percent), "links"))
+    mixed = _apart(_with_components(members.where(F.col("band") >= FIRST), found).drop("top", "n"), "key")
+    pairs = stars(grouped(mixed, "key"), "key")
+    side = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
+    return _merged(found, written(confirmed(written(pairs.select("a", "b", "na", "nb"), "pairs"), sets, percent), "links"))
+
+
+def _searched(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """found after the links that stars may have missed: between sets that met in a band and are in different components.
 
     Exact for those sets, by prefix and position filters: with tokens ordered by their frequency among these sets (rarest
     first), two sets with J >= percent share a token near the front of both. Tokens that hold one component only are left out.
@@ -326,12 +347,11 @@ def _residual(members: DataFrame, links: DataFrame, sets: DataFrame, percent: in
     GROWTH times as many, and sets that turn out to be of one component don't meet again. A set with links to a share of its
     token finds one after as many looks as that share is small; what has none is at last held against all that filters leave.
     """
-    found = components(links)
     rest = written(_apart(_with_components(members.select("key", "node"), found), "key").select("node").distinct(), "rest")
     whole = fronts(sets, rest, percent)
     front = whole.select("node", "n", F.posexplode("f").alias("at", "w"), "skip").select("node", "n", (F.col("at") + F.col("skip") + 1).alias("r"), "w")
     front = written(_with_partners(_apart(_with_components(front, found), "w"), percent), "apart")
-    out, size, last = None, FEW, False
+    size, last = FEW, False
     while not last:
         held = front.groupBy("w", "component").agg(F.count("*").alias("c"))
         top = held.groupBy("w").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("of"))
@@ -341,16 +361,12 @@ def _residual(members: DataFrame, links: DataFrame, sets: DataFrame, percent: in
         pairs = written(_all_pairs(now, percent) if last else _some_pairs(now, percent, size), "pairs")
         new = written(confirmed(agreeing(pairs, whole, percent), sets, percent), "links")
         discard(pairs)
-        out = new if out is None else out.unionByName(new)
-        if not last and not new.isEmpty():
-            of = front.select("node", "component").distinct()
-            a, b = (of.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
-            merged = components(new.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-            merged = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
-            front = front.join(merged, "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to")
-            front = written(_apart(front, "w"), "apart")
+        if not new.isEmpty():
+            found = _merged(found, new)
+            if not last:
+                front = written(_apart(_with_components(front.drop("component"), found), "w"), "apart")
         size *= GROWTH
-    return out
+    return found
 
 
 def _sets_of_members(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int) -> DataFrame:
@@ -365,8 +381,8 @@ def _sets_of_members(docs: DataFrame, classes: DataFrame, members: DataFrame, k:
 def _same_ids(base: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b: links between the sets of rows that share an id."""
     many = base.groupBy("doc_id").agg(F.min("c1").alias("_x"), F.max("c1").alias("_y")).where("_x <> _y").select("doc_id")
-    rows = base.join(many, "doc_id").join(classes.select("c1", "c2", "node"), ["c1", "c2"]).select("doc_id", "node").distinct()
-    return stars(grouped(rows, "doc_id"), "doc_id")
+    rows = base.join(many, "doc_id").join(classes.select("c1", "c2", "node", "size"), ["c1", "c2"]).select("doc_id", "node", "size").distinct()
+    return stars(grouped(rows, "doc_id"), "doc_id").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -378,22 +394,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     both, and n_shingles is that of the row's own text. The result doesn't depend on the order of rows.
 
     Candidates are stars in bands (see stars()), which expand no group into its pairs; what stars leave apart is searched
-    exactly, in rounds that look at all pairs only where components stay apart (see _residual()). Links are confirmed on full
+    exactly, in rounds that look at all pairs only where components stay apart (see _searched()). Links are confirmed on full
     sets of 64-bit hashes of shingles before they count.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = written(signed_sets(docs, k), "signed")
     base = signed.where("n > 0 and doc_id is not null")
     # A class is a distinct set; its number is fixed when the table is written.
-    classes = base.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    classes = base.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("size"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    banded = written(classes.select("node", F.explode("bands").alias("key")), "bands")
+    banded = written(classes.select("node", "size", F.posexplode("bands").alias("band", "key")), "bands")
     members = written(grouped(banded, "key"), "members")
     discard(banded)
-    pairs = written(stars(members, "key"), "pairs")
     sets = _sets_of_members(docs, classes, members, k)
-    links = written(confirmed(pairs, sets, percent).unionByName(_same_ids(base, classes)), "links")
-    found = components(links.unionByName(_residual(members, links, sets, percent)))
+    found = components(_same_ids(base, classes))
+    found = _searched(members, _starred(members, found, sets, percent), sets, percent)
     of = _with_components(classes.select("node", "c1", "c2", "doc_id"), found)
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = of.join(least, "component").select("c1", "c2", "component_id")
