@@ -334,7 +334,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     """All rows of docs plus lang_pred and score (the share of the likelihood, 0 to 1).
 
     Only the text is read. Null texts and texts without a letter are `und` with score 0, as is all if the model knows no
-    language; of equal likelihoods the first language by name wins. Columns named like the added ones are replaced, no others clash.
+    language; of equal likelihoods the first language by name wins. A single character counts FLOOR at least in every language,
+    whether it's a piece or not, so that no text has likelihood 0; the masses of a language therefore exceed one by that. Columns named like the added ones are replaced, no others clash.
     """
     docs, (text,), back = set_aside(docs, {"_text"}, text)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]

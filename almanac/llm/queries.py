@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, divergence, fsttok, langid, licenses, lines, minhash, quality, runs, suffix, urlfilter, warc
+from .scratch import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "fail_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored ledger judged by two policies: for each rule what fails it, what it alone rejects, and what the policy keeps. Texts are read once."""
+    rows = written(quality.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "ledger")
+    out = []
+    for policy in ("base", "v1"):
+        kept = quality.judge(rows, policy).agg(F.count_if("kept").alias("n_kept"))
+        out.append(quality.ablations(rows, policy).crossJoin(F.broadcast(kept)).withColumn("policy", F.lit(policy)))  # one row
+    return out[0].unionByName(out[1])
+
+
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -104,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
+    "quality_ablations": quality_ablations,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_url_filters": op10_url_filters,
     "op11_line_dedup": op11_line_dedup,
@@ -177,6 +189,9 @@ SELECT doc_id, n_sentences, array_to_string(ids, ',') AS sentence_ids, array_to_
   coalesce(array_to_string(list_transform(list_filter(f, lambda x, k: k = 1 OR NOT list_contains(list_transform(f[1:k-1], lambda y: y.name), x.name)), lambda x: x.name), ','), '') AS licenses
 FROM f""",
     "op8_quality_rules": f"WITH {QUALITY_CTE} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, fail_bits FROM q",
+    "quality_ablations": f"""WITH {QUALITY_CTE}, p(policy, m) AS (VALUES ('base', 3), ('v1', 31)),
+r(rule, b) AS (VALUES ('too_few_words', 1), ('repeated_windows', 2), ('mostly_symbols', 4), ('mostly_duplicate_lines', 8), ('overlong_words', 16))
+SELECT policy, rule, count(*) FILTER (fail_bits & b <> 0) AS failed, count(*) FILTER (fail_bits & m = b) AS only_by_it, count(*) FILTER (fail_bits & m = 0) AS n_kept FROM q, p, r WHERE m & b <> 0 GROUP BY policy, rule""",
     "op9_warc_revisits": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (SELECT page_id, octet_length(encode(t)) AS payload_bytes, h, array_to_string(list_transform(list_transform(range(8), lambda g: ('0x' || substr(h, g * 5 + 1, 5))::BIGINT),

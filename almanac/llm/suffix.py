@@ -12,7 +12,8 @@ terms of the longest-previous-factor array LPF: all bytes of [i, i + length) wit
    in common, up to the whole window.
 3. A bucket gets a suffix array (to the depth of `length`), previous and next smaller positions and LPF. Surroundings of equal
    bytes are one entry with a multiplicity: of equal suffixes the first is the earlier match of all others. The same holds of
-   equal spans within a batch, which are found by hash, compared byte by byte and set apart in step 1.
+   equal spans within a batch, which are found by hash, compared byte by byte and set apart in step 1: the first of them stands
+   for all in the suffix order, and most copies of whole passages are told so (README has the share).
 """
 
 from __future__ import annotations

@@ -83,6 +83,33 @@ def test_words(monkeypatch):
         assert [w for part in langid.words_of(text) for w in part] == want
 
 
+def test_query_by_brute_force(spark, tmp_path):
+    """lang_pred and score of the registered query on short texts, by all segmentations of every word under the fitted model."""
+    from almanac.llm.queries import op2_language_id
+
+    rnd = np.random.default_rng(7)
+    vocabularies = {"en": "the house and a garden of our old town".split(), "de": "das haus und der garten über uns".split(), "fr": "la maison et le jardin été".split()}
+    rows = [(i, " ".join(rnd.choice(vocabularies[lang], 6)), lang) for i in range(120) for lang in [["en", "de", "fr"][i % 3]]]
+    rows += [(900, "the haus", "en"), (901, "été 12 über", None), (902, "qzx", None), (903, "12 !", "de"), (904, None, "fr"), (905, "House", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    langs, prob = langid.fit(docs.where(~langid.held_out("doc_id")))
+    v = langid.pieces(langid.VOCABULARY)
+    got = {r.doc_id: r for r in op2_language_id(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    known = {}
+    for i, text, _ in rows:
+        words = [w for part in langid.words_of(text or "") for w in part]
+        if not words:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        for w in words:
+            known.setdefault(w, np.array([brute(w, prob[:, [k]].astype(np.float32).astype(float), v) for k in range(len(langs))]))
+        logs = sum(known[w] for w in words)
+        assert got[i].lang_pred == langs[int(logs.argmax())]
+        assert math.isclose(got[i].score, 1 / np.exp(logs - logs.max()).sum(), rel_tol=1e-6)
+
+
 def test_accuracy_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'")
@@ -92,7 +119,7 @@ def test_accuracy_on_held_out(spark):
 def test_edges(spark):
     schema = "doc_id long, text string, lang string, score int"
     clash = langid.predict(spark.createDataFrame([(1, "das haus", "x")], "doc_id long, text string, _text string"), (["de"], np.ones((len(langid.pieces(langid.VOCABULARY).text) + 1, 1)) / 9))
-    assert clash.columns == ["doc_id", "text", "lang_pred", "score"] and clash.first().lang_pred == "de"
+    assert clash.columns == ["doc_id", "text", "_text", "lang_pred", "score"] and clash.first().lang_pred == "de" and clash.first()["_text"] == "x"
     rows = [(i, "the house and the garden" if i % 2 else "das haus und der garten", "en" if i % 2 else "de", 1) for i in range(40)]
     rows += [(100, None, "en", 1), (101, "", "de", 1), (102, "123 ²½① !!", None, 1), (None, "und der garten", None, 1), (103, "haus" * 5000, None, 1), (1, "the house and the garden", "en", 1)]
     out = langid.identify(spark.createDataFrame(rows, schema))
