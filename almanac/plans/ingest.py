@@ -115,8 +115,8 @@ def lint(spark, sf_dir):
 @query("op_a13_accept_snapshot", """
 WITH l AS (SELECT url, max(page_id) AS page_id, arg_max(html, page_id) AS html FROM pages GROUP BY url),
 p AS (SELECT url, arg_max(CASE WHEN page_id % 3 = 1 THEN replace(html, chr(13) || chr(10), chr(10)) ELSE 'old' END, page_id) AS html FROM pages WHERE page_id % 3 <> 0 GROUP BY url)
-SELECT l.url, octet_length(encode(l.html)) >= 4000 AS accepted, octet_length(encode(l.html)) >= 4000 AND (p.html IS NULL OR p.html <> replace(l.html, chr(13) || chr(10), chr(10))) AS changed FROM l LEFT JOIN p USING (url) WHERE l.url IS NOT NULL""")
+SELECT l.url, coalesce(octet_length(encode(l.html)) >= 4000, false) AS accepted, coalesce(octet_length(encode(l.html)) >= 4000, false) AND (p.html IS NULL OR p.html <> replace(l.html, chr(13) || chr(10), chr(10))) AS changed FROM l LEFT JOIN p ON l.url IS NOT DISTINCT FROM p.url""")
 def snapshot(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").where("url is not null")
+    p = table(spark, sf_dir, "pages")
     prev = p.where("page_id % 3 <> 0").select("url", "page_id", F.when(F.col("page_id") % 3 == 1, F.replace(F.col("html"), F.lit("\r\n"), F.lit("\n"))).otherwise(F.lit("old")).alias("html"))
     return html.accept_snapshot(p, prev, 4000, "page_id").select("url", "accepted", "changed")

@@ -316,7 +316,8 @@ def _ladder_tables(spark, sf_dir):
     return v, addresses, places, hits, geo.by_lookup(_regions(spark, sf_dir), lookup)
 
 
-_CAP = 50
+#: The cap on a region's venues is one in so many of all: some regions are over it, some aren't, at any size.
+_SHARE = 31
 _LADDER = f"""WITH {_POINTS}, {_BOXES},
 v AS (SELECT k, p.nr, k % 200 AS s, la + 2.5 AS lat, la + 2.5 BETWEEN 57.5 AND 71.5 AND lo + 3 BETWEEN 4 AND 31.5 OR la + 2.5 BETWEEN 74 AND 81 AND lo + 3 BETWEEN 10 AND 34 AS inn, la + 2.5 > 73 AS far FROM p LEFT JOIN b USING (nr)),
 a AS (SELECT k AS id, lat, 'address' AS src, 'high' AS conf FROM v WHERE k % 20 = 1 AND inn AND (far OR k % 40 <> 21 OR k % 80 = 21)),
@@ -325,14 +326,14 @@ o AS (SELECT k AS id, lat, 'osm' AS src, 'high' AS conf FROM v JOIN m USING (nr,
 h AS (SELECT nr, s FROM v WHERE k % 3 <> 1 AND nr IS NOT NULL GROUP BY 1, 2),
 g AS (SELECT k AS id, lat, 'kartverket' AS src, 'medium' AS conf FROM v JOIN h USING (nr, s) WHERE inn AND (far OR s % 2 = 0) AND k NOT IN (SELECT id FROM a) AND k NOT IN (SELECT id FROM o)),
 n AS (SELECT nr, count(*) AS n FROM p WHERE nr IS NOT NULL GROUP BY 1),
-c AS (SELECT k AS id, lat, 'centroid' AS src, 'low' AS conf FROM v JOIN n USING (nr) WHERE n <= {_CAP} AND inn AND k NOT IN (SELECT id FROM a) AND k NOT IN (SELECT id FROM o) AND k NOT IN (SELECT id FROM g)),
+c AS (SELECT k AS id, lat, 'centroid' AS src, 'low' AS conf FROM v JOIN n USING (nr) WHERE n <= (SELECT count(*) // {_SHARE} FROM p) AND inn AND k NOT IN (SELECT id FROM a) AND k NOT IN (SELECT id FROM o) AND k NOT IN (SELECT id FROM g)),
 l AS (FROM a UNION ALL FROM o UNION ALL FROM g UNION ALL FROM c)"""
 
 
 def _ladder(spark, sf_dir):
     v, addresses, places, hits, verify = _ladder_tables(spark, sf_dir)
-    regions = _regions(spark, sf_dir)
-    rungs = [lambda d: geo.address_rung(d, addresses, verify), lambda d: geo.map_rung(d, places, verify), lambda d: geo.gazetteer_rung(d, hits, verify), lambda d: geo.centroid_rung(d, regions, whole=v, cap=_CAP)]
+    regions, cap = _regions(spark, sf_dir), v.count() // _SHARE
+    rungs = [lambda d: geo.address_rung(d, addresses, verify), lambda d: geo.map_rung(d, places, verify), lambda d: geo.gazetteer_rung(d, hits, verify), lambda d: geo.centroid_rung(d, regions, whole=v, cap=cap)]
     rejected = lambda placed: geo.map_candidates(v.join(placed.where("geo_source = 'address'").select(F.col("id").alias("_id")), F.col("id").cast("string") == F.col("_id"), "left_anti"), places, verify).where("not verified")
     return v, geo.ladder(v, rungs), rejected
 

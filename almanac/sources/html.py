@@ -124,11 +124,12 @@ def link_lint(pages: DataFrame, base: str) -> DataFrame:
 def accept_snapshot(new: DataFrame, prev: DataFrame, min_bytes: int = 50_000, order: str | None = None) -> DataFrame:
     """url, accepted, changed, body: what to store. Undersized bodies are refused and the stored one stays; CRLF becomes LF.
 
-    Of several bodies of one url the last by `order` counts, here and in prev, ties by the body; without an order, the last body.
+    Pages without a url are one page, and one without a body is refused. Of several bodies of one url the last by `order` counts, here and in prev, ties by the body; without an order, the last body.
     """
     last = lambda d: d.groupBy("url").agg(F.max(F.struct(*([order] if order in d.columns else []), "html"))["html"].alias("html"))
     new, prev = last(new), last(prev)
-    n = new.select("url", F.replace(F.col("html"), F.lit("\r\n"), F.lit("\n")).alias("_new"), (F.octet_length("html") >= min_bytes).alias("accepted"))
-    out = n.join(prev.select("url", F.col("html").alias("_old")), "url", "left")
+    n = new.select("url", F.replace(F.col("html"), F.lit("\r\n"), F.lit("\n")).alias("_new"), F.coalesce(F.octet_length("html") >= min_bytes, F.lit(False)).alias("accepted"))
+    prev = prev.select(F.col("url").alias("_url"), F.col("html").alias("_old"))
+    out = n.join(prev, n["url"].eqNullSafe(prev["_url"]), "left")
     changed = F.col("accepted") & (F.col("_old").isNull() | (F.sha2("_new", 256) != F.sha2("_old", 256)))
     return out.select("url", "accepted", F.coalesce(changed, F.lit(False)).alias("changed"), F.when(F.col("accepted"), F.col("_new")).otherwise(F.col("_old")).alias("body"))
