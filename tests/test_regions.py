@@ -46,7 +46,9 @@ def test_points_in_polygons(spark, size):
     ring = lambda: [(rnd.randrange(0, 21) / 2, rnd.randrange(0, 21) / 2) for _ in range(rnd.randint(3, 7))]
     regs = [(f"{i:04d}", [ring() for _ in range(rnd.randint(1, 2))]) for i in range(10)] + [(f"g{i}{j}", [square(1 + i / 2, 1 + j / 2, 0.5)]) for i in range(4) for j in range(4)]
     regs += [("hole", [square(2, 2, 6), square(3, 3, 2)]), ("closed", [[*square(2, 2, 6), (2.0, 2.0)]]), ("none", None), ("empty", []), ("point", [[(1.0, 1.0)]])]
-    got = grid.point_in_regions(spark.createDataFrame(pts, "lat double, lon double"), spark.createDataFrame(regs, RING), size=size)
+    holed = [(x, None if i == 2 else y) for i, (x, y) in enumerate([(1.0, 1.0), (7.0, 1.0), (7.5, 3.0), (7.0, 6.0), (1.0, 6.0)])]
+    got = grid.point_in_regions(spark.createDataFrame(pts, "lat double, lon double"), spark.createDataFrame([*regs, ("lacking", [holed])], RING), size=size)
+    regs.append(("lacking", [[p for p in holed if p[1] is not None]]))
     want = sorted({(*p, n) for p in pts if finite(p) for n, r in regs if inside(*p, r)})
     assert sorted(tuple(r) for r in got.collect()) == want
     tiles = [x[:2] for x in want if x[2].startswith("g")]
