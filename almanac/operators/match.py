@@ -23,16 +23,15 @@ def bigrams(c: Column) -> Column:
     return F.when(F.length(c) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
-def _common(x: Column, y: Column) -> Column:
-    """Size of the intersection of two multisets."""
-    times = lambda a, g: F.size(F.filter(a, lambda h: h == g))
-    return F.aggregate(F.array_intersect(x, y), F.lit(0), lambda n, g: n + F.least(times(x, g), times(y, g)))
+def numbered(grams: Column) -> Column:
+    """A multiset as a set: each gram with the number of equal ones before it. Sets of two texts have as many members in common as their multisets."""
+    return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i), lambda h: h == g)).cast("string")))
 
 
 def dice(a: Column, b: Column, grams_a: Column | None = None, grams_b: Column | None = None) -> Column:
-    """Sorensen-Dice over bigram multisets; 1 for equal texts, else 0 if one has fewer than two characters."""
-    x, y = (bigrams(a) if grams_a is None else grams_a), (bigrams(b) if grams_b is None else grams_b)
-    return F.when(a == b, F.lit(1.0)).when((F.length(a) < 2) | (F.length(b) < 2), F.lit(0.0)).otherwise(2.0 * _common(x, y) / (F.size(x) + F.size(y)))
+    """Sorensen-Dice over bigram multisets (numbered(), where they are given); 1 for equal texts, else 0 if one has fewer than two characters."""
+    x, y = (numbered(bigrams(a)) if grams_a is None else grams_a), (numbered(bigrams(b)) if grams_b is None else grams_b)
+    return F.when(a == b, F.lit(1.0)).when((F.length(a) < 2) | (F.length(b) < 2), F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
 
 
 def is_place_word(word: Column, place_tokens: Column) -> Column:
@@ -54,7 +53,7 @@ def name_features(df: DataFrame, name: str, prefix: str) -> DataFrame:
     d = df.withColumn(f"{prefix}n", normalize_name(F.col(name)))
     d = d.withColumn(f"{prefix}t", name_tokens(F.col(f"{prefix}n"), True, True))
     d = d.withColumn(f"{prefix}c", F.array_join(f"{prefix}t", " "))
-    return d.withColumn(f"{prefix}g", bigrams(F.col(f"{prefix}n"))).withColumn(f"{prefix}h", bigrams(F.col(f"{prefix}c")))
+    return d.withColumn(f"{prefix}g", numbered(bigrams(F.col(f"{prefix}n")))).withColumn(f"{prefix}h", numbered(bigrams(F.col(f"{prefix}c"))))
 
 
 def match_features(a: str, b: str, place_tokens: Column) -> Column:
@@ -87,18 +86,13 @@ def match_names(pairs: DataFrame, source: str, target: str, place: Column | None
     return d.withColumn("match", match_features("_a", "_b", F.col("_p"))).select(*pairs.columns, "match")
 
 
-def _numbered(grams: Column) -> Column:
-    """A multiset as a set: each gram with the number of equal ones before it."""
-    return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i), lambda h: h == g)).cast("string")))
-
-
 def _fronts(a: DataFrame, b: DataFrame, grams: str, least: float) -> tuple[DataFrame, DataFrame]:
     """block, n, key: of each side's names the rarest grams, enough that names whose dice is `least` or more share one.
 
     Of a name's x grams such a pair has at least x * least / (2 - least) in common, so one is among the rest and one more,
     whatever the order, if it is the same for both.
     """
-    both = [d.select("block", "n", F.size(grams).alias("x"), F.explode(_numbered(F.col(grams))).alias("g")) for d in (a, b)]
+    both = [d.select("block", "n", F.size(grams).alias("x"), F.explode(grams).alias("g")) for d in (a, b)]
     often = both[0].unionByName(both[1]).groupBy("block", "g").agg(F.count("*").alias("df"))
     w = Window.partitionBy("block", "n").orderBy("df", "g")
     share = least / (2 - least)
