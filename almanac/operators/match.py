@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import GENERIC_WORDS, NOISE_WORDS, name_tokens, normalize_name
+from ..functions.text import GENERIC_WORDS, NOISE_WORDS, let, name_tokens, normalize_name
 from ..sources.paths import stored
 from .geo import distance_m
 
@@ -24,8 +24,8 @@ def bigrams(c: Column) -> Column:
 
 
 def numbered(grams: Column) -> Column:
-    """A multiset as a set: each gram with the number of equal ones before it. Sets of two texts have as many members in common as their multisets."""
-    return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i), lambda h: h == g)).cast("string")))
+    """A multiset as a set, sorted: each gram with its place among equal ones, from 1. Sets of two texts have as many members in common as their multisets."""
+    return let(F.sort_array(grams), lambda s: F.transform(s, lambda g, i: F.concat(g, (i + 2 - F.array_position(s, g)).cast("string"))))
 
 
 def dice(a: Column, b: Column, grams_a: Column | None = None, grams_b: Column | None = None) -> Column:
