@@ -84,7 +84,33 @@ KNOWN = {
     "cc-by-sa-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "public": "This work is dedicated to the public domain",
     "reserved": "All rights reserved",
+    "gpl-3-title": "GNU General Public License Version 3, 29 June 2007",
+    "gpl-2-title": "GNU General Public License Version 2, June 1991",
+    "lgpl-3-title": "GNU Lesser General Public License Version 3, 29 June 2007",
+    "lgpl-2.1-title": "GNU Lesser General Public License Version 2.1, February 1999",
+    "agpl-3-title": "GNU Affero General Public License Version 3, 19 November 2007",
+    "mpl-title": "Mozilla Public License Version 2.0",
+    "epl-title": "Eclipse Public License - v 2.0",
+    "cc0-title": "CC0 1.0 Universal",
+    "cc0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "cc0-mark": "This work is marked with CC0 1.0 Universal",
+    "cc-by-title": "Attribution 4.0 International",
+    "cc-by-sa-title": "Attribution-ShareAlike 4.0 International",
+    "cc-by-nc-title": "Attribution-NonCommercial 4.0 International",
+    "cc-by-the": "This work is licensed under the Creative Commons Attribution 4.0 International License",
+    "cc-by-sa-the": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nc-the": "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License",
+    "bsd-style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
+    "bsd-name-university": "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "spdx": "SPDX-License-Identifier",
 }
+#: Identifiers that follow the tag. One with "only" or "or later" names the license without it.
+SPDX = (
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "BSL-1.0", "MPL-2.0", "EPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+    "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later",
+)
+KNOWN |= {f"spdx-{name}": name for name in SPDX}
 
 
 def plain(sentence: str) -> str:
@@ -93,8 +119,9 @@ def plain(sentence: str) -> str:
 
 
 SENTENCES = tuple(map(plain, KNOWN.values()))
-#: Ordered: the first whose sequence occurs without gaps among the document's known sentences decides.
+#: Ordered: the first whose sequence occurs without gaps among the document's known sentences decides. Tags come first.
 RULES = (
+    *((re.sub("-(only|or-later)$", "", name).lower(), ("spdx", f"spdx-{name}")) for name in SPDX),
     ("apache-2.0", ("apache-the", "apache-use", "apache-copy")),
     ("apache-2.0", ("asf", "apache-use")),
     ("apache-2.0", ("apache-copy", "apache-basis", "apache-see")),
@@ -112,38 +139,56 @@ RULES = (
     ("mit", ("mit-project",)),
     ("agpl-3.0", ("agpl-3",)),
     ("agpl-3.0", ("agpl", "later-3")),
+    ("agpl-3.0", ("agpl-3-title",)),
     ("lgpl-3.0", ("lgpl-3",)),
     ("lgpl-3.0", ("lgpl", "later-3")),
     ("lgpl-2.1", ("lgpl", "later-2.1")),
+    ("lgpl-3.0", ("lgpl-3-title",)),
+    ("lgpl-2.1", ("lgpl-2.1-title",)),
     ("gpl-3.0", ("gpl-3-work",)),
     ("gpl-3.0", ("gpl-3",)),
     ("gpl-3.0", ("gpl", "later-3")),
+    ("gpl-3.0", ("gpl-3-title",)),
     ("gpl-2.0", ("gpl-2",)),
     ("gpl-2.0", ("gpl", "later-2")),
     ("gpl-2.0", ("gpl-2-only",)),
+    ("gpl-2.0", ("gpl-2-title",)),
     ("gpl", ("gpl-line",)),
     ("gpl", ("gpl",)),
     ("gpl", ("gpl-hope", "gpl-see")),
     ("bsd-3-clause", ("bsd-use", "bsd-source", "bsd-binary", "bsd-name")),
     ("bsd-3-clause", ("bsd-use", "bsd-name")),
     ("bsd-3-clause", ("bsd-use", "bsd-name-short")),
+    ("bsd-3-clause", ("bsd-use", "bsd-source", "bsd-binary", "bsd-name-university")),
     ("bsd-2-clause", ("bsd-use", "bsd-source", "bsd-binary", "bsd-as-is")),
     ("bsd", ("bsd-use",)),
+    ("bsd", ("bsd-style",)),
     ("mpl-2.0", ("mpl", "mpl-copy")),
     ("mpl-2.0", ("mpl", "mpl-copy-2")),
     ("mpl-2.0", ("mpl",)),
+    ("mpl-2.0", ("mpl-title",)),
     ("isc", ("isc",)),
     ("isc", ("isc-2",)),
     ("zlib", ("zlib",)),
     ("bsl-1.0", ("boost",)),
     ("epl-2.0", ("epl",)),
+    ("epl-2.0", ("epl-title",)),
+    ("cc0-1.0", ("cc0",)),
+    ("cc0-1.0", ("cc0-title",)),
+    ("cc0-1.0", ("cc0-mark",)),
     ("unlicense", ("unlicense",)),
     ("cc-by-nc-4.0", ("cc-by-nc",)),
     ("cc-by-nc-4.0", ("cc-by-nc-work",)),
+    ("cc-by-nc-4.0", ("cc-by-nc-the",)),
+    ("cc-by-nc-4.0", ("cc-by-nc-title",)),
     ("cc-by-sa-4.0", ("cc-by-sa",)),
     ("cc-by-sa-4.0", ("cc-by-sa-work",)),
+    ("cc-by-sa-4.0", ("cc-by-sa-the",)),
+    ("cc-by-sa-4.0", ("cc-by-sa-title",)),
     ("cc-by-4.0", ("cc-by",)),
     ("cc-by-4.0", ("cc-by-work",)),
+    ("cc-by-4.0", ("cc-by-the",)),
+    ("cc-by-4.0", ("cc-by-title",)),
     ("public-domain", ("public",)),
     ("all-rights-reserved", ("reserved",)),
 )

@@ -126,6 +126,18 @@ def test_whole_licenses_wrapped_and_commented(spark):
     assert not wrong
 
 
+def test_tags_titles_and_short_notices(spark):
+    texts = {
+        "// SPDX-License-Identifier: MIT\npackage a\n": "mit", "# SPDX-License-Identifier: Apache-2.0": "apache-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */\r\nint x;": "gpl-2.0", "-- SPDX-License-Identifier: LGPL-3.0-or-later\n\nselect 1": "lgpl-3.0",
+        "    GNU GENERAL PUBLIC LICENSE\n    Version 3, 29 June 2007\n\n Everyone may copy.": "gpl-3.0", "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions": "mpl-2.0",
+        "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\n": "cc0-1.0", "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n": "bsd", "Words. This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa-4.0",
+        BSD.format(NAME.replace("copyright holder", "University")): "bsd-3-clause", "We like MIT.\nMIT\nApache-2.0": None, "SPDX-License-Identifier: Unheard-Of": None, "The CC0 1.0 Universal idea": None,
+    }
+    df = spark.createDataFrame(list(texts.items()), "text string, name string")
+    wrong = [(r.text[:50], r.license) for r in licenses.scan(df).collect() if r.license != r.name]
+    assert not wrong
+
+
 def test_licenses(spark):
     texts = [
         "Text. Licensed under the Apache License, Version 2.0.", "released UNDER the MIT license\nAll rights reserved.", "The MIT License\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files. More.",
