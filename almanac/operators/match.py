@@ -86,38 +86,27 @@ def match_names(pairs: DataFrame, source: str, target: str, place: Column | None
     return d.withColumn("match", match_features("_a", "_b", F.col("_p"))).select(*pairs.columns, "match")
 
 
-def _fronts(a: DataFrame, b: DataFrame, grams: str, least: float) -> tuple[DataFrame, DataFrame]:
-    """block, n, key: of each side's names the rarest grams, enough that names whose dice is `least` or more share one.
-
-    Of a name's x grams such a pair has at least x * least / (2 - least) in common, so one is among the rest and one more,
-    whatever the order, if it is the same for both.
-    """
-    both = [d.select("block", "n", F.size(grams).alias("x"), F.explode(grams).alias("g")) for d in (a, b)]
-    often = both[0].unionByName(both[1]).groupBy("block", "g").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("block", "n").orderBy("df", "g")
-    share = least / (2 - least)
-    front = [d.join(often, ["block", "g"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("x") - F.ceil(F.col("x") * share - 1e-9) + 1) for d in both]
-    left, right = (d.select("block", "n", F.concat(F.lit(f"{grams}:"), "g").alias("key")) for d in front)
-    return left, right
-
-
-def _keys(d: DataFrame) -> DataFrame:
-    """block, n, key: the name and its core without spaces. Exact matches share one of these."""
-    own = F.array(F.concat(F.lit("n:"), "n"), F.when(F.col("c") != "", F.concat(F.lit("c:"), F.replace("c", F.lit(" "), F.lit("")))))
-    return d.select("block", "n", F.explode(F.array_compact(own)).alias("key"))
-
-
-def _word_keys(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """block, n, key of each side: strong matches share one.
-
-    Of a strong pair all core words of one name are in the other, so the rarest word of that one is: it meets every word of
-    the other side, and frequent words don't meet each other.
+def _keys(a: DataFrame, b: DataFrame) -> DataFrame:
+    """side (a, b), block, n, key for the distinct names of both sides: names that match share a key.
+
+    Exact matches share the name or its core without spaces. Of a strong pair all core words of one name are in the other, so
+    the rarest word of that one is: it meets every word of the other side, and frequent words don't meet each other. Of a
+    name's x bigrams a pair whose dice is `least` or more has at least x * least / (2 - least) in common, so one is among the
+    rest and one more, whatever the order, if it is the same for both: the rarest come first. Words and bigrams of both
+    sides are counted and ranked in one pass.
     """
-    words = [d.select("block", "n", F.explode(F.array_distinct("t")).alias("w")) for d in (a, b)]
-    often = words[0].unionByName(words[1]).groupBy("block", "w").agg(F.count("*").alias("df"))
-    rare = [d.join(often, ["block", "w"]).groupBy("block", "n").agg(F.min(F.struct("df", "w")).alias("r")).select("block", "n", F.col("r.w").alias("w")) for d in words]
-    key = lambda d, tag: d.select("block", "n", F.concat(F.lit(f"{tag}:"), "w").alias("key"))
-    return key(rare[0], "wa").unionByName(key(words[0], "wb")), key(words[1], "wa").unionByName(key(rare[1], "wb"))
+    tagged = lambda tag, c: F.transform(c, lambda t: F.struct(F.lit(tag).alias("tag"), F.size(c).alias("x"), t.alias("t")))
+    both = a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
+    parts = both.select("side", "block", "n", F.inline(F.concat(tagged("g", F.col("g")), tagged("h", F.col("h")), tagged("w", F.array_distinct("t")))))
+    often = parts.groupBy("block", "tag", "t").agg(F.count("*").alias("df"))
+    ranked = parts.join(often, ["block", "tag", "t"]).withColumn("r", F.row_number().over(Window.partitionBy("side", "block", "n", "tag").orderBy("df", "t")))
+    front = lambda least: F.col("r") <= F.col("x") - F.ceil(F.col("x") * (least / (2 - least)) - 1e-9) + 1
+    gram = (F.col("tag") == "g") & front(FUZZY) | (F.col("tag") == "h") & front(CORE_FUZZY)
+    word = F.col("tag") == "w"
+    own, other = F.concat(F.lit("w"), "side", F.lit(":"), "t"), F.concat(F.when(F.col("side") == "a", "wb:").otherwise("wa:"), "t")
+    keys = F.array_compact(F.array(F.when(gram, F.concat("tag", F.lit(":"), "t")), F.when(word & (F.col("r") == 1), own), F.when(word, other)))
+    exact = F.array_compact(F.array(F.concat(F.lit("n:"), "n"), F.when(F.col("c") != "", F.concat(F.lit("c:"), F.replace("c", F.lit(" "), F.lit(""))))))
+    return ranked.select("side", "block", "n", F.explode(keys).alias("key")).unionByName(both.select("side", "block", "n", F.explode(exact).alias("key"))).distinct()
 
 
 def fuzzy_block_join(venues: DataFrame, places: DataFrame, block: str, source: str = "name", target: str = "place_name", place: Column | None = None) -> DataFrame:
@@ -133,11 +122,10 @@ def fuzzy_block_join(venues: DataFrame, places: DataFrame, block: str, source: s
     right = stored(name_features(t.select("_tblock", "_target").distinct(), "_target", "_b").withColumn("_j", F.monotonically_increasing_id()), "names")
     plain = lambda d, b, p: d.select(F.col(b).alias("block"), *[F.col(f"{p}{k}").alias(k) for k in "ntcgh"]).distinct()
     names = plain(left, "_block", "_a"), plain(right, "_tblock", "_b")
-    full, core = _fronts(*names, "g", FUZZY), _fronts(*names, "h", CORE_FUZZY)
-    words = _word_keys(*names)
-    keys = [_keys(d).unionByName(words[i]).unionByName(full[i]).unionByName(core[i]).distinct() for i, d in enumerate(names)]
+    keys = stored(_keys(*names), "keys")
     a, b = left.withColumnRenamed("_block", "block").withColumnRenamed("_an", "n"), right.withColumnRenamed("_tblock", "block").withColumnRenamed("_bn", "n")
-    near = keys[0].join(a.select("block", "n", "_i"), ["block", "n"]).select("block", "key", "_i").join(keys[1].join(b.select("block", "n", "_j"), ["block", "n"]).select("block", "key", "_j"), ["block", "key"]).select("_i", "_j").distinct()
+    side = lambda s, d, i: keys.where(F.col("side") == s).join(d.select("block", "n", i), ["block", "n"]).select("block", "key", i)
+    near = side("a", a, "_i").join(side("b", b, "_j"), ["block", "key"]).select("_i", "_j").distinct()
     scored = near.join(left, "_i").join(right, "_j").withColumn("match", match_features("_a", "_b", F.col("_place"))).where("match is not null")
     scored = scored.select(F.col("_block").alias("_sb"), F.col("_name").alias("_sa"), F.col("_place").alias("_sp"), F.col("_target").alias("_st"), "match")
     out = v.join(scored, (F.col("_block") == F.col("_sb")) & (F.col("_name") == F.col("_sa")) & (F.col("_place") == F.col("_sp"))).join(t, (F.col("_sb") == F.col("_tblock")) & (F.col("_st") == F.col("_target")))
