@@ -4,18 +4,24 @@ The encoding of a text by BPE is the one sequence of pieces whose neighbours are
 side by side if encoding a + b gives a, b again. So the last piece of every prefix follows from the last pieces at the few
 earlier positions where a piece could still begin. That is a finite state: the longest suffix that may grow into a piece, and
 for each position in it the last piece and the number of pieces since. Transitions read one character and emit the change of
-the token count. States and transitions are compiled as texts reach them; a worker starts anew when it has many.
+the token count. States and transitions are compiled as texts reach them; a worker starts anew when it has many. Where two
+characters are neighbours in no piece, what came before is forgotten: the transition is that of the first state.
+
+Whether a, b may stand side by side is told by the merges that make them: taken in turn, best first, as they would happen in
+a + b, none across the border may come before one of them.
 
 Long texts are cut into chunks. A chunk's state map says for each state at its entry the state at its exit and the count in
 between. Its entries are the states that the LEAD characters before it reach from SHIFTS different places: states that differ
 soon fall together, and a run of one character is in one of a few phases. Maps compose, so that chunks are counted in parallel
 and their maps combined block by block, then blocks by text. Should a text enter a chunk in a state that its map lacks, that
-state is added and the text composed again; the counts are exact in any case.
+state is added and the text composed again; the counts are exact in any case. Units that lie within a chunk are counted as
+those of short texts are.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,8 +39,8 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
 #: Longer texts (in characters) are cut into chunks of so many.
 CHUNK = 1 << 15
-#: Counts of words that a worker keeps before it starts anew.
-KEPT = 300_000
+#: Counts of words that a worker keeps before it starts anew, and the characters of the longest one it keeps.
+KEPT, LONGEST = 300_000, 64
 #: Characters before a chunk that its entry states are found by, and the places they are started from.
 LEAD, SHIFTS = 96, 16
 #: Chunk maps that are composed together; two levels of them hold any string.
@@ -45,13 +51,17 @@ STATES = 150_000
 Map = dict[str, tuple[str, int] | tuple[int, str]]
 
 
-def _merged(text: str, scores: dict[str, float]) -> list[str]:
-    """BPE by definition: the adjacent pair with the best score is merged first, the leftmost of equals."""
-    parts = list(text)
+def _merges(text: str, scores: dict[str, float]) -> list[tuple[float, str, str]]:
+    """BPE by definition: the adjacent pair with the best score is merged first, the leftmost of equals.
+
+    Of each merge the score, and the first and the last part before it; of the end -inf and those parts.
+    """
+    parts, out = list(text), []
     while True:
         best = max(((s, -i) for i in range(len(parts) - 1) if (s := scores.get(parts[i] + parts[i + 1])) is not None), default=None)
+        out.append((-math.inf if best is None else best[0], parts[0], parts[-1]))
         if best is None:
-            return parts
+            return out
         i = -best[1]
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
@@ -70,6 +80,8 @@ class Transducer:
         if any(SPACE in p.lstrip(SPACE) for p in self.scores):
             raise ValueError("pieces across a space aren't supported")
         self.prefixes = {p[:i] for p in self.scores for i in range(1, len(p))}
+        self.pairs = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+        self._made: dict[str, list[tuple[float, str, str]]] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -89,17 +101,45 @@ class Transducer:
             self.moves.append({})
         return self._number[key]
 
+    def _merges_of(self, piece: str) -> list[tuple[float, str, str]]:
+        if piece not in self._made:
+            self._made[piece] = _merges(piece, self.scores)
+        return self._made[piece]
+
+    def _fit(self, a: str | None, b: str) -> bool:
+        right = self._merges_of(b)
+        if right[-1][1] != b:  # not its own encoding
+            return False
+        if a is None:
+            return True
+        left, i, j = self._merges_of(a), 0, 0
+        while True:
+            x, _, end = left[i]
+            y, begin, _ = right[j]
+            across = self.scores.get(end + begin)
+            if across is not None and across > x and across >= y:  # of equals the leftmost is first
+                return False
+            if x >= y:
+                if x == -math.inf:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def _may_follow(self, a: str | None, b: str) -> bool:
         key = (a, b)
-        if key not in self._fits:
-            self._fits[key] = _merged((a or "") + b, self.scores) == ([b] if a is None else [a, b])
-        return self._fits[key]
+        fits = self._fits.get(key)
+        if fits is None:
+            fits = self._fits[key] = self._fit(a, b)
+        return fits
 
     def compile(self, state: int, char: str) -> tuple[int, int]:
         """The transition of a state on a character: next state and change of the count."""
         suffix, last, counts = self._info[state]
         if char not in self.scores:  # byte fallback; nothing merges with it
             move = self.start, len(char.encode())
+        elif last[-1] is not None and last[-1][-1] + char not in self.pairs:  # no piece crosses this place
+            move = self.moves[self.start].get(char) or self.compile(self.start, char)
         else:
             s = suffix + char
             j, piece = next((j, s[j:]) for j in range(len(s)) if s[j:] in self.scores and self._may_follow(last[j], s[j:]))
@@ -141,11 +181,14 @@ class UnitCounts(dict):
             self.clear()
         if len(self.transducer.moves) > STATES:
             self.transducer.reset()
-        n = self[unit] = self.transducer.count(SPACE + unit)
+        n = self.transducer.count(SPACE + unit)
+        if len(unit) <= LONGEST:
+            self[unit] = n
         return n
 
 
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_BEGIN = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 
 
 def units(text: str) -> list[str]:
@@ -166,21 +209,31 @@ def count_tokens(text: str, counts: UnitCounts) -> int:
     return sum(map(counts.__getitem__, units(text.replace(" ", SPACE))))
 
 
-def chunk_map(lead: str, text: str, transducer: Transducer, entries: tuple[str, ...] = ()) -> Map:
-    """The state map of marked text behind `lead`, its last LEAD characters or all that come before; none before the first chunk."""
+def chunk_map(lead: str, text: str, transducer: Transducer, entries: tuple[str, ...] = (), counts: UnitCounts | None = None) -> Map:
+    """The state map of marked text behind `lead`, its last LEAD characters or all that come before; none before the first chunk.
+
+    Entry states are followed to the first unit that begins in the text. It and all behind it but the last are taken from `counts`.
+    """
     if len(transducer.moves) > STATES:
         transducer.reset()
     states = {transducer.named(e) for e in entries} or {transducer.run(transducer.start, lead[k:])[0] for k in range(max(1, min(SHIFTS, len(lead))))}
     now = {s: (s, 0) for s in states}
-    at = 0
-    while at < len(text):
+    begin = _BEGIN.search(text)
+    at, end = 0, begin.start() if begin else len(text)
+    while at < end:
         # States that have fallen together go on as one.
         ends = {s for s, _ in now.values()}
-        step = len(text) - at if len(ends) == 1 else 64
+        step = end - at if len(ends) == 1 else min(64, end - at)
         moved = {s: transducer.run(s, text[at : at + step]) for s in ends}
         now = {e: (moved[s][0], n + moved[s][1]) for e, (s, n) in now.items()}
         at += step
-    return {transducer.name(e): (transducer.name(s), n) for e, (s, n) in now.items()}
+    out = {transducer.name(e): (transducer.name(s), n) for e, (s, n) in now.items()}
+    if begin is None:
+        return out
+    last = len(text[: text.rindex(SPACE)].rstrip(SPACE))
+    within = transducer.run(transducer.start, text[end:last])[1] if counts is None else sum(counts[u[1:]] for u in _UNITS.findall(text, end, last))
+    state, n = transducer.run(transducer.start, text[last:])  # after `counts`, which may begin anew
+    return {e: (transducer.name(state), m + within + n) for e, (_, m) in out.items()}
 
 
 def follow(maps: list[tuple[int, Map]], entry: str) -> tuple[str, int] | tuple[int, str]:
@@ -230,10 +283,10 @@ def _cut(chunk: int):
 def _chunks(model: str):
     @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        transducer = unit_counts(model).transducer
+        counts = unit_counts(model)
         for f in frames:
             entry = f["entry"] if "entry" in f else [None] * len(f)
-            f["map"] = [json.dumps(chunk_map(x, c, transducer, (e,) if e else ())) for x, c, e in zip(f["lead"], f["chunk"], entry, strict=True)]
+            f["map"] = [json.dumps(chunk_map(x, c, counts.transducer, (e,) if e else (), counts)) for x, c, e in zip(f["lead"], f["chunk"], entry, strict=True)]
             yield f[["a", "b", "no", "map"]]
 
     return run

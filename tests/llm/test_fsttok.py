@@ -80,3 +80,70 @@ def test_text_without_spaces_in_parallel(spark):
     assert len(m) <= fsttok.SHIFTS and len(str(m)) < 10_000
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert fsttok.token_counts(df).first().n_tokens == len(PROCESSOR.encode(text))
+
+
+def test_neighbours_by_their_merges():
+    """Two pieces may stand side by side if merging both together, by definition, gives them again."""
+
+    def merged(text):
+        parts = list(text)
+        while True:
+            best = max(((s, -i) for i in range(len(parts) - 1) if (s := t.scores.get(parts[i] + parts[i + 1])) is not None), default=None)
+            if best is None:
+                return parts
+            i = -best[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    t, rnd = fsttok.Transducer(), random.Random(8)
+    pieces = sorted(t.scores)
+    by_first = {}
+    for p in pieces:
+        by_first.setdefault(p[0], []).append(p)
+    repeats = [p for p in pieces if len(set(p)) == 1]
+    cases = [(a, b) for a in repeats for b in repeats if a[0] == b[0]]
+    while len(cases) < 20_000:
+        a = rnd.choice(pieces)
+        cases.append((a, rnd.choice(by_first.get(rnd.choice("aeinorst▁.0"), pieces))))
+    fits = [t._fit(a, b) for a, b in cases if merged(a) == [a]]
+    assert fits == [merged(a + b) == [a, b] for a, b in cases if merged(a) == [a]]
+    assert 1000 < sum(fits) < len(fits) - 1000
+    assert all(t._fit(None, p) == (merged(p) == [p]) for p in pieces[::50])
+
+
+def test_what_no_piece_crosses_is_forgotten():
+    """Words before a comma lead to one state, so that few are compiled."""
+    t = fsttok.Transducer()
+    assert len({t.run(t.start, f"▁{w},")[0] for w in ("word", "other", "Straße", "a", "")}) <= 2  # only the bare space mark may matter
+    assert t.run(t.start, "▁word,")[0] == t.run(t.start, ",")[0]
+
+
+def test_chunks_take_whole_units_from_counts(monkeypatch):
+    counts, rnd = fsttok.UnitCounts(fsttok.MODEL), random.Random(6)
+    t = counts.transducer
+    for text in [*sample(4, 400), " a", "a ", "a  b", "   ", "a b", "  a  "]:
+        if not text:
+            continue
+        marked = fsttok.SPACE + text.replace(" ", fsttok.SPACE)
+        cuts = sorted({0, len(marked), *(rnd.randint(0, len(marked)) for _ in range(3))})
+        maps = [(i, fsttok.chunk_map(marked[max(0, a - fsttok.LEAD) : a], marked[a:b], t, (), counts)) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        assert fsttok.follow(maps, next(iter(maps[0][1])))[1] == len(PROCESSOR.encode(text)), text
+    read = []
+    run = t.run
+    monkeypatch.setattr(t, "run", lambda state, text: read.append(len(text)) or run(state, text))
+    text = "".join(f"▁{w}" for _ in range(1000) for w in ("some", "words,", "again"))
+    fsttok.chunk_map("", text, t, (), counts)
+    assert sum(read) < 100
+    # Counts and states may begin anew amid a chunk.
+    monkeypatch.setattr(fsttok, "KEPT", 3)
+    monkeypatch.setattr(fsttok, "STATES", 20)
+    marked = "▁" + "▁".join(str(rnd.random()) for _ in range(300))
+    cuts = range(0, len(marked), 500)
+    maps = [(i, fsttok.chunk_map(marked[max(0, i - fsttok.LEAD) : i], marked[i : i + 500], t, (), counts)) for i in cuts]
+    assert fsttok.follow(maps, next(iter(maps[0][1])))[1] == len(PROCESSOR.encode(marked[1:].replace("▁", " ")))
+
+
+def test_long_units_are_not_kept():
+    counts = fsttok.UnitCounts(fsttok.MODEL)
+    texts = ["x" * 5000, "日本" * 3000, "short ones"]
+    assert [fsttok.count_tokens(t, counts) for t in texts] == [len(PROCESSOR.encode(t)) for t in texts]
+    assert sorted(counts) == ["ones", "short"]
