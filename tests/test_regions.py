@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from almanac.operators import build, geo, grid, ladder, merge, resolve, skew
 from almanac.sources import listing
 
@@ -56,6 +57,30 @@ def test_points_in_polygons(spark, size):
     assert not any(3 < x[0] < 5 and 3 < x[1] < 5 for x in want if x[2] == "hole")
 
 
+@pytest.mark.parametrize("small", [20_000, 0])
+def test_rows_of_one_number_are_one_region(spark, monkeypatch, small):
+    """Rings of several rows count together: equal ones cancel, one within another is a hole. Without a number there is no region."""
+    monkeypatch.setattr(skew, "SMALL", small)
+    rnd = random.Random(5)
+    pts = some_points(rnd)
+    regs = [("twice", [square(1, 1, 4)]), ("twice", [square(1, 1, 4)]), ("holed", [square(2, 2, 6)]), ("holed", [square(3, 3, 2)]), ("apart", [square(0, 0, 1.5)]), ("apart", [square(8, 8, 1.5)]), ("apart", None), (None, [square(0, 0, 9)])]
+    regs += [("thrice", [square(i / 4, i / 4, 5), square(2, 2, 1)]) for i in range(3)]
+    whole = {}
+    for n, r in regs:
+        whole.setdefault(n, []).extend(r or [])
+    got = grid.point_in_regions(spark.createDataFrame(pts, "lat double, lon double"), spark.createDataFrame(regs, RING))
+    assert sorted(tuple(r) for r in got.collect()) == sorted({(*p, n) for p in pts if finite(p) for n, r in whole.items() if n and inside(*p, r)})
+
+
+def plan_length(df):
+    return len(df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_plan_of_point_in_polygon_is_short(spark):
+    """What makes the rings is in it once; repeated, it was 328,828 characters, of which a driver ran out of memory."""
+    assert plan_length(__spark_entry__.queries()["op_e13_point_in_polygon"](spark, "/root/testdata/sf0.001")) < 50_000
+
+
 @pytest.mark.parametrize("small", [20_000, 0])
 def test_points_in_boxes(spark, monkeypatch, small):
     """Small and large boxes, borders, turned and null ones; broadcast, and joined with crowded cells split."""
