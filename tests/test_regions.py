@@ -81,6 +81,11 @@ def test_plan_of_point_in_polygon_is_short(spark):
     assert plan_length(__spark_entry__.queries()["op_e13_point_in_polygon"](spark, "/root/testdata/sf0.001")) < 50_000
 
 
+def test_plan_of_verify_by_polygons_is_short(spark):
+    """As above; it was 345,000 characters."""
+    assert plan_length(__spark_entry__.queries()["op_e13_verify_by_polygons"](spark, "/root/testdata/sf0.001")) < 50_000
+
+
 @pytest.mark.parametrize("small", [20_000, 0])
 def test_points_in_boxes(spark, monkeypatch, small):
     """Small and large boxes, borders, turned and null ones; broadcast, and joined with crowded cells split."""
