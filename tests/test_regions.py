@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ import __spark_entry__
 from almanac.operators import build, geo, grid, ladder, merge, resolve, skew
 from almanac.sources import listing
 
+from .harness import compare
 from .test_operators import LISTED, RAW, REGISTER, rows
 
 RING = "nr string, rings array<array<struct<lon:double,lat:double>>>"
@@ -86,6 +88,24 @@ def test_plan_of_verify_by_polygons_is_short(spark):
     assert plan_length(__spark_entry__.queries()["op_e13_verify_by_polygons"](spark, "/root/testdata/sf0.001")) < 50_000
 
 
+@pytest.fixture(scope="module")
+def long_keys(spark, tmp_path_factory):
+    """Suppliers whose numbers are cut to four digits, beside those that have these already, and customers."""
+    path = str(tmp_path_factory.mktemp("long"))
+    spark.range(600).selectExpr("id * 37 AS c_custkey").coalesce(1).write.parquet(f"{path}/customer.parquet")
+    spark.range(100, 130).union(spark.range(1000, 1010)).union(spark.range(10000, 10025)).union(spark.range(100120, 100140)).selectExpr("id AS s_suppkey", "concat('Supplier#', lpad(string(id), 9, '0')) AS s_name").coalesce(1).write.parquet(f"{path}/supplier.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "supplier"):
+        con.sql(f"create view {t} as select * from '{path}/{t}.parquet/*.parquet'")
+    return path, con
+
+
+@pytest.mark.parametrize("name", ["op_a9_e12_places_by_box", "op_e13_point_in_polygon", "op_e13_verify_by_polygons"])
+def test_keys_of_many_digits(spark, long_keys, name):
+    path, con = long_keys
+    assert len(compare(spark, con, path, __spark_entry__.queries()[name], __spark_entry__.oracle_sql()[name])) > 100
+
+
 @pytest.mark.parametrize("small", [20_000, 0])
 def test_points_in_boxes(spark, monkeypatch, small):
     """Small and large boxes, borders, turned and null ones; broadcast, and joined with crowded cells split."""
